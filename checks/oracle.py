@@ -820,6 +820,7 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "dedup_repeated": f"SELECT * FROM {lines} QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_returnflag) = 1",
         "conflict_report": conflict,
         "window_count": rows("o_orderkey, count(*) OVER (PARTITION BY t) AS n"),
+        "window_count_keys": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
         "link_left": select(
             {**STUDY, "known": "SELECT priority, max(o_totalprice) AS top_price FROM records WHERE priority IS DISTINCT FROM '5-LOW' GROUP BY priority"},
             f"SELECT o_orderkey, r.priority, {num('top_price', 2)} AS top_price, CAST(top_price IS NOT NULL AS BIGINT) AS matched"

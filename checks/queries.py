@@ -242,8 +242,14 @@ def conflict_report(s: Study) -> DataFrame:
     return dedup.conflict_report(lines, ["l_orderkey", "l_returnflag"])
 
 
+def window_count_keys(s: Study) -> DataFrame:
+    """Orders of the same customer; their number is open, so heavy customers are spread."""
+    orders = s.table("orders").select("o_orderkey", "o_custkey")
+    return panel.with_group_count(orders, "o_custkey", spread=SPREAD).select("o_orderkey", "n")
+
+
 def window_count(s: Study) -> DataFrame:
-    return panel.with_group_count(s.records(), "time_weeks", spread=SPREAD).select("o_orderkey", "n")
+    return panel.with_group_count(s.records(), "time_weeks", few_groups=True).select("o_orderkey", "n")
 
 
 # linkage
@@ -446,17 +452,15 @@ def its_effects(s: Study) -> DataFrame:
 def its_ladder(s: Study) -> DataFrame:
     """All thirty-one fits of the fourteen outcomes, each outcome with its own list of models."""
     rows = staged(s, outcomes.outcome_panel(s.linked()))
-    fit = outcomes.fit_ladder(rows)
-    terms = model.coefficients(fit).select("series", "model", "term", "estimate", "std_error")
-    primary = fit.select("series", "model", "is_primary")
-    return _plain(terms.join(primary, ["series", "model"]))
+    terms = model.coefficients(outcomes.fit_ladder(rows), keep=["is_primary"])
+    return _plain(terms.select("series", "model", "is_primary", "term", "estimate", "std_error"))
 
 
 QUERIES = (
     scan_roundtrip, period_spine, study_time, its_terms, binary_outcome, recode_sentinel, recode_predicate,
     key_suffix, exclusive_flag, harmonic_terms, cohort_build, attrition, complete_case, missing_counts,
     null_counts, freq_table, freq_table_known, histogram, crosstab, crosstab_na, miss_by_factor,
-    miss_by_period, miss_patterns, dedup_exact, dedup_conflict, dedup_repeated, conflict_report, window_count,
+    miss_by_period, miss_patterns, dedup_exact, dedup_conflict, dedup_repeated, conflict_report, window_count, window_count_keys,
     link_left, link_star, link_fill_zero, link_report, bind_on_period, count_by_period, panel_prevalence,
     panel_truncated, panel_incidence, panel_multi, panel_filled, summary_by_level, summary_frame,
     summary_records, summary_recoded, design_grid, its_poisson, its_quasi, its_harmonic, its_dispersion,

@@ -18,7 +18,8 @@ from itspark.plans.cohort import build_cohort
 from itspark.plans.linkage import default_sources, link_cohort
 
 FIRST_DAY = "1995-01-01"
-LAST_WEEK = 209
+# First day of week 210: the study weeks end before it. A date, so that the condition reaches the scan.
+DAY_AFTER = "1999-01-03"
 SWITCH_WEEK = 105
 KEY = ("MOTHERID", "WEEKS_BEFORE_AFTER", "COHORT_IDENTIFIER")
 
@@ -55,7 +56,8 @@ class Study:
             "WEEKS_BEFORE_AFTER": F.when(before, 106 - r).otherwise(r - 105).cast("int"),
             "COHORT_IDENTIFIER": F.when(before, "UNEXPOSED").otherwise("EXPOSED"),
         }
-        return self.table("orders").withColumn("r", raw_week()).filter(r <= LAST_WEEK).withColumns(key)
+        in_study = F.col("o_orderdate") < F.lit(DAY_AFTER).cast("timestamp_ntz")
+        return self.table("orders").filter(in_study).withColumn("r", raw_week()).withColumns(key)
 
     def records(self) -> DataFrame:
         """The orders alone on the study axis, under plain names, priority with its unknown code as null."""

@@ -34,7 +34,9 @@ def study_window(
     The period of the intervention itself (distance 0) and the two partial periods at the ends drop out.
     """
     raw = raw_study_time(F.col(rel), F.col(arm), unexposed, n_pre)
-    return df.filter((F.col(rel) > 0) & (raw > 1) & (raw < n + 2)).withColumn(out, (raw - 1).cast("int"))
+    # The upper bound on the distance follows from the other two conditions; as plain one it reaches the scan.
+    reach = (F.col(rel) > 0) & (F.col(rel) <= max(n_pre, n - n_pre))
+    return df.filter(reach & (raw > 1) & (raw < n + 2)).withColumn(out, (raw - 1).cast("int"))
 
 
 def level_term(period: Column, n_pre: int = N_PRE, n: int = N_PERIODS) -> Column:

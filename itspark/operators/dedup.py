@@ -10,30 +10,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
+# Types whose min and max fit a hash aggregate; any other column makes it a sort aggregate.
+_FIXED_WIDTH = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+    T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+
+
 def collapse_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key: the other columns, nulled where copies of the key disagree, and ``conflicted``.
 
     Exact copies agree with themselves, so they are removed in the same shuffle. Null keys form one group.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [f for f in df.schema.fields if f.name not in keys]
+    names = [f.name for f in rest]
     if not rest:
         return df.select(*keys).distinct().withColumn("conflicted", F.lit(False))
-    payload = F.struct(*[F.col(c) for c in rest])
-    low_high = df.groupBy(*keys).agg(F.min(payload).alias("_low"), F.max(payload).alias("_high"))
-    agreed = low_high.withColumn("conflicted", ~F.col("_low").eqNullSafe(F.col("_high")))
-    return agreed.select(
-        *keys,
-        *[F.when(~F.col("conflicted"), F.col("_low").getField(c)).alias(c) for c in rest],
-        "conflicted",
+    if all(isinstance(f.dataType, _FIXED_WIDTH) for f in rest):
+        grouped, agreed, value = _agree_by_column(df, keys, names)
+    else:
+        grouped, agreed, value = _agree_by_row(df, keys, names)
+    return grouped.withColumn("conflicted", ~agreed).select(
+        *keys, *[F.when(~F.col("conflicted"), value(c)).alias(c) for c in names], "conflicted"
     )
 
 
+def _agree_by_row(df: DataFrame, keys: Sequence[str], names: Sequence[str]):
+    """All rows of a key are equal when the smallest and the largest are."""
+    payload = F.struct(*[F.col(c) for c in names])
+    grouped = df.groupBy(*keys).agg(F.min(payload).alias("_low"), F.max(payload).alias("_high"))
+    return grouped, F.col("_low").eqNullSafe(F.col("_high")), lambda c: F.col("_low").getField(c)
+
+
+def _agree_by_column(df: DataFrame, keys: Sequence[str], names: Sequence[str]):
+    """All rows of a key are equal when each column has one value, or none at all, in all of them."""
+    sums = [F.count(F.lit(1)).alias("_n")]
+    agreed = F.lit(True)
+    for c in names:
+        sums += [F.min(c).alias(f"_low_{c}"), F.max(c).alias(f"_high_{c}"), F.count(c).alias(f"_n_{c}")]
+        known = F.col(f"_n_{c}")
+        one_value = (known == F.col("_n")) & (F.col(f"_low_{c}") == F.col(f"_high_{c}"))
+        agreed = agreed & F.coalesce((known == 0) | one_value, F.lit(False))
+    return df.groupBy(*keys).agg(*sums), agreed, lambda c: F.col(f"_low_{c}")
+
+
 def drop_conflicts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove exact copies, then every row of a key that still has more than one row."""
     return collapse_keys(df, keys).filter(~F.col("conflicted")).select(*df.columns)

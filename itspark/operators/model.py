@@ -212,11 +212,17 @@ def _term_names(spec: ModelSpec) -> tuple[str, ...]:
     return (*BASE_TERMS, *[f"sin{k}" for k in pairs], *[f"cos{k}" for k in pairs])
 
 
-def coefficients(fit: DataFrame, by: Sequence[str] = ("series",), robust: bool = False) -> DataFrame:
-    """A row per term: estimate, standard error, statistic (z, or t for quasi), p value."""
+def coefficients(
+    fit: DataFrame, by: Sequence[str] = ("series",), robust: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """A row per term: estimate, standard error, statistic (z, or t for quasi), p value.
+
+    ``keep`` names further columns of the fit to carry along.
+    """
     se, p = ("se_robust", "p_robust") if robust else ("se", "p")
     rows = fit.filter("fit_ok").select(
         *by,
+        *keep,
         "model",
         "family",
         "crit",
@@ -231,6 +237,7 @@ def coefficients(fit: DataFrame, by: Sequence[str] = ("series",), robust: bool =
     )
     return rows.select(
         *by,
+        *keep,
         "model",
         "family",
         "term_no",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 BUCKETS = 256
 SALTS = 32
+WHOLE = ("min", "max", "mean", "n_all", "n_missing")
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -50,16 +51,20 @@ def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
     distinct values of its group, and buckets are ranked independently.
     """
     counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    # Every use of the counts reads both columns, so that all of them share one scan and one shuffle.
+    counted = F.when(F.col("n") > 0, F.col("value"))
     cuts = counts.groupBy(*group).agg(
-        F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        F.percentile_approx(counted, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts"),
+        F.min(counted).alias("min"),
+        F.max(counted).alias("max"),
         (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_all"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
     )
     # A group may hold most of the rows: spread its values, and repeat its one row of cuts, over some tasks.
-    salted = counts.filter(F.col("value").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    # Nulls stay in, counted as none: a filter here would make Spark scan and count a second time.
+    known = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    salted = counts.withColumns({"n": known, "salt": F.pmod(F.xxhash64("value"), F.lit(SALTS))})
     repeated = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = [F.col(f"c.{g}").eqNullSafe(F.col(f"v.{g}")) for g in [*group, "salt"]]
     placed = (
@@ -67,7 +72,7 @@ def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
         .join(repeated.alias("c"), on, "inner")
         .select(
             *[F.col(f"v.{g}").alias(g) for g in group],
-            "value", "n", "n_all",
+            "value", "n", *WHOLE,
             F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket"),
         )
     )
@@ -84,7 +89,7 @@ def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
             "value",
             (F.col("offset") + F.col("last") - F.col("n")).alias("rank_from"),
             (F.col("offset") + F.col("last")).alias("rank_to"),
-            "n_all",
+            *WHOLE,
         )
     )
 
@@ -98,18 +103,13 @@ def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
             order_stat(F.floor(_position(p))).alias(f"{name}_lo"),
             order_stat(F.ceil(_position(p))).alias(f"{name}_hi"),
         ]
-    picked = ranked.groupBy(*group).agg(*picks)
-    whole = cuts.select(*group, "min", "max", "mean", "n_all", "n_missing")
-    on = [F.col(f"c.{g}").eqNullSafe(F.col(f"p.{g}")) for g in group]
-    both = whole.alias("c").join(picked.alias("p"), on, "left")
+    picked = ranked.groupBy(*group).agg(*picks, *[F.max(c).alias(c) for c in WHOLE])
 
     def interpolated(name: str, p: float) -> Column:
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         return (lo + (hi - lo) * (_position(p) - F.floor(_position(p)))).alias(name)
 
-    return both.select(
-        *[F.col(f"c.{g}").alias(g) for g in group], "min", *[interpolated(n, p) for n, p in QUARTILES], "mean", "max", "n_missing"
-    )
+    return picked.select(*group, "min", *[interpolated(n, p) for n, p in QUARTILES], "mean", "max", "n_missing")
 
 
 def summary_by_level(
