@@ -20,7 +20,9 @@ from itspark.plans.linkage import default_sources, link_cohort
 FIRST_DAY = "1995-01-01"
 # First day of week 210: the study weeks end before it. A date, so that the condition reaches the scan.
 DAY_AFTER = "1999-01-03"
+# Last week before the switch, and the first day after it.
 SWITCH_WEEK = 105
+SWITCH_DAY = "1997-01-05"
 KEY = ("MOTHERID", "WEEKS_BEFORE_AFTER", "COHORT_IDENTIFIER")
 
 
@@ -49,14 +51,15 @@ class Study:
 
     def keyed_orders(self) -> DataFrame:
         """Orders of the study weeks with the linkage key of a birth record."""
-        r = F.col("r")
-        before = r <= SWITCH_WEEK
+        r, ordered = F.col("r"), F.col("o_orderdate")
+        before = ordered < F.lit(SWITCH_DAY).cast("timestamp_ntz")
         key = {
             "MOTHERID": F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")),
-            "WEEKS_BEFORE_AFTER": F.when(before, 106 - r).otherwise(r - 105).cast("int"),
+            # Weeks count away from the switch in both arms; of the two distances one is positive.
+            "WEEKS_BEFORE_AFTER": F.greatest(SWITCH_WEEK + 1 - r, r - SWITCH_WEEK).cast("int"),
             "COHORT_IDENTIFIER": F.when(before, "UNEXPOSED").otherwise("EXPOSED"),
         }
-        in_study = F.col("o_orderdate") < F.lit(DAY_AFTER).cast("timestamp_ntz")
+        in_study = ordered < F.lit(DAY_AFTER).cast("timestamp_ntz")
         return self.table("orders").filter(in_study).withColumn("r", raw_week()).withColumns(key)
 
     def records(self) -> DataFrame:

@@ -32,11 +32,13 @@ def study_window(
     """Keep the records of whole periods and number those periods 1..n.
 
     The period of the intervention itself (distance 0) and the two partial periods at the ends drop out.
+    On the raw axis the condition is ``1 < time < n + 2``; here it is put on the distance of each arm, in
+    which form it can be pushed down to the scan.
     """
-    raw = raw_study_time(F.col(rel), F.col(arm), unexposed, n_pre)
-    # The upper bound on the distance follows from the other two conditions; as plain one it reaches the scan.
-    reach = (F.col(rel) > 0) & (F.col(rel) <= max(n_pre, n - n_pre))
-    return df.filter(reach & (raw > 1) & (raw < n + 2)).withColumn(out, (raw - 1).cast("int"))
+    r, exposed = F.col(rel), F.col(arm) != unexposed
+    whole = (r > 0) & ((~exposed & (r <= n_pre)) | (exposed & (r <= n - n_pre)))
+    raw = raw_study_time(r, F.col(arm), unexposed, n_pre)
+    return df.filter(whole).withColumn(out, (raw - 1).cast("int"))
 
 
 def level_term(period: Column, n_pre: int = N_PRE, n: int = N_PERIODS) -> Column:

@@ -132,15 +132,16 @@ def link_sources(
     for spec in sources:
         source = prepare_source(spec, keys, trim)
         how = f"link_{spec.name}"
+        conflicted, fill = F.col("conflicted"), dict(spec.fill)
         if status:
-            source = source.withColumn(how, F.when(F.col("conflicted"), "conflict").otherwise("matched"))
+            # After a recode a conflicting key could carry a default (an unticked box is 0): blank them.
+            values = [c for c in source.columns if c not in (*keys, "conflicted")]
+            source = source.withColumns({c: F.when(~conflicted, F.col(c)) for c in values})
+            source = source.withColumn(how, F.when(conflicted, "conflict").otherwise("matched"))
+            fill[how] = "absent"
         else:
-            source = source.filter(~F.col("conflicted"))
-        values = [c for c in source.columns if c not in (*keys, "conflicted")]
-        # After a recode a conflicting key could carry default values (an unticked box is 0): blank them.
-        blanked = {c: F.when(~F.col("conflicted"), F.col(c)) for c in values if c != how}
-        source = source.withColumns(blanked).drop("conflicted")
-        fill = {**spec.fill, how: "absent"} if status else spec.fill
+            source = source.filter(~conflicted)
+        source = source.drop("conflicted")
         linked = link_left(linked, source, keys, na_matches=na_matches, fill=fill)
     return linked
 

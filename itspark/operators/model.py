@@ -112,7 +112,8 @@ def solve_poisson(x: np.ndarray, y: np.ndarray, offset: np.ndarray):
 def fit_one(x: np.ndarray, y: np.ndarray, n: np.ndarray, spec: ModelSpec, cadjust: bool, alpha: float) -> dict:
     """Coefficients, covariances and fit statistics of one model on one series."""
     rows, p = x.shape
-    out = {"model": spec.name, "family": spec.family, "n_obs": rows, "fit_ok": False}
+    out = dict.fromkeys(f.name for f in _FIT_FIELDS)
+    out.update(model=spec.name, family=spec.family, terms=list(_term_names(spec)), n_obs=rows, fit_ok=False)
     if rows <= p:
         return {**out, "status": "too few periods"}
     if y.sum() <= 0:
@@ -195,11 +196,9 @@ def fit_its(
         y, n = group["y"].to_numpy(), group["n"].to_numpy()
         asked = group["wanted"].iloc[0].split(",")
         results = [
-            {**fit_one(x[:, columns[m.name]], y, n, m, cadjust, alpha), "terms": list(_term_names(m))}
-            for m in models
-            if m.name in asked
+            fit_one(x[:, columns[m.name]], y, n, m, cadjust, alpha) for m in models if m.name in asked
         ]
-        frame = pd.DataFrame(results, columns=[f.name for f in _FIT_FIELDS], dtype=object)
+        frame = pd.DataFrame(results, dtype=object)
         for i, name in enumerate(by):
             frame.insert(i, name, key[i])
         return frame

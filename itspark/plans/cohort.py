@@ -81,6 +81,10 @@ def clean_records(
     return recode_records(drop_conflicts(included, KEYS).withColumns(suffix))
 
 
-def build_cohort(records: DataFrame, **options) -> DataFrame:
+def complete_cohort(clean: DataFrame) -> DataFrame:
     """Complete cases of the cohort columns, with ``level`` and ``trend_weeks``."""
-    return its_terms(complete_cases(clean_records(records, **options).select(*COHORT_COLUMNS)))
+    return its_terms(complete_cases(clean.select(*COHORT_COLUMNS)))
+
+
+def build_cohort(records: DataFrame, **options) -> DataFrame:
+    return complete_cohort(clean_records(records, **options))

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def stage_root(spark: SparkSession) -> str:
     """The shared folder the session names; a new local folder only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared
-    local = tempfile.mkdtemp(prefix="itspark-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="itspark-")
+        context.setCheckpointDir(shared)
+    return shared
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
