@@ -237,11 +237,11 @@ def design(t: str = "t", lev: str = "level", tr: str = "trend", harmonic: bool =
 
 
 def _eliminate(ctes: dict[str, str], name: str, source: str, p: int, width: int) -> str:
-    """Gauss-Jordan on columns m{i}_{j}; every step clears one column in all rows."""
+    """Gauss-Jordan on columns m{i}_{j}; every step clears one column in all rows and leaves it out."""
     for k in range(p):
         cols = [
             f"m{i}_{j} / m{k}_{k} AS m{i}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}"
-            for i, j in product(range(p), range(width))
+            for i, j in product(range(p), range(k + 1, width))
         ]
         ctes[f"{name}_e{k}"] = f"SELECT series, {', '.join(cols)} FROM {source}"
         source = f"{name}_e{k}"
@@ -358,6 +358,15 @@ def its_irr() -> str:
     )
 
 
+def its_irr_rounded() -> str:
+    parts = [coefficient_rows("h" if m.endswith("harmonic") else "l", m, m.endswith("harmonic")) for m in ("quasi", "quasi_harmonic")]
+    return select(
+        fitted_ctes(False, True),
+        f"SELECT series, model, term, round_even(exp(estimate), 4) AS irr, round_even(exp(estimate - {Z975} * std_error), 4) AS lower,"
+        f" round_even(exp(estimate + {Z975} * std_error), 4) AS upper FROM (" + " UNION ALL ".join(parts) + ")",
+    )
+
+
 def its_robust() -> str:
     parts = []
     for (m, harmonic), adjusted in product((("poisson", False), ("poisson_harmonic", True)), (1, 0)):
@@ -514,10 +523,11 @@ def _t_quantiles(fit: str) -> str:
     return sql
 
 
-def band_ctes() -> dict[str, str]:
-    ctes = fitted_ctes(False, True)
+def band_ctes(*models: str) -> dict[str, str]:
+    ctes = fitted_ctes(*[m.endswith("harmonic") for m in models])
     ctes["grid"] = FACTUAL_GRID
-    ctes["tq"] = _t_quantiles("l_fit")
+    if "quasi" in models:
+        ctes["tq"] = _t_quantiles("l_fit")
     ctes["band"] = " UNION ALL ".join(
         f"SELECT series, '{m}' AS model, period, t, level, trend, scale, {_eta(h)} AS eta,"
         f" {q} * sqrt({_variance(h)}{' * dispersion' if m == 'quasi' else ''}) AS half FROM grid JOIN {tag}_fit USING (series){j}"
@@ -525,13 +535,14 @@ def band_ctes() -> dict[str, str]:
             ("quasi", "l", False, "q", " JOIN tq USING (df)"),
             ("poisson_harmonic", "h", True, str(Z975), ""),
         )
+        if m in models
     )
     return ctes
 
 
 def its_ci_band() -> str:
     return select(
-        band_ctes(),
+        band_ctes("quasi", "poisson_harmonic"),
         f"SELECT series, model, {big('period')} AS period, {big('t')} AS t, {big('level')} AS level, {big('trend')} AS trend,"
         f" {num('exp(eta) * scale')} AS pred, {num('exp(eta - half) * scale')} AS lcb, {num('exp(eta + half) * scale')} AS ucb FROM band",
     )
@@ -543,7 +554,7 @@ def segment_bands() -> str:
         for name, e in (("seg", "eta"), ("lcb", "eta - half"), ("ucb", "eta + half")):
             parts.append(f"CASE WHEN {condition} THEN {num(f'exp({e}) * b.scale')} END AS {prefix}_{name}")
     return select(
-        band_ctes(),
+        band_ctes("poisson_harmonic"),
         f"SELECT series, b.model, {big('b.period')} AS period, {big('b.t')} AS t, {big('b.level')} AS level, {big('b.trend')} AS trend,"
         f" {', '.join(parts).replace('trend =', 'b.trend =').replace('trend >', 'b.trend >')}, {num('p.rate')} AS rate,"
         f" {day('DATE ' + repr('1995-01-08') + ' + CAST(7 * (b.period - 1) AS INTEGER)')} AS week_start"
@@ -722,7 +733,7 @@ def period_spine() -> str:
     return select(
         STUDY,
         f"SELECT {big('p')} AS period, {big(level('p'))} AS level, {big(trend('p'))} AS trend_weeks,"
-        f" {big('CASE WHEN p > 25 THEN p - 25 END')} AS time_truncated, {start} AS week_start, coalesce(c.n, 0) AS n"
+        f" {big('CASE WHEN p > 25 THEN p - 25 END')} AS time_truncated, {start} AS week_start, {start} AS read_back, coalesce(c.n, 0) AS n"
         " FROM range(1, 208) g(p) LEFT JOIN (SELECT t, count(*) AS n FROM records GROUP BY t) c ON c.t = p",
     )
 
@@ -853,6 +864,7 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "its_harmonic": coefficients(STUDY_PANEL, "poisson_harmonic", "quasi_harmonic"),
         "its_dispersion": its_dispersion(),
         "its_irr": its_irr(),
+        "its_irr_rounded": its_irr_rounded(),
         "its_robust": its_robust(),
         "its_summary": its_summary(),
         "its_residuals": its_residuals(),

@@ -88,7 +88,9 @@ def period_spine(s: Study) -> DataFrame:
     """Spine of the study with the orders of each week, none where there are none."""
     periods = spine.period_spine(s.spark, origin=ORIGIN, start=25)
     orders = panel.count_by(s.records(), "time_weeks").withColumnRenamed("time_weeks", "period")
-    return _plain(periods.join(orders, "period", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    joined = periods.join(orders, "period", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    written = F.date_format("week_start", "yyyy/M/d")
+    return _plain(joined.withColumn("read_back", recode.slash_date(written)))
 
 
 # axis and recodes
@@ -249,7 +251,7 @@ def window_count_keys(s: Study) -> DataFrame:
 
 
 def window_count(s: Study) -> DataFrame:
-    return panel.with_group_count(s.records(), "time_weeks", few_groups=True).select("o_orderkey", "n")
+    return panel.with_period_count(s.records()).select("o_orderkey", "n")
 
 
 # linkage
@@ -393,6 +395,12 @@ def its_irr(s: Study) -> DataFrame:
     return _plain(model.irr(fit).select("series", "model", "term", "irr", "lower", "upper"))
 
 
+def its_irr_rounded(s: Study) -> DataFrame:
+    """Ratios as printed, to four places."""
+    fit = study_fit(s, "quasi", "quasi_harmonic")[1]
+    return model.irr(fit, digits=4).select("series", "model", "term", "irr", "lower", "upper")
+
+
 def its_robust(s: Study) -> DataFrame:
     """Robust errors on both scales, with and without the small-sample factor."""
     rows = staged(s, study_panel(s))
@@ -464,7 +472,7 @@ QUERIES = (
     link_left, link_star, link_fill_zero, link_report, bind_on_period, count_by_period, panel_prevalence,
     panel_truncated, panel_incidence, panel_multi, panel_filled, summary_by_level, summary_frame,
     summary_records, summary_recoded, design_grid, its_poisson, its_quasi, its_harmonic, its_dispersion,
-    its_irr, its_robust, its_summary, its_residuals, resid_acf, resid_pacf, its_factual, its_counterfactual,
+    its_irr, its_irr_rounded, its_robust, its_summary, its_residuals, resid_acf, resid_pacf, its_factual, its_counterfactual,
     its_ci_band, segment_bands, its_effects, its_ladder,
 )
 

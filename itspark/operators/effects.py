@@ -6,48 +6,31 @@ All of it is column arithmetic on the panel or grid joined with the coefficients
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itspark.functions.arrays import dot, let, quadratic_form
 from itspark.functions.axis import N_PRE
 from itspark.operators.model import MAX_HARMONICS, design_terms
 from itspark.operators.panel import design_grid
 
 
-def _terms() -> dict[str, Column]:
-    return design_terms(F.col("t"), F.col("level"), F.col("trend"), MAX_HARMONICS)
+def _design(**fixed: Column) -> Column:
+    """Values of the terms a model has, in the order of its coefficients; ``fixed`` replaces some."""
+    values = design_terms(F.col("t"), F.col("level"), F.col("trend"), MAX_HARMONICS) | fixed
+    by_name = F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value)])
+    return F.transform("terms", lambda name: F.element_at(by_name, name))
 
 
-def _sum(parts: Sequence[Column]) -> Column:
-    return reduce(Column.__add__, parts)
-
-
-def _place(term: str) -> Column:
-    """Index of a term in the fit, -1 when the model does not have it."""
-    return (F.array_position("terms", term) - 1).cast("int")
-
-
-def _coef(term: str) -> Column:
-    return F.coalesce(F.get("coef", _place(term)), F.lit(0.0))
-
-
-def linear_predictor() -> Column:
+def linear_predictor(**fixed: Column) -> Column:
     """Log rate: the terms times their coefficients."""
-    return _sum([_coef(name) * x for name, x in _terms().items()])
+    return dot(F.col("coef"), _design(**fixed))
 
 
 def predictor_variance() -> Column:
     """Variance of the log rate: the quadratic form of the terms in ``vcov``."""
-    terms = list(_terms().items())
-
-    def v(i: int, j: int) -> Column:
-        row = F.get("vcov", _place(terms[i][0]))
-        return F.coalesce(F.get(row, _place(terms[j][0])), F.lit(0.0)) * terms[i][1] * terms[j][1]
-
-    diagonal = [v(i, i) for i in range(len(terms))]
-    return _sum(diagonal + [2.0 * v(i, j) for i in range(len(terms)) for j in range(i)])
+    return let(_design(), lambda x: quadratic_form(F.col("vcov"), x))
 
 
 def _with_fit(rows: DataFrame, fit: DataFrame, by: Sequence[str], *cols: str) -> DataFrame:
@@ -107,11 +90,11 @@ def trends(panel: DataFrame, fit: DataFrame, by: Sequence[str] = ("series",), **
     """Factual and counterfactual rate side by side, from one grid."""
     grid = _with_fit(design_grid(panel, "factual", by, **axis), fit, by)
     factual = linear_predictor()
-    shift = _coef("level") * F.col("level") + _coef("trend") * F.col("trend")
+    counterfactual = linear_predictor(level=F.lit(0.0), trend=F.lit(0.0))
     return grid.select(
         *by, "model", "period", "t", "level", "trend",
         (F.exp(factual) * F.col("scale")).alias("factual"),
-        (F.exp(factual - shift) * F.col("scale")).alias("counterfactual"),
+        (F.exp(counterfactual) * F.col("scale")).alias("counterfactual"),
     )
 
 

@@ -67,6 +67,9 @@ def link_left(
     if not keys:
         raise ValueError("the two tables share no column")
     new = [c for c in right.columns if c not in keys]
+    twice = sorted(set(new) & set(left.columns))
+    if twice:
+        raise ValueError(f"columns in both tables that are not keys: {twice}")
     if marker:
         right = right.withColumn(marker, F.lit(1))
         new.append(marker)
@@ -120,6 +123,7 @@ def link_sources(
     sources: Sequence[SourceSpec],
     keys: Sequence[str],
     trim: str | None = "mother_id",
+    trim_to: int = 6,
     na_matches: bool = False,
     status: bool = False,
 ) -> DataFrame:
@@ -130,7 +134,7 @@ def link_sources(
     """
     linked = cohort
     for spec in sources:
-        source = prepare_source(spec, keys, trim)
+        source = prepare_source(spec, keys, trim, trim_to)
         how = f"link_{spec.name}"
         conflicted, fill = F.col("conflicted"), dict(spec.fill)
         if status:

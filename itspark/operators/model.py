@@ -249,18 +249,28 @@ def coefficients(
     )
 
 
-def irr(fit: DataFrame, by: Sequence[str] = ("series",), robust: bool = False, alpha: float = 0.05) -> DataFrame:
-    """Rate ratios exp(b) with the Wald interval exp(b -/+ z se), and the error on the ratio scale."""
+def irr(
+    fit: DataFrame,
+    by: Sequence[str] = ("series",),
+    robust: bool = False,
+    alpha: float = 0.05,
+    digits: int | None = None,
+) -> DataFrame:
+    """Rate ratios exp(b) with the Wald interval exp(b -/+ z se), and the error on the ratio scale.
+
+    ``digits`` rounds the ratios and limits half to even, as they are printed.
+    """
     z = F.lit(NormalDist().inv_cdf(1 - alpha / 2))
     b, se = F.col("estimate"), F.col("std_error")
+    ratios = {"irr": F.exp(b), "lower": F.exp(b - z * se), "upper": F.exp(b + z * se)}
+    if digits is not None:
+        ratios = {name: F.bround(c, digits) for name, c in ratios.items()}
     return coefficients(fit, by, robust).select(
         *by,
         "model",
         "term_no",
         "term",
-        F.exp(b).alias("irr"),
-        F.exp(b - z * se).alias("lower"),
-        F.exp(b + z * se).alias("upper"),
+        *[c.alias(name) for name, c in ratios.items()],
         se.alias("std_error"),
         (F.exp(b) * se).alias("irr_std_error"),
         "p_value",

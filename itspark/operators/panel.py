@@ -50,18 +50,23 @@ def count_by(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_group_count(
-    df: DataFrame, *by: str, out: str = "n", few_groups: bool = False, spread: int = 0
-) -> DataFrame:
+def with_group_count(df: DataFrame, *by: str, out: str = "n", spread: int = 0) -> DataFrame:
     """Every record with the size of its group.
 
     The sizes are aggregated (map-side first) and joined back, so a group is not gathered in one task as a
-    window over it would be. ``few_groups`` says that the number of groups is fixed, as with study periods:
-    the sizes are then broadcast and the records are not shuffled. Otherwise ``spread`` splits heavy groups
-    as in ``link_left``.
+    window over it would be; ``spread`` splits heavy groups in the join, as in ``link_left``.
+    """
+    return link_left(df, df.groupBy(*by).agg(F.count(F.lit(1)).alias(out)), by, spread=spread)
+
+
+def with_period_count(df: DataFrame, period: str = "time_weeks", out: str = "n", n: int = N_PERIODS) -> DataFrame:
+    """Records of the periods 1..n with the size of their period.
+
+    The sizes are at most ``n`` rows by the filter, so they are broadcast and the records are not shuffled.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
-    return link_left(df, F.broadcast(sizes) if few_groups else sizes, by, spread=0 if few_groups else spread)
+    inside = df.filter(F.col(period).between(1, n))
+    sizes = inside.groupBy(period).agg(F.count(F.lit(1)).alias(out))
+    return link_left(inside, F.broadcast(sizes), [period], na_matches=False)
 
 
 def panel(

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itspark.functions.arrays import dot, let
 from itspark.functions.axis import N_PERIODS
 
 
@@ -19,15 +20,6 @@ def default_lags(n: int) -> int:
     return min(int(10 * math.log10(n)), n - 1)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
 def acf_arrays(
     df: DataFrame, value: str = "residual", by: Sequence[str] = ("series", "model"), order: str = "period",
     max_lag: int | None = None, longest: int = N_PERIODS,
@@ -75,8 +67,8 @@ def partial_from_acf(r: Column) -> Column:
     def next_order(state: Column, k: Column) -> Column:
         phi = state["phi"]
         nearest_last = F.slice(r, F.lit(2), k - 1)
-        unexplained = F.get(r, k) - _dot(phi, F.reverse(nearest_last))
-        left_over = F.lit(1.0) - _dot(phi, nearest_last)
+        unexplained = F.get(r, k) - dot(phi, F.reverse(nearest_last))
+        left_over = F.lit(1.0) - dot(phi, nearest_last)
 
         def extend(last: Column) -> Column:
             corrected = F.zip_with(phi, F.reverse(phi), lambda own, mirrored: own - last * mirrored)
@@ -85,7 +77,7 @@ def partial_from_acf(r: Column) -> Column:
                 F.concat(state["pacf"], F.array(last)).cast("array<double>").alias("pacf"),
             )
 
-        return _let(F.try_divide(unexplained, left_over), extend)
+        return let(F.try_divide(unexplained, left_over), extend)
 
     orders = F.slice(F.sequence(F.lit(0), F.size(r)), F.lit(2), F.size(r) - 1)
     return F.aggregate(orders, start, next_order, lambda s: s["pacf"])

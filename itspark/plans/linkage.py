@@ -76,5 +76,8 @@ def default_sources(
     ]
 
 
-def link_cohort(cohort: DataFrame, sources: Sequence[SourceSpec], status: bool = False) -> DataFrame:
-    return link_sources(cohort, sources, KEYS, status=status)
+def link_cohort(
+    cohort: DataFrame, sources: Sequence[SourceSpec], status: bool = False, trim_to: int = 6
+) -> DataFrame:
+    """Link by the composite key; ``trim_to`` must be the one the cohort ids were cut to."""
+    return link_sources(cohort, sources, KEYS, trim_to=trim_to, status=status)

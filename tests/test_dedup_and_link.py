@@ -94,6 +94,9 @@ def test_link_left(spark, spread):
 def test_link_needs_a_common_column(spark):
     with pytest.raises(ValueError):
         link.link_left(spark.range(1), spark.range(1).withColumnRenamed("id", "x"))
+    both = spark.createDataFrame([(1, 2)], "k int, v int")
+    with pytest.raises(ValueError):
+        link.link_left(both, both, ["k"])
 
 
 def test_spread_splits_a_key_that_holds_most_rows(spark):
@@ -166,6 +169,8 @@ def test_bind_on_period_and_group_counts(spark):
     b = spark.createDataFrame([("s", 1, 1), ("s", 2, 2)], "series string, period int, b int")
     assert rows(link.bind_on_period(a, b)) == [("s", 1, 10, 1), ("s", 2, 20, 2)]
     df = spark.createDataFrame([("x", 1), ("x", 2), (None, 3), (None, 4), (None, 5)], "g string, id int")
-    for options in ({}, {"few_groups": True}, {"spread": 3}):
-        assert rows(panel.with_group_count(df, "g", **options), "id", "n") == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3)]
+    for spread in (0, 3):
+        assert rows(panel.with_group_count(df, "g", spread=spread), "id", "n") == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3)]
+    weeks = spark.createDataFrame([(1, 1), (2, 1), (3, 207), (4, 208), (5, None)], "id int, time_weeks int")
+    assert rows(panel.with_period_count(weeks), "id", "n") == [(1, 2), (2, 2), (3, 1)]
     assert rows(panel.count_by(df, "g")) == [("x", 2), (None, 3)]
