@@ -24,21 +24,22 @@ _FIXED_WIDTH = (
 )
 
 
+def _one_row_per_key(df: DataFrame, keys: Sequence[str]):
+    """The grouped table, whether all rows of a key agree, and how to get a column of them."""
+    rest = [f for f in df.schema.fields if f.name not in keys]
+    fixed = all(isinstance(f.dataType, _FIXED_WIDTH) for f in rest)
+    return (_agree_by_column if fixed else _agree_by_row)(df, keys, [f.name for f in rest])
+
+
 def collapse_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key: the other columns, nulled where copies of the key disagree, and ``conflicted``.
 
     Exact copies agree with themselves, so they are removed in the same shuffle. Null keys form one group.
     """
-    rest = [f for f in df.schema.fields if f.name not in keys]
-    names = [f.name for f in rest]
-    if not rest:
-        return df.select(*keys).distinct().withColumn("conflicted", F.lit(False))
-    if all(isinstance(f.dataType, _FIXED_WIDTH) for f in rest):
-        grouped, agreed, value = _agree_by_column(df, keys, names)
-    else:
-        grouped, agreed, value = _agree_by_row(df, keys, names)
+    grouped, agreed, value = _one_row_per_key(df, keys)
+    kept = ~F.col("conflicted")
     return grouped.withColumn("conflicted", ~agreed).select(
-        *keys, *[F.when(~F.col("conflicted"), value(c)).alias(c) for c in names], "conflicted"
+        *keys, *[F.when(kept, value(c)).alias(c) for c in df.columns if c not in keys], "conflicted"
     )
 
 
@@ -63,7 +64,8 @@ def _agree_by_column(df: DataFrame, keys: Sequence[str], names: Sequence[str]):
 
 def drop_conflicts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove exact copies, then every row of a key that still has more than one row."""
-    return collapse_keys(df, keys).filter(~F.col("conflicted")).select(*df.columns)
+    grouped, agreed, value = _one_row_per_key(df, keys)
+    return grouped.filter(agreed).select(*[F.col(c) if c in keys else value(c).alias(c) for c in df.columns])
 
 
 def drop_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

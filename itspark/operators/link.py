@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itspark.functions.recode import key_suffix
-from itspark.operators.dedup import collapse_keys
+from itspark.operators.dedup import collapse_keys, drop_conflicts
 
 HEAVY_KEYS = 64
 HEAVY_SHARE = 0.002
@@ -105,17 +105,28 @@ class SourceSpec:
 
 
 def prepare_source(
-    spec: SourceSpec, keys: Sequence[str], trim: str | None = "mother_id", trim_to: int = 6
+    spec: SourceSpec,
+    keys: Sequence[str],
+    trim: str | None = "mother_id",
+    trim_to: int = 6,
+    mark_conflicts: bool = False,
 ) -> DataFrame:
-    """Select and rename, trim the id, collapse to one row per key, recode; conflicts stay, marked."""
+    """Select and rename, trim the id, reduce to one row per key, recode.
+
+    Conflicting keys drop out, or stay with null values and ``conflicted`` true under ``mark_conflicts``.
+    """
     df = spec.df.select(*[F.col(old).alias(new) for old, new in spec.columns.items()])
     if trim:
         df = df.withColumn(trim, key_suffix(F.col(trim), trim_to))
-    df = collapse_keys(df, keys)
+    df = collapse_keys(df, keys) if mark_conflicts else drop_conflicts(df, keys)
     if spec.recode:
         df = spec.recode(df)
     values = spec.keep if spec.keep is not None else [c for c in df.columns if c not in (*keys, "conflicted")]
-    return df.select(*keys, *values, "conflicted")
+    if not mark_conflicts:
+        return df.select(*keys, *values)
+    # A recode may turn null into a default (an unticked box is 0): blank the conflicting keys again.
+    conflicted = F.col("conflicted")
+    return df.select(*keys, *[F.when(~conflicted, F.col(c)).alias(c) for c in values], "conflicted")
 
 
 def link_sources(
@@ -134,18 +145,13 @@ def link_sources(
     """
     linked = cohort
     for spec in sources:
-        source = prepare_source(spec, keys, trim, trim_to)
-        how = f"link_{spec.name}"
-        conflicted, fill = F.col("conflicted"), dict(spec.fill)
+        source = prepare_source(spec, keys, trim, trim_to, mark_conflicts=status)
+        fill = dict(spec.fill)
         if status:
-            # After a recode a conflicting key could carry a default (an unticked box is 0): blank them.
-            values = [c for c in source.columns if c not in (*keys, "conflicted")]
-            source = source.withColumns({c: F.when(~conflicted, F.col(c)) for c in values})
-            source = source.withColumn(how, F.when(conflicted, "conflict").otherwise("matched"))
+            how = f"link_{spec.name}"
+            state = F.when(F.col("conflicted"), "conflict").otherwise("matched")
+            source = source.withColumn(how, state).drop("conflicted")
             fill[how] = "absent"
-        else:
-            source = source.filter(~conflicted)
-        source = source.drop("conflicted")
         linked = link_left(linked, source, keys, na_matches=na_matches, fill=fill)
     return linked
 
