@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.standin import FIRST_DAY, Study
+from checks.standin import Study
 from itspark.functions import axis, harmonic, recode
 from itspark.operators import dedup, effects, link, model, panel, quality, serial, summary
 from itspark.operators.model import MODELS
