@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a new local folder only where none is set."""
+    """The shared folder the session names in spark.checkpoint.dir.
+
+    Without one, a new local folder where driver and tasks are one process (local mode), else an error:
+    executors of a cluster cannot see each other's disks.
+    """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("stages need a shared folder: set spark.checkpoint.dir")
         shared = tempfile.mkdtemp(prefix="itspark-")
         context.setCheckpointDir(shared)
     return shared

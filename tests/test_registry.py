@@ -6,13 +6,14 @@ import re
 import pytest
 
 import __spark_entry__ as driver
+from checks import oracle, queries as registered
 from checks.compare import compare, open_duck
 from checks.plans import plan_counts
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registered.registry(), oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,8 @@ def duck():
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= driver.queries().keys()
+    assert driver.oracle_sql().keys() <= driver.queries().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

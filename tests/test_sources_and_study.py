@@ -37,9 +37,9 @@ def test_written_text_reads_back(spark, tmp_path):
 class Session:
     """A session that names a shared folder, or none."""
 
-    def __init__(self, shared):
+    def __init__(self, shared, master="local[2]"):
         self.conf, self.sparkContext = self, self
-        self.shared, self.set_to = shared, None
+        self.shared, self.set_to, self.master = shared, None, master
 
     def get(self, key, default):
         assert key == "spark.checkpoint.dir"
@@ -57,6 +57,8 @@ def test_stage_uses_the_folder_of_the_session():
     unset = Session(None)
     local = stage.stage_root(unset)
     assert os.path.isdir(local) and stage.stage_root(unset) == local
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stage.stage_root(Session(None, master="spark://host:7077"))
 
 
 def test_write_stage_keeps_types(spark, tmp_path):
