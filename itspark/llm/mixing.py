@@ -36,14 +36,14 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def in_order(df: DataFrame, by: Sequence[Column], value: str, name: str) -> DataFrame:
-    """Range-sort by columns and number the ranges; adds the sum of ``value`` before each row (``before``).
+def in_order(df: DataFrame, by: Sequence[Column], name: str) -> DataFrame:
+    """Range-partition by columns and number the ranges.
 
     The range number is staged with the rows, so sums and offsets speak of the same ranges whatever task is
     run again. Only one sum per range is put in order in one place.
     """
-    ranged = staged(df.repartitionByRange(shuffle_partitions(df.sparkSession), *by).withColumn("_range", F.spark_partition_id()), name)
-    return ranged
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by)
+    return staged(ranged.withColumn("_range", F.spark_partition_id()), name)
 
 
 def source_order(size_of: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -51,7 +51,7 @@ def source_order(size_of: DataFrame, weights: Sequence[float]) -> DataFrame:
 
     A source's place is the number of sources in earlier ranges plus its place in its own range.
     """
-    ranged = in_order(size_of, [F.col("source").isNull(), F.col("source")], "source_size", "sources")
+    ranged = in_order(size_of, [F.col("source").isNull(), F.col("source")], "sources")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").isNull(), F.col("source")))
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     the fraction.
     """
     order = [F.col("source"), F.col("draw"), F.col("doc_id"), F.col("size")]
-    ranged = in_order(sizes(docs), order, "size", "drawn")
+    ranged = in_order(staged(sizes(docs), "sizes"), order, "drawn")
     sums = staged(ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "sums")
     goal = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, max_epochs)
     # One row per source and range: at most the number of ranges plus the number of sources in all.

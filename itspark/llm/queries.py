@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import mixing, rules, sql
+from itspark.llm import lines, mixing, rules, sql
 from itspark.llm.common import table_path
 
 
@@ -16,6 +16,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
+    return lines.apply_bitmaps(docs, body=False).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     scored = rules.score(docs.select("doc_id", F.col("text").alias("_body")), "_body")
@@ -26,7 +31,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op7_lines, op10_quality)}
 
 
 def statements() -> dict[str, str]:

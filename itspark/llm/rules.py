@@ -22,21 +22,25 @@ from itspark.llm.common import staged, text_of
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACES = r"[\x20\x09-\x0D]+"
-VOTES = (-1, 0, 1)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_ended_lines", "n_capitals", "n_shouts")
 
-#: Name, the share that the rule looks at, and from where it votes bad and good.
+#: Name, the share that the rule looks at, where it votes bad, and where good. Most rules only know bad
+#: documents when they see them: a text without symbols may be anything.
 RULES = (
     ("length", "n_words", "x < 50", "x >= 80"),
     ("word_length", "word_chars / n_words", "x < 3 or x > 12", "x >= 4 and x <= 9"),
-    ("symbols", "n_symbols / n_words", "x > 0.1", "x < 0.02"),
-    ("dup_lines", "n_dup_lines / n_lines", "x > 0.3", "x < 0.1"),
-    ("repeats", "n_repeat_words / n_words", "x > 0.4", "x < 0.2"),
-    ("capitals", "n_capitals / word_chars", "x > 0.3", "x < 0.15"),
-    ("shouts", "n_shouts / n_words", "x > 0.1", "x < 0.02"),
+    ("symbols", "n_symbols / n_words", "x > 0.1", "false"),
+    ("dup_lines", "n_dup_lines / n_lines", "x > 0.5", "false"),
+    ("repeats", "n_repeat_words / n_words", "x > 0.45", "x < 0.2"),
+    ("capitals", "n_capitals / word_chars", "x > 0.3", "false"),
+    ("shouts", "n_shouts / n_words", "x > 0.1", "false"),
     ("ended_lines", "n_ended_lines / n_lines", "x < 0.1", "x > 0.5"),
 )
+#: What is believed of a rule before: so much of its votes is right, as if seen in so many times its votes.
+ACCURACY, TRUST = 0.95, 5.0
+#: A document is kept if it is good with this probability.
+THRESHOLD = 0.8
 
 
 def with_statistics(df: DataFrame, text: Column) -> DataFrame:
@@ -112,43 +116,47 @@ class VoteModel:
     def posterior(self) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for rule, of in self.log_ratio.items():
-            v = F.col(rule)
-            odds = odds + F.when(v == 1, of[1]).when(v == -1, of[-1]).otherwise(of[0])
+            odds = odds + F.when(F.col(rule) == 1, of[1]).when(F.col(rule) == -1, of[-1]).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, rounds: int = 30, tolerance: float = 1e-5, smoothing: float = 1.0) -> VoteModel:
+def fit(voted: DataFrame, rounds: int = 30, tolerance: float = 1e-4, accuracy: float = ACCURACY, trust: float = TRUST) -> VoteModel:
     """Expectation-maximisation over the pattern counts of a staged table with vote columns.
 
-    It starts from the belief that a document with a bad vote is bad. ``smoothing`` is added to every count.
+    Kinds of junk that only one rule can see agree with nothing else, and maximum likelihood may count them
+    as good. So the estimate is the posterior mode under a prior: ``accuracy`` of each rule's votes is right,
+    weighing ``trust`` times the votes cast, whatever the size of the table. Abstaining says nothing.
     """
     rules = [f"_vote_{r[0]}" for r in RULES]
     patterns = staged(voted.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), "patterns").coalesce(1)
-    any_bad = F.least(*[F.col(r) for r in rules]) == -1
-    belief, model = F.when(any_bad, 0.1).otherwise(0.9), VoteModel(0.5, {r: dict.fromkeys(VOTES, 0.0) for r in rules})
+    belief = F.when(F.least(*[F.col(r) for r in rules]) == -1, 0.1).otherwise(0.9)
+    model = VoteModel(0.5, {r: {-1: 0.0, 1: 0.0} for r in rules})
     for _ in range(rounds):
         good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
         sums = patterns.withColumn("p", belief).agg(
             F.sum(good).alias("good"),
             F.sum(bad).alias("bad"),
-            *[F.sum(F.when(F.col(r) == v, c)).alias(f"{r} {v} {k}") for r in rules for v in VOTES for k, c in (("good", good), ("bad", bad))],
+            *[F.sum(F.when(F.col(r) == v, c)).alias(f"{r} {v} {k}") for r in rules for v in (-1, 1) for k, c in (("good", good), ("bad", bad))],
         ).first()
         if sums["good"] is None:
             break
 
-        def part(r: str, v: int, k: str) -> float:
-            return ((sums[f"{r} {v} {k}"] or 0.0) + smoothing) / (sums[k] + 3 * smoothing)
+        def chance(r: str, v: int, k: str) -> float:
+            """Probability of the vote in the class; one is added so that no vote is impossible."""
+            seen = {w: {c: sums[f"{r} {w} {c}"] or 0.0 for c in ("good", "bad")} for w in (-1, 1)}
+            prior = {w: trust * sum(seen[w].values()) * (accuracy if (w == 1) == (k == "good") else 1 - accuracy) for w in (-1, 1)}
+            return (seen[v][k] + prior[v] + 1) / (sums[k] + sum(prior.values()) + 3)
 
-        prior = (sums["good"] + smoothing) / (sums["good"] + sums["bad"] + 2 * smoothing)
+        prior = (sums["good"] + 1) / (sums["good"] + sums["bad"] + 2)
         moved = abs(prior - model.prior)
-        model = VoteModel(prior, {r: {v: math.log(part(r, v, "good") / part(r, v, "bad")) for v in VOTES} for r in rules})
+        model = VoteModel(prior, {r: {v: math.log(chance(r, v, "good") / chance(r, v, "bad")) for v in (-1, 1)} for r in rules})
         belief = model.posterior()
         if moved < tolerance:
             break
     return model
 
 
-def score(df: DataFrame, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(df: DataFrame, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with ``_<count>``, ``_base_failed``, ``_posterior`` and ``_kept`` added.
 
     A document is kept if it passes the base test and its posterior is at least ``threshold``.
