@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import lines, mixing, rules, sql
+from itspark.llm import contamination, lines, mixing, rules, sql
 from itspark.llm.common import table_path
 
 
@@ -16,6 +16,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(table_path(sf_dir, t)) for t in ("documents", "benchmark"))
+    found = contamination.contamination(docs, benchmark)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     return lines.apply_bitmaps(docs, body=False).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -31,7 +37,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op7_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op7_lines, op10_quality)}
 
 
 def statements() -> dict[str, str]:

@@ -54,4 +54,31 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-STATEMENTS = {"op1_mix": MIX, "op7_lines": LINES}
+WORDS = r"""
+  SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM {table}
+"""
+
+CONTAMINATION = f"""
+WITH items AS ({WORDS.format(id="item_id", table="benchmark")}), docs AS ({WORDS.format(id="doc_id", table="documents")}),
+windows AS (
+  SELECT item_id, words[i : i + 12] AS w FROM (SELECT *, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM items WHERE len(words) > 0)
+), sizes AS (SELECT DISTINCT len(w) AS size FROM windows
+), stretches AS (
+  SELECT doc_id, i, size, words[i : i + size - 1] AS w
+  FROM (SELECT d.*, s.size, unnest(range(1, len(d.words) - s.size + 2)) AS i FROM docs d, sizes s WHERE len(d.words) >= s.size)
+), found AS (
+  SELECT s.doc_id, s.i, s.size, b.item_id FROM stretches s JOIN windows b ON s.w = b.w
+), hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM found) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(l.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(l.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""
+
+STATEMENTS = {"op1_mix": MIX, "op2_decontaminate": CONTAMINATION, "op7_lines": LINES}
