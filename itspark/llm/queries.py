@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import contamination, lines, mixing, rules, sql
+from itspark.llm import contamination, lines, mixing, rules, simhash, sql, tokens
 from itspark.llm.common import table_path
+from itspark.sources import stage
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    return tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), stage.new_stage_path(spark, "token-cache"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    return simhash.groups(docs).select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     return lines.apply_bitmaps(docs, body=False).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -37,7 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op7_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op7_lines, op10_quality)}
 
 
 def statements() -> dict[str, str]:
