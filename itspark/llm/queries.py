@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import contamination, lines, mixing, rules, simhash, sql, tokens
+from itspark.llm import contamination, lines, mixing, rules, simhash, sql, suffixes, tokens, windows
 from itspark.llm.common import table_path
 from itspark.sources import stage
 
@@ -35,11 +35,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(docs).select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    return suffixes.remove_repeated_bytes(docs).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     return lines.apply_bitmaps(docs, body=False).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    return windows.remove_repeated_windows(docs).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     scored = rules.score(docs.select("doc_id", F.col("text").alias("_body")), "_body")
@@ -50,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op7_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op7_lines, op8_windows, op10_quality)}
 
 
 def statements() -> dict[str, str]:
