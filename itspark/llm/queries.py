@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import contamination, lines, mixing, rules, simhash, sql, suffixes, tokens, windows
+from itspark.llm import contamination, lines, mixing, rules, simhash, sql, suffixes, tokens, warc, windows
 from itspark.llm.common import table_path
 from itspark.sources import stage
 
@@ -50,6 +50,18 @@ def op8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeated_windows(docs).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages become legacy archives, half of them of either version; these are converted and read back."""
+    pages = spark.read.parquet(table_path(sf_dir, "pages"))
+    folder = stage.new_stage_path(spark, "archives")
+    parts = {1: F.xxhash64("page_id") % 2 == 0, 2: F.xxhash64("page_id") % 2 != 0}
+    for version, own in parts.items():
+        warc.to_arc(pages.filter(own), f"{folder}/arc{version}", version)
+    warc.convert(spark, [f"{folder}/arc{v}" for v in parts], f"{folder}/warc")
+    read = warc.read_warc(spark, f"{folder}/warc", body=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     scored = rules.score(docs.select("doc_id", F.col("text").alias("_body")), "_body")
@@ -60,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op7_lines, op8_windows, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op7_lines, op8_windows, op9_warc, op10_quality)}
 
 
 def statements() -> dict[str, str]:

@@ -81,4 +81,12 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT A
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
-STATEMENTS = {"op1_mix": MIX, "op2_decontaminate": CONTAMINATION, "op7_lines": LINES}
+ARCHIVES = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+STATEMENTS = {"op9_warc": ARCHIVES, "op1_mix": MIX, "op2_decontaminate": CONTAMINATION, "op7_lines": LINES}
