@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import contamination, lines, mixing, rules, simhash, sql, suffixes, tokens, warc, windows
+from itspark.llm import chat, contamination, lines, mixing, rules, simhash, sql, suffixes, tokens, warc, windows
 from itspark.llm.common import table_path
 from itspark.sources import stage
 
@@ -40,6 +40,12 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(docs).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.repair(spark.read.parquet(table_path(sf_dir, "conversations")))
+    inserted = [F.array_join(F.col(c), ",").alias(c) for c in ("inserted_before", "inserted_after")]
+    return turns.select("conv_id", "turn", "role", "new_role", "merged", *inserted, "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     return lines.apply_bitmaps(docs, body=False).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -72,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op7_lines, op8_windows, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op6_chat, op7_lines, op8_windows, op9_warc, op10_quality)}
 
 
 def statements() -> dict[str, str]:
