@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itspark.llm.common import staged, text_of
+from itspark.llm.common import staged, text_key, text_of
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated where at least one word in so many is hit
 SEGMENT_WORDS = 1 << 19
 BLOCK_WINDOWS = 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEGMENTS = "segment string, doc_id array<long>, n_words array<int>, term array<string>, n array<int>, places array<long>"
+SEGMENTS = "segment string, doc_id array<long>, key array<binary>, n_words array<int>, term array<string>, n array<int>, places array<long>"
 LOW = 32
 
 #: Bytes that belong to words, after A-Z became a-z: digits, a-z, and every byte of a character beyond ASCII.
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, terms: set[str]) -> DataFrame:
     """Segments of the corpus with the places of the given terms."""
     sent = docs.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(sorted(terms))})
 
-    def segment(number: int, ids: list, counts: list[int], found: list[np.ndarray], at: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
+    def segment(number: int, ids: list, keys: list, counts: list[int], found: list[np.ndarray], at: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
         codes, places = np.concatenate(found), np.concatenate(at)
         order = np.argsort(codes, kind="stable")
         codes, places = codes[order], places[order]
@@ -74,34 +74,35 @@ def build_index(docs: DataFrame, terms: set[str]) -> DataFrame:
         sizes = np.diff(np.append(firsts, len(codes)))
         context = TaskContext.get()
         values = [
-            f"{context.partitionId()}-{number}", ids, counts, [names[c].decode() for c in codes[firsts]], sizes.tolist(), places,
+            f"{context.partitionId()}-{number}", ids, keys, counts, [names[c].decode() for c in codes[firsts]], sizes.tolist(), places,
         ]
-        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["segment", "doc_id", "n_words", "term", "n", "places"])
+        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["segment", "doc_id", "key", "n_words", "term", "n", "places"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = sent.value
         names = sorted(codes)
         number, held = 0, 0
-        ids, counts, found, at = [], [], [], []
+        ids, keys, counts, found, at = [], [], [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary())):
+            for doc_id, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text").cast(pa.binary())):
                 words = words_of(text.as_py())
                 hits = np.fromiter((codes.get(w, -1) for w in words), np.int64, len(words))
                 places = np.flatnonzero(hits >= 0)
                 found.append(hits[places])
                 at.append(places + (len(ids) << LOW))
                 ids.append(doc_id.as_py())
+                keys.append(key.as_py())
                 counts.append(len(words))
                 held += len(words)
                 if held >= SEGMENT_WORDS:
-                    yield segment(number, ids, counts, found, at, names)
+                    yield segment(number, ids, keys, counts, found, at, names)
                     number, held = number + 1, 0
-                    ids, counts, found, at = [], [], [], []
+                    ids, keys, counts, found, at = [], [], [], [], []
         if ids:
-            yield segment(number, ids, counts, found, at, names)
+            yield segment(number, ids, keys, counts, found, at, names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, SEGMENTS)
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text_of().alias("text")).mapInArrow(work, SEGMENTS)
 
 
 def term_counts(index: DataFrame) -> dict[str, int]:
@@ -189,7 +190,7 @@ def search(index: DataFrame, phrases: dict[str, list[str]], counts: dict[str, in
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The index's documents (segment, number, doc_id, n_words), and all matches of the test set's windows in them."""
+    """The index's documents (segment, number, doc_id, key, n_words), and all matches of the test set's windows in them."""
     windows = staged(test_windows(benchmark, window), "windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
@@ -203,12 +204,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distanc
         found = of_block if found is None else found.unionAll(of_block)
         # Segments are cut by all words of a partition, so those of every block agree in documents and numbers.
         listed = index if listed is None else listed
-    numbers = listed.select("segment", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("number", "d"))
-    return numbers.select("segment", "number", "d.doc_id", "d.n_words"), found
+    numbers = listed.select("segment", F.posexplode(F.arrays_zip("doc_id", "key", "n_words")).alias("number", "d"))
+    return numbers.select("segment", "number", "d.doc_id", "d.key", "d.n_words"), found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated: one row per document.
+    """doc_id, key (of the text), n_words, n_hit, n_items, items, contaminated: one row per document.
 
     A word is hit if it lies inside an occurrence of a window. Contaminated: some word is hit, and at least
     one in ``min_share``.
@@ -228,7 +229,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     joined = listed.join(hits, ["segment", "number"], "left")
     n_words, hit = F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
-        "doc_id", n_words.alias("n_words"), hit.alias("n_hit"),
+        "doc_id", "key", n_words.alias("n_words"), hit.alias("n_hit"),
         F.size(F.coalesce("items", F.array())).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((hit > 0) & (min_share * hit >= n_words)).alias("contaminated"),

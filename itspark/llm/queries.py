@@ -78,7 +78,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op6_chat, op7_lines, op8_windows, op9_warc, op10_quality)}
+    import corpus_pipeline
+
+    operators = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op6_chat, op7_lines, op8_windows, op9_warc, op10_quality)}
+    return {**operators, "pipeline": corpus_pipeline.run}
 
 
 def statements() -> dict[str, str]:

@@ -26,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itspark.llm.common import shuffle_partitions, staged, text_of
+from itspark.llm.common import shuffle_partitions, staged, text_key, text_of
 from itspark.llm.components import components
 from itspark.llm.grams import mixed
 
@@ -80,7 +80,7 @@ def majority(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(sizes)), sizes) * 256
     out = np.zeros((len(sizes), words), np.uint64)
     for word in range(words):
-        bits = hashes if word == 0 else mixed(hashes + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15))
+        bits = hashes if word == 0 else mixed(hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64))
         for byte in range(8):
             values = ((bits >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)
             votes = np.bincount(owner + values, minlength=256 * len(sizes)).reshape(-1, 256) @ _BITS
@@ -90,31 +90,32 @@ def majority(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id and the fingerprint as bytes, most significant first."""
+    """doc_id, content key, and the fingerprint as bytes, most significant first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids, hashes, sizes):
+        def flush(ids, keys, hashes, sizes):
             made = majority(np.array(hashes, np.uint64), np.array(sizes, np.int64), plan.words)
             raw = made.astype(">u8").tobytes()
             step = 8 * plan.words
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())], names=["doc_id", "fingerprint"]
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())], names=["doc_id", "key", "fingerprint"]
             )
 
         for batch in batches:
-            ids, hashes, sizes = [], [], []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary())):
+            ids, keys, hashes, sizes = [], [], [], []
+            for doc_id, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text").cast(pa.binary())):
                 of = shingle_hashes(text.as_py(), plan.width)
                 ids.append(doc_id.as_py())
+                keys.append(key.as_py())
                 hashes.extend(of)
                 sizes.append(len(of))
                 if len(hashes) > 200_000 or len(ids) >= 500:
-                    yield flush(ids, hashes, sizes)
-                    ids, hashes, sizes = [], [], []
+                    yield flush(ids, keys, hashes, sizes)
+                    ids, keys, hashes, sizes = [], [], [], []
             if ids:
-                yield flush(ids, hashes, sizes)
+                yield flush(ids, keys, hashes, sizes)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, "doc_id long, fingerprint binary")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text_of().alias("text")).mapInArrow(work, "doc_id long, key binary, fingerprint binary")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -308,7 +309,7 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
 
 
 def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """doc_id, fingerprint, root (the group's fingerprint node), component_id: the smallest id in the group."""
+    """doc_id, key, fingerprint, root (the group's node), component_id: the smallest id in the group."""
     prints = staged(fingerprints(docs, plan), "fingerprints")
     nodes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("label")).withColumn("node", F.xxhash64("fingerprint")), "nodes")
     member = staged(components(links(nodes, plan)).join(nodes.select("node", "label"), "node"), "members")
@@ -317,4 +318,17 @@ def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     known = nodes.join(named, "node", "left").select(
         "fingerprint", F.coalesce("root", "node").alias("root"), F.coalesce("lowest", "label").alias("component_id")
     )
-    return prints.join(staged(known, "known"), "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+    return prints.join(staged(known, "known"), "fingerprint").select("doc_id", "key", "fingerprint", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """Of each group the row with the smallest id, of equal rows any one; all columns as they were."""
+    first = groups(docs, plan).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("w"))
+    winners = first.select(F.col("w.none").alias("_none"), F.coalesce("w.doc_id", F.lit(0)).alias("_id"), F.col("w.key").alias("_key"))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), text_key().alias("_key")
+    )
+    # Rows with equal id and text are together already; among them one stays.
+    equal = Window.partitionBy("_none", "_id", "_key").orderBy(F.lit(1))
+    kept = rows.join(staged(winners, "winners"), ["_none", "_id", "_key"]).withColumn("_n", F.row_number().over(equal)).filter("_n = 1")
+    return kept.select("row.*")
