@@ -88,6 +88,7 @@ WHERE feed_on_discharge IS NOT NULL AND total_previous_pregnancies IS NOT NULL A
   AND smoking_during_pregnancy IS NOT NULL AND sex IS NOT NULL AND mother_age IS NOT NULL AND simd_quintile IS NOT NULL
 """
 
+ALL = {"records": "SELECT o_orderkey, o_orderstatus, o_totalprice, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority FROM orders"}
 STUDY = {"keyed": KEYED, "records": RECORDS}
 CLEANED = {"keyed": KEYED, "births": BIRTHS, "clean": CLEAN}
 COHORTED = {**CLEANED, "cohort": COHORT}
@@ -114,7 +115,7 @@ SELECT right(full_id, 6) AS mother_id, weeks_rel, cohort_id,
   CASE l_returnflag WHEN 'R' THEN 'Y' WHEN 'A' THEN 'N' END AS pr,
   CASE l_linestatus WHEN 'F' THEN 'Y' ELSE 'N' END AS su,
   CASE WHEN l_discount > 0.05::DOUBLE THEN 'Y' WHEN l_discount > 0 THEN 'N' END AS si
-FROM lineitem JOIN keyed ON l_orderkey = o_orderkey WHERE l_linenumber = {number}"""
+FROM lineitem JOIN keyed ON l_orderkey = o_orderkey WHERE l_linenumber % 2 = {number % 2}"""
 
 
 SOURCES = {
@@ -558,7 +559,7 @@ def segment_bands() -> str:
         f"SELECT series, b.model, {big('b.period')} AS period, {big('b.t')} AS t, {big('b.level')} AS level, {big('b.trend')} AS trend,"
         f" {', '.join(parts).replace('trend =', 'b.trend =').replace('trend >', 'b.trend >')}, {num('p.rate')} AS rate,"
         f" {day('DATE ' + repr('1995-01-08') + ' + CAST(7 * (b.period - 1) AS INTEGER)')} AS week_start"
-        " FROM band b JOIN panel p USING (series, period) WHERE b.model = 'poisson_harmonic'",
+        " FROM band b LEFT JOIN panel p USING (series, period) WHERE b.model = 'poisson_harmonic'",
     )
 
 
@@ -581,6 +582,29 @@ def its_effects() -> str:
     )
 
 
+def its_effects_by() -> str:
+    """The stratum is made part of the series' name for the fit, and taken off again, so that null is one too."""
+    series = [(f"{n}", *rest) for n, *rest in STUDY_SERIES[2:]]
+    ctes = {
+        **STUDY,
+        "seg": "SELECT records.*, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE '' END AS s FROM records LEFT JOIN customer ON c_custkey = o_custkey",
+        "parts": panel_sql("seg", "t", series, "s"),
+        "panel": "SELECT * EXCLUDE (s, series), s || '|' || series AS series FROM parts",
+    }
+    ctes.update(fit_ctes("l", False))
+    ctes["grid"] = FACTUAL_GRID
+    body = (
+        f"SELECT series, period, exp({_eta(False)}) * scale AS factual, exp({_eta(False, '0.0', '0.0')}) * scale AS counterfactual"
+        " FROM grid JOIN l_fit USING (series) WHERE period IN (109, 129)"
+    )
+    return select(
+        ctes,
+        "SELECT nullif(split_part(series, '|', 1), '') AS c_mktsegment, split_part(series, '|', 2) AS series, 'poisson' AS model,"
+        f" {big('period')} AS period, {num('factual')} AS factual, {num('counterfactual')} AS counterfactual,"
+        f" {big('period - 104')} AS post_week, {num('factual - counterfactual')} AS effect FROM ({body})",
+    )
+
+
 def its_ladder() -> str:
     ctes = dict(LINKED_PANEL)
     ctes.update(fit_ctes("l", False))
@@ -629,8 +653,9 @@ def attrition() -> str:
     for i, name in enumerate(names):
         left = " AND ".join(ok[:i]) or "true"
         failing = f"count(*) FILTER (WHERE NOT ({ok[i - 1]}))" if i else "0"
+        unknown = f"count(*) FILTER (WHERE ({ok[i - 1]}) IS NULL)" if i else "0"
         parts.append(
-            f"SELECT {big(i)} AS step_no, '{name}' AS step, {big(failing)} AS n_failing, {big(f'count(*) FILTER (WHERE {left})')} AS n_rows,"
+            f"SELECT {big(i)} AS step_no, '{name}' AS step, {big(failing)} AS n_failing, {big(unknown)} AS n_unknown, {big(f'count(*) FILTER (WHERE {left})')} AS n_rows,"
             f" {big(f'count(DISTINCT (full_id, weeks_rel, cohort_id)) FILTER (WHERE {left})')} AS n_keys FROM births"
         )
     return select({"keyed": KEYED, "births": BIRTHS}, " UNION ALL ".join(parts))
@@ -759,7 +784,7 @@ def link_star() -> str:
 
 def panel_filled() -> str:
     by_segment = (
-        "SELECT records.*, c_mktsegment FROM records LEFT JOIN customer ON c_custkey = o_custkey"
+        "SELECT records.*, nullif(c_mktsegment, 'MACHINERY') AS c_mktsegment FROM records LEFT JOIN customer ON c_custkey = o_custkey"
     )
     ctes = {**STUDY, "seg": by_segment, "panel": panel_sql("seg", "t", STUDY_SERIES[1:3], "c_mktsegment")}
     values = "(SELECT c_mktsegment, series, period, denominator, numerator, rate FROM panel) v"
@@ -769,7 +794,7 @@ def panel_filled() -> str:
         f" {big(trend('g.p'))} AS trend, {big('coalesce(denominator, 0)')} AS denominator, {num('coalesce(numerator, 0)')} AS numerator,"
         f" {num('rate')} AS rate FROM (SELECT c_mktsegment, series, min(period - t) AS start FROM panel GROUP BY ALL) s"
         f" CROSS JOIN range(1, 208) g(p) LEFT JOIN {values}"
-        " ON v.c_mktsegment = s.c_mktsegment AND v.series = s.series AND v.period = g.p WHERE g.p > start",
+        " ON v.c_mktsegment IS NOT DISTINCT FROM s.c_mktsegment AND v.series = s.series AND v.period = g.p WHERE g.p > start",
     )
 
 
@@ -790,10 +815,11 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "period_spine": period_spine(),
         "study_time": rows(f"o_orderkey, {big('t')} AS time_weeks"),
         "its_terms": rows(f"o_orderkey, {big(level('t'))} AS level, {big(trend('t'))} AS trend_weeks"),
-        "binary_outcome": rows(
-            "o_orderkey, CAST(priority = '1-URGENT' AS BIGINT) AS urgent, CAST(o_totalprice > 250000 AS BIGINT) AS large,"
+        "binary_outcome": select(
+            ALL,
+            "SELECT o_orderkey, CAST(priority = '1-URGENT' AS BIGINT) AS urgent, CAST(o_totalprice > 250000 AS BIGINT) AS large,"
             " CASE WHEN priority = '5-LOW' THEN 'low' WHEN priority <> '5-LOW' THEN 'other' END AS kind,"
-            " CAST(priority IS NOT NULL AS BIGINT) AS observed"
+            " CAST(priority IS NOT NULL AS BIGINT) AS observed FROM records",
         ),
         "recode_sentinel": "SELECT o_orderkey, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority,"
         " nullif(nullif(o_orderstatus, 'P'), 'O') AS status FROM orders",
@@ -803,7 +829,7 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "harmonic_terms": select(STUDY, f"SELECT {big('t')} AS time_weeks, count(*) AS n, {season} FROM records GROUP BY t"),
         "cohort_build": select(COHORTED, f"SELECT {listed((*COHORT_COLUMNS, 'level', 'trend_weeks'))} FROM cohort"),
         "attrition": attrition(),
-        "complete_case": select(STUDY, "SELECT o_orderkey, priority FROM records WHERE priority IS NOT NULL"),
+        "complete_case": select(ALL, "SELECT o_orderkey, priority FROM records WHERE priority IS NOT NULL"),
         "missing_counts": select(
             CLEANED,
             "SELECT count(*) AS n_rows, count(*) FILTER (WHERE " + " OR ".join(f"{c} IS NULL" for c in PROFILED) + ") AS n_incomplete FROM clean",
@@ -811,7 +837,7 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "null_counts": null_counts(),
         "freq_table": freq_table(),
         "freq_table_known": select(
-            STUDY,
+            ALL,
             " UNION ALL ".join(
                 f"SELECT '{c}' AS variable, {c} AS value, count(*) AS n FROM records WHERE {c} IS NOT NULL GROUP BY {c}"
                 for c in ("priority", "o_orderstatus")
@@ -824,16 +850,15 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "miss_by_period": select(CLEANED, miss_rows("clean", "time_weeks", PROFILED, big("time_weeks"))),
         "miss_patterns": miss_patterns(),
         "dedup_exact": f"SELECT DISTINCT * FROM {lines}",
-        "dedup_conflict": "SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, "
-        + ", ".join(f"{num(c)} AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-        + f", l_returnflag, l_linestatus, {day('l_shipdate')} AS l_shipdate FROM (SELECT DISTINCT * FROM lineitem)"
-        " QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1",
+        "dedup_conflict": f"SELECT l_orderkey, l_returnflag, l_linestatus, {num('l_tax')} AS l_tax"
+        " FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus, l_tax FROM lineitem)"
+        " QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_returnflag) = 1",
         "dedup_repeated": f"SELECT * FROM {lines} QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_returnflag) = 1",
         "conflict_report": conflict,
         "window_count": rows("o_orderkey, count(*) OVER (PARTITION BY t) AS n"),
         "window_count_keys": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
         "link_left": select(
-            {**STUDY, "known": "SELECT priority, max(o_totalprice) AS top_price FROM records WHERE priority IS DISTINCT FROM '5-LOW' GROUP BY priority"},
+            {**ALL, "known": "SELECT priority, max(o_totalprice) AS top_price FROM records WHERE priority IS DISTINCT FROM '5-LOW' GROUP BY priority"},
             f"SELECT o_orderkey, r.priority, {num('top_price', 2)} AS top_price, CAST(top_price IS NOT NULL AS BIGINT) AS matched"
             " FROM records r LEFT JOIN known k ON r.priority IS NOT DISTINCT FROM k.priority",
         ),
@@ -842,11 +867,11 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "link_report": link_report(),
         "bind_on_period": select(
             {**STUDY, "panel": panel_sql("records", "t", STUDY_SERIES[:2])},
-            f"SELECT {big('period')} AS period, series, {num('rate')} AS rate, c.n,"
-            f" {day('DATE ' + repr('1995-01-08') + ' + CAST(7 * (period - 1) AS INTEGER)')} AS week_start"
-            " FROM panel JOIN (SELECT t AS period, count(*) AS n FROM records GROUP BY t) c USING (period)",
+            f"SELECT {big('g.p')} AS period, series, {num('rate')} AS rate, c.n,"
+            f" {day('DATE ' + repr('1995-01-08') + ' + CAST(7 * (g.p - 1) AS INTEGER)')} AS week_start FROM range(1, 208) g(p)"
+            " LEFT JOIN (SELECT t AS period, count(*) AS n FROM records GROUP BY t) c ON c.period = g.p LEFT JOIN panel ON panel.period = g.p",
         ),
-        "count_by_period": select({"keyed": KEYED}, f"SELECT {big('r')} AS time_raw, count(*) AS n FROM keyed GROUP BY r"),
+        "count_by_period": select({"keyed": KEYED.replace("WHERE r <= 209", "")}, f"SELECT {big('r')} AS time_raw, count(*) AS n FROM keyed GROUP BY r"),
         "panel_prevalence": select(STUDY_PANEL, panel_out("series IN ('filled', 'urgent')")),
         "panel_truncated": select(
             STUDY_PANEL, panel_out("series IN ('filled', 'urgent') AND period > 25", f", {big('period - 25')} AS time_truncated")
@@ -875,5 +900,6 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "its_ci_band": its_ci_band(),
         "segment_bands": segment_bands(),
         "its_effects": its_effects(),
+        "its_effects_by": its_effects_by(),
         "its_ladder": its_ladder(),
     }

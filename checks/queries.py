@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from checks.standin import Study
 from itspark.functions import axis, harmonic, recode
+from itspark.functions.recode import sentinel_to_null
 from itspark.operators import dedup, effects, link, model, panel, quality, serial, summary
 from itspark.operators.model import MODELS
 from itspark.operators.panel import PERSON_TIME, OutcomeSpec
@@ -107,7 +108,7 @@ def its_terms(s: Study) -> DataFrame:
 def binary_outcome(s: Study) -> DataFrame:
     priority, price = F.col("priority"), F.col("o_totalprice")
     return _plain(
-        s.records().select(
+        s.all_records().select(
             "o_orderkey",
             recode.binary(priority == "1-URGENT").alias("urgent"),
             recode.binary(price > 250000).alias("large"),
@@ -176,7 +177,7 @@ def attrition(s: Study) -> DataFrame:
 
 
 def complete_case(s: Study) -> DataFrame:
-    return _plain(quality.complete_cases(s.records(), ["priority"]).select("o_orderkey", "priority"))
+    return _plain(quality.complete_cases(s.all_records(), ["priority"]).select("o_orderkey", "priority"))
 
 
 def missing_counts(s: Study) -> DataFrame:
@@ -193,7 +194,7 @@ def freq_table(s: Study) -> DataFrame:
 
 
 def freq_table_known(s: Study) -> DataFrame:
-    return quality.freq(s.records(), ["priority", "o_orderstatus"], use_na=False)
+    return quality.freq(s.all_records(), ["priority", "o_orderstatus"], use_na=False)
 
 
 def histogram(s: Study) -> DataFrame:
@@ -231,7 +232,9 @@ def dedup_exact(s: Study) -> DataFrame:
 
 
 def dedup_conflict(s: Study) -> DataFrame:
-    return _plain(dedup.drop_conflicts(s.table("lineitem"), ["l_orderkey", "l_linenumber"]))
+    """Lines cut down to columns in which they repeat and disagree; copies fold, keys in conflict go."""
+    columns = ("l_orderkey", "l_returnflag", "l_linestatus", "l_tax")
+    return _plain(dedup.drop_conflicts(s.table("lineitem").select(*columns), ["l_orderkey", "l_returnflag"]))
 
 
 def dedup_repeated(s: Study) -> DataFrame:
@@ -259,8 +262,8 @@ def window_count(s: Study) -> DataFrame:
 
 def link_left(s: Study) -> DataFrame:
     """Orders linked to a table of priorities by the one column they share, unknown to unknown."""
-    orders = s.records().select("o_orderkey", "priority")
-    priorities = s.records().groupBy("priority").agg(F.max("o_totalprice").alias("top_price"))
+    orders = s.all_records().select("o_orderkey", "priority")
+    priorities = s.all_records().groupBy("priority").agg(F.max("o_totalprice").alias("top_price"))
     known = priorities.filter(F.col("priority").isNull() | (F.col("priority") != "5-LOW"))
     return _plain(link.link_left(orders, known, marker="matched", spread=SPREAD), 2)
 
@@ -292,7 +295,7 @@ def bind_on_period(s: Study) -> DataFrame:
 
 
 def count_by_period(s: Study) -> DataFrame:
-    before = s.keyed_orders().withColumn(
+    before = s.keyed_orders(whole=True).withColumn(
         "time_raw", axis.raw_study_time(F.col("WEEKS_BEFORE_AFTER"), F.col("COHORT_IDENTIFIER"))
     )
     return _plain(panel.count_by(before, "time_raw"))
@@ -318,10 +321,15 @@ def panel_multi(s: Study) -> DataFrame:
     return _plain(outcomes.outcome_panel(s.linked()))
 
 
+def segmented(s: Study, segment: Column) -> DataFrame:
+    """Records with a segment of their customer."""
+    customers = s.table("customer").select(F.col("c_custkey").alias("o_custkey"), segment.alias("c_mktsegment"))
+    return link.link_left(s.records(), customers, ["o_custkey"], na_matches=False, spread=SPREAD)
+
+
 def panel_filled(s: Study) -> DataFrame:
-    """A panel by market segment, weeks without orders included."""
-    customers = s.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    orders = link.link_left(s.records(), customers, ["o_custkey"], na_matches=False, spread=SPREAD)
+    """A panel by market segment, one of which is unknown, weeks without orders included."""
+    orders = segmented(s, sentinel_to_null(F.col("c_mktsegment"), "MACHINERY"))
     by = ["c_mktsegment", "series"]
     rows = panel.fill_periods(panel.panel(orders, SERIES[1:3], by=by[:1]), by)
     return _plain(rows.drop("scale"))
@@ -457,6 +465,15 @@ def its_effects(s: Study) -> DataFrame:
     return _plain(effects.absolute_effects(effects.trends(rows, fit)))
 
 
+def its_effects_by(s: Study) -> DataFrame:
+    """Effects in two strata, one market segment and the customers of which no such segment is known."""
+    by = ["c_mktsegment", "series"]
+    orders = segmented(s, F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment")))
+    rows = staged(s, panel.panel(orders, SERIES[2:], by=by[:1]))
+    fit = model.fit_its(rows, [MODELS["poisson"]], by)
+    return _plain(effects.absolute_effects(effects.trends(rows, fit, by)))
+
+
 def its_ladder(s: Study) -> DataFrame:
     """All thirty-one fits of the fourteen outcomes, each outcome with its own list of models."""
     rows = staged(s, outcomes.outcome_panel(s.linked()))
@@ -473,7 +490,7 @@ QUERIES = (
     panel_truncated, panel_incidence, panel_multi, panel_filled, summary_by_level, summary_frame,
     summary_records, summary_recoded, design_grid, its_poisson, its_quasi, its_harmonic, its_dispersion,
     its_irr, its_irr_rounded, its_robust, its_summary, its_residuals, resid_acf, resid_pacf, its_factual, its_counterfactual,
-    its_ci_band, segment_bands, its_effects, its_ladder,
+    its_ci_band, segment_bands, its_effects, its_effects_by, its_ladder,
 )
 
 

@@ -1,8 +1,8 @@
 """The driver tables in the role of the study's five input tables.
 
 An order is a birth record: its customer is the mother, its week the week of birth. Lines of the order
-shipped within the follow-up are hospital episodes; lines number 1 and 2 are the two visits, and orders
-often have several of them that disagree. Codes for "unknown" come from price bands and the priority
+shipped within the follow-up are hospital episodes; lines of odd and even number are answers at the
+two visits, and orders often have several of them that disagree. Codes for "unknown" come from price bands and the priority
 ``4-NOT SPECIFIED``.
 """
 
@@ -49,8 +49,13 @@ class Study:
             self._open[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._open[name]
 
-    def keyed_orders(self) -> DataFrame:
-        """Orders of the study weeks with the linkage key of a birth record."""
+    def all_records(self) -> DataFrame:
+        """Every order, inside the study weeks or not, with the unknown priority as null."""
+        known = sentinel_to_null(F.col("o_orderpriority"), "4-NOT SPECIFIED").alias("priority")
+        return self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", known)
+
+    def keyed_orders(self, whole: bool = False) -> DataFrame:
+        """Orders of the study weeks, or all of them, with the linkage key of a birth record."""
         r, ordered = F.col("r"), F.col("o_orderdate")
         before = ordered < F.lit(SWITCH_DAY).cast("timestamp_ntz")
         key = {
@@ -59,8 +64,10 @@ class Study:
             "WEEKS_BEFORE_AFTER": F.greatest(SWITCH_WEEK + 1 - r, r - SWITCH_WEEK).cast("int"),
             "COHORT_IDENTIFIER": F.when(before, "UNEXPOSED").otherwise("EXPOSED"),
         }
-        in_study = ordered < F.lit(DAY_AFTER).cast("timestamp_ntz")
-        return self.table("orders").filter(in_study).withColumn("r", raw_week()).withColumns(key)
+        orders = self.table("orders")
+        if not whole:
+            orders = orders.filter(ordered < F.lit(DAY_AFTER).cast("timestamp_ntz"))
+        return orders.withColumn("r", raw_week()).withColumns(key)
 
     def records(self) -> DataFrame:
         """The orders alone on the study axis, under plain names, priority with its unknown code as null."""
@@ -132,7 +139,7 @@ class Study:
         ).drop("o_orderkey")
 
     def visits(self, number: int) -> DataFrame:
-        """Answers given at visit ``number``; an order with several such lines has several records."""
+        """Answers given at visit ``number``: the lines of odd or even number, each a record of its own."""
         flag, status, discount, quantity = (
             F.col(c) for c in ("l_returnflag", "l_linestatus", "l_discount", "l_quantity")
         )
@@ -145,8 +152,7 @@ class Study:
             "sleep_su": F.when(status == "F", "Y").otherwise("N"),
             "sleep_si": F.when(discount > 0.05, "Y").when(discount > 0, "N"),
         }
-        lines = self.table("lineitem").filter(F.col("l_linenumber") == number)
-        # Equal answers of one order are one record to the linkage anyway; folded here, a large order is small.
-        given = lines.select("l_orderkey", *[c.alias(name) for name, c in answers.items()]).distinct()
+        lines = self.table("lineitem").filter(F.col("l_linenumber") % 2 == number % 2)
+        given = lines.select("l_orderkey", *[c.alias(name) for name, c in answers.items()])
         orders = self.keyed_orders().select("o_orderkey", *KEY)
         return orders.join(given, F.col("o_orderkey") == F.col("l_orderkey"), "inner").select(*KEY, *answers)

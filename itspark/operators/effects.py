@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from itspark.functions.arrays import dot, let, quadratic_form
 from itspark.functions.axis import N_PRE
+from itspark.operators.keys import join_keys
 from itspark.operators.model import MAX_HARMONICS, design_terms
 from itspark.operators.panel import design_grid
 
@@ -34,7 +35,7 @@ def predictor_variance() -> Column:
 
 
 def _with_fit(rows: DataFrame, fit: DataFrame, by: Sequence[str], *cols: str) -> DataFrame:
-    return rows.join(fit.filter("fit_ok").select(*by, "model", "terms", "coef", *cols), list(by), "inner")
+    return join_keys(rows, fit.filter("fit_ok").select(*by, "model", "terms", "coef", *cols), by)
 
 
 def residuals(panel: DataFrame, fit: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:

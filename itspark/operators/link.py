@@ -11,28 +11,26 @@ from pyspark.sql import functions as F
 
 from itspark.functions.recode import key_suffix
 from itspark.operators.dedup import collapse_keys, drop_conflicts
-
-HEAVY_KEYS = 64
-HEAVY_SHARE = 0.002
-SKETCH_ITEMS = 8192
-
+from itspark.operators.keys import join_keys
 
 def _key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def heavy_key_hashes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row, one array: hashes of at most ``HEAVY_KEYS`` keys holding over ``HEAVY_SHARE`` of the rows.
+def heavy_key_hashes(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """One row, one array: hashes of the keys that hold more rows than a task's fair share.
 
-    A frequent-items sketch of fixed size, merged map-side. It decides only where rows go, never which rows
-    match, so an estimate is enough.
+    The share is one of ``parts``, by default the shuffle partitions, so there are fewer such keys than
+    parts. They come from a frequent-items sketch of a size set by the parts, merged map-side. It decides
+    only where rows go, never which rows match, so an estimate is enough.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ", ".join(f"`{k}`" for k in keys)
     sketch = df.agg(
-        F.expr(f"approx_top_k(xxhash64({names}), {HEAVY_KEYS}, {SKETCH_ITEMS})").alias("items"),
+        F.expr(f"approx_top_k(xxhash64({names}), {parts}, {16 * parts})").alias("items"),
         F.count(F.lit(1)).alias("n"),
     )
-    heavy = F.filter("items", lambda i: i["count"] > F.col("n") * HEAVY_SHARE)
+    heavy = F.filter("items", lambda i: i["count"] * parts > F.col("n"))
     return sketch.select(F.transform(heavy, lambda i: i["item"]).alias("hashes"))
 
 
@@ -42,7 +40,7 @@ def _spread(left: DataFrame, right: DataFrame, keys: Sequence[str], ways: int):
     The salt depends on the row and on its map task alone, so a retried task repeats it.
     """
     is_heavy = F.coalesce(F.array_contains(heavy_key_hashes(left, keys).scalar(), _key_hash(keys)), F.lit(False))
-    salt = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(ways))
+    salt = F.pmod(F.pmod(F.xxhash64(*left.columns), F.lit(ways)) + F.spark_partition_id(), F.lit(ways))
     salts = F.sequence(F.lit(0), F.lit(ways - 1))
     left = left.withColumn("_salt", F.when(is_heavy, salt).otherwise(0).cast("int"))
     right = right.withColumn("_salt", F.explode(F.when(is_heavy, salts).otherwise(F.array(F.lit(0)))))
@@ -137,9 +135,12 @@ def link_sources(
     trim_to: int = 6,
     na_matches: bool = False,
     status: bool = False,
+    spread: int = 0,
 ) -> DataFrame:
     """Left-join every source. A conflicting key counts as unmatched, as if its rows had been dropped.
 
+    Cohort ids can become equal when trimmed; ``spread`` splits keys that many rows share.
+
     With ``na_matches`` off the joins reuse the key partitioning of the de-duplication. ``status`` adds
     ``link_<name>``: ``matched``, ``conflict`` or ``absent``.
     """
@@ -152,7 +153,7 @@ def link_sources(
             state = F.when(F.col("conflicted"), "conflict").otherwise("matched")
             source = source.withColumn(how, state).drop("conflicted")
             fill[how] = "absent"
-        linked = link_left(linked, source, keys, na_matches=na_matches, fill=fill)
+        linked = link_left(linked, source, keys, na_matches=na_matches, fill=fill, spread=spread)
     return linked
 
 
@@ -167,5 +168,8 @@ def link_report(linked: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def bind_on_period(*tables: DataFrame, on: Sequence[str] = ("series", "period")) -> DataFrame:
-    """Put tables side by side by key, where equal-length tables would be bound by row position."""
-    return reduce(lambda a, b: a.join(b, on=list(on), how="inner"), tables)
+    """Put tables side by side by key, where equal-length tables would be bound by row position.
+
+    Every key of any table keeps its row; what another table lacks is null. Null keys meet null keys.
+    """
+    return reduce(lambda a, b: join_keys(a, b, on, "full"), tables)

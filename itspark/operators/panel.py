@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from itspark.functions.axis import N_PERIODS, N_PRE, level_term, trend_term
 from itspark.operators.link import link_left
+from itspark.operators.keys import join_keys
 
 PERSON_TIME = "person-time"
 PREVALENCE = "prevalence"
@@ -121,7 +122,7 @@ def fill_periods(
         *by, "scale", "start", F.explode(F.sequence(F.col("start") + 1, F.lit(n))).alias("period")
     )
     values = panel.select(*by, "period", "denominator", "numerator", "rate")
-    return spine.join(values, [*by, "period"], "left").select(
+    return join_keys(spine, values, [*by, "period"], "left").select(
         *by,
         "period",
         (F.col("period") - F.col("start")).alias("t"),

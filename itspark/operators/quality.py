@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itspark.operators.keys import join_keys
+
 
 def any_null(cols: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(c).isNull() for c in cols])
@@ -23,26 +25,27 @@ def include(df: DataFrame, *criteria: Column) -> DataFrame:
 
 
 def attrition(df: DataFrame, criteria: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
-    """Per step: rows failing the criterion, rows and distinct keys left after it and all before it.
+    """Per step: rows known to fail the criterion, rows where it is unknown, and rows and distinct keys left
+    after it and all before it.
 
     Counted per key first, so a key of any size crosses the shuffle as partial sums, and keys are counted
     without a distinct aggregate.
     """
     passed = F.lit(True)
-    sums = [F.count(F.lit(1)).alias("left_0"), F.count_if(F.lit(False)).alias("fail_0")]
+    sums = [F.count(F.lit(1)).alias("left_0"), F.count_if(F.lit(False)).alias("fail_0"), F.count_if(F.lit(False)).alias("unknown_0")]
     for i, criterion in enumerate(criteria.values(), start=1):
         ok = F.coalesce(criterion, F.lit(False))
         passed = passed & ok
-        sums += [F.count_if(passed).alias(f"left_{i}"), F.count_if(~ok).alias(f"fail_{i}")]
+        sums += [F.count_if(passed).alias(f"left_{i}"), F.count_if(~criterion).alias(f"fail_{i}"), F.count_if(criterion.isNull()).alias(f"unknown_{i}")]
     per_key = df.groupBy(*keys).agg(*sums)
     steps = range(len(criteria) + 1)
     totals = per_key.agg(
-        *[F.coalesce(F.sum(f"{what}_{i}"), F.lit(0)).alias(f"{what}_{i}") for i in steps for what in ("fail", "left")],
+        *[F.coalesce(F.sum(f"{what}_{i}"), F.lit(0)).alias(f"{what}_{i}") for i in steps for what in ("fail", "unknown", "left")],
         *[F.count_if(F.col(f"left_{i}") > 0).alias(f"keys_{i}") for i in steps],
     )
     names = ["all records", *criteria]
-    cells = ", ".join(f"{i}, '{n}', fail_{i}, left_{i}, keys_{i}" for i, n in enumerate(names))
-    return totals.selectExpr(f"stack({len(names)}, {cells}) as (step_no, step, n_failing, n_rows, n_keys)")
+    cells = ", ".join(f"{i}, '{n}', fail_{i}, unknown_{i}, left_{i}, keys_{i}" for i, n in enumerate(names))
+    return totals.selectExpr(f"stack({len(names)}, {cells}) as (step_no, step, n_failing, n_unknown, n_rows, n_keys)")
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -92,30 +95,25 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, x: str, y: str, use_na: bool = False) -> DataFrame:
+def crosstab(df: DataFrame, x: str, y: str, use_na: bool = False, zero_cells: bool = True) -> DataFrame:
     """Two-way table in long form with row, column and total per cent and chi-square share per cell.
 
-    Records are reduced to cells first; everything after that works on the printed table. Cells with no
-    record are listed. With ``use_na`` null is a level of its own.
+    Records are reduced to cells first; everything after that works on the printed table, and the margins
+    meet the cells by key. ``zero_cells`` lists cells with no record as well: every level of x counts through
+    the numbers of the levels of y. With ``use_na`` null is a level of its own.
     """
     rows = df if use_na else df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     found = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    # A row of the table: the counts of one level of x, laid out on the list of all levels of y.
-    by_x = found.groupBy("x").agg(F.collect_list(F.struct("y", "n")).alias("cells"), F.sum("n").alias("row_n"))
-    by_y = found.groupBy("y").agg(F.sum("n").alias("n"))
-    margin = by_y.agg(
-        F.struct(F.collect_list(F.struct("y", "n")).alias("levels"), F.sum("n").alias("total_n"))
-    ).scalar()
-    laid = by_x.select("x", "cells", "row_n", F.explode(margin["levels"]).alias("level"))
-    hit = F.filter("cells", lambda c: c["y"].eqNullSafe(F.col("level.y")))
-    table = laid.select(
-        "x",
-        F.col("level.y").alias("y"),
-        F.coalesce(F.get(hit, F.lit(0))["n"], F.lit(0)).alias("n"),
-        "row_n",
-        F.col("level.n").alias("col_n"),
-        margin["total_n"].alias("total_n"),
-    )
+    by_x = found.groupBy("x").agg(F.sum("n").alias("row_n"))
+    by_y = found.groupBy("y").agg(F.sum("n").alias("col_n"))
+    totals = by_y.agg(F.struct(F.sum("col_n").alias("n"), F.count(F.lit(1)).alias("levels"))).scalar()
+    if zero_cells:
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("y"))
+        counted = by_x.withColumn("place", F.explode(F.sequence(F.lit(1), totals["levels"].cast("int"))))
+        table = join_keys(counted.join(by_y.withColumn("place", place), "place").drop("place"), found, ["x", "y"], "left")
+    else:
+        table = join_keys(join_keys(found, by_x, ["x"]), by_y, ["y"])
+    table = table.withColumns({"n": F.coalesce("n", F.lit(0)), "total_n": totals["n"]})
     expected = F.col("row_n").cast("double") * F.col("col_n") / F.col("total_n")
     n = F.col("n").cast("double")
     return table.select(
@@ -137,24 +135,32 @@ def miss_by(df: DataFrame, factor: str, cols: Sequence[str]) -> DataFrame:
     return shares.unpivot([factor], list(cols), "variable", "pct_missing")
 
 
-def miss_patterns(df: DataFrame, cols: Sequence[str], max_sets: int = 10, top: int = 50) -> DataFrame:
+#: Variables in one whole number of a combination.
+CHUNK = 60
+
+
+def miss_patterns(df: DataFrame, cols: Sequence[str], max_sets: int | None = 10, top: int | None = 50) -> DataFrame:
     """Largest combinations of variables missing together: ``pattern`` (names joined by ``&``) and ``n``.
 
-    The ``max_sets`` variables missing most often take part. Only the table of combinations, never the
-    records, is ranked; ``top`` is the length of the report.
+    The ``max_sets`` variables missing most often take part, all of them if it is None. Only the table of
+    combinations, never the records, is ranked; ``top`` is the length of the report, None for all of it.
     """
-    # A combination is a bit per variable, so the records are reduced on one whole number.
-    bits = reduce(
-        Column.__add__,
-        [F.when(F.col(c).isNull(), F.lit(2**i)).otherwise(0) for i, c in enumerate(cols)],
-    ).cast("long")
-    counts = df.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("bits") > 0)
-    names = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(2**i)) > 0, F.lit(c)) for i, c in enumerate(cols)])
-    sets = counts.select(F.filter(names, lambda c: c.isNotNull()).alias("missing"), "n")
-    if len(cols) > max_sets:
+    # A combination is a bit per variable, so the records are reduced on a few whole numbers.
+    chunks = [list(cols[i : i + CHUNK]) for i in range(0, len(cols), CHUNK)]
+    bits = {
+        f"bits_{k}": reduce(Column.bitwiseOR, [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(chunk)])
+        for k, chunk in enumerate(chunks)
+    }
+    counts = df.groupBy(*[b.alias(name) for name, b in bits.items()]).agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(
+        *[F.when(F.col(f"bits_{k}").bitwiseAND(F.lit(1 << i)) > 0, F.lit(c)) for k, chunk in enumerate(chunks) for i, c in enumerate(chunk)]
+    )
+    sets = counts.select(F.filter(names, lambda c: c.isNotNull()).alias("missing"), "n").filter(F.size("missing") > 0)
+    if max_sets is not None and len(cols) > max_sets:
         sizes = sets.select(F.explode("missing").alias("variable"), "n").groupBy("variable").agg(F.sum("n").alias("n"))
         largest = sizes.orderBy(F.desc("n"), "variable").limit(max_sets).agg(F.collect_list("variable")).scalar()
         kept = sets.select(F.array_intersect("missing", largest).alias("missing"), "n")
         sets = kept.filter(F.size("missing") > 0).groupBy("missing").agg(F.sum("n").alias("n"))
     named = sets.select(F.array_join("missing", "&").alias("pattern"), F.size("missing").alias("n_variables"), "n")
-    return named.orderBy(F.desc("n"), "pattern").limit(top)
+    ranked = named.orderBy(F.desc("n"), "pattern")
+    return ranked if top is None else ranked.limit(top)

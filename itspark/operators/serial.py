@@ -1,51 +1,44 @@
 """Serial correlation of residuals, per series, without leaving the JVM.
 
-A series has at most one value per period, so the windows here are as long as the study.
+A series has at most one value per period, so the arrays here are as long as the study.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itspark.functions.arrays import dot, let
-from itspark.functions.axis import N_PERIODS
-
-
-def default_lags(n: int) -> int:
-    """Whole part of ``10 log10 n``, and at most n - 1."""
-    return min(int(10 * math.log10(n)), n - 1)
+from itspark.functions.arrays import dot, let, total
 
 
 def acf_arrays(
     df: DataFrame, value: str = "residual", by: Sequence[str] = ("series", "model"), order: str = "period",
-    max_lag: int | None = None, longest: int = N_PERIODS,
+    max_lag: int | None = None,
 ) -> DataFrame:
     """One row per series: ``n`` and ``acf``, the array of correlations at lags 0, 1, ...
 
     Values are taken in order of ``order``, demeaned, and lag sums divided by the lag-0 sum. The default
-    number of lags follows the length of each series; none is longer than ``longest``.
+    number of lags follows the length of each series.
     """
-    most = default_lags(longest) if max_lag is None else max_lag
-    whole = Window.partitionBy(*by)
-    ordered = whole.orderBy(order)
-    centred = df.filter(F.col(value).isNotNull()).select(
-        *by, order, (F.col(value) - F.avg(value).over(whole)).alias("d")
-    )
-    # All lags share one sorted window; the sums need no further shuffle.
-    shifted = centred.select(*by, "d", *[F.lag("d", k).over(ordered).alias(f"d{k}") for k in range(1, most + 1)])
-    sums = shifted.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("d") * F.col("d")).alias("s0"),
-        *[F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, most + 1)],
+    known = df.filter(F.col(value).isNotNull())
+    series = known.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("v")
     )
-    asked = F.lit(most) if max_lag is not None else F.floor(10 * F.log10("n"))
-    kept = F.least(asked, F.col("n") - 1, F.lit(most)).cast("int") + 1
-    ratios = F.array(*[F.try_divide(F.col(f"s{k}"), F.col("s0")) for k in range(most + 1)])
-    return sums.select(*by, "n", F.slice(ratios, F.lit(1), kept).alias("acf"))
+    n = F.size("v")
+    mean = F.try_divide(total(F.col("v")), n)
+    centred = series.select(*by, n.cast("long").alias("n"), let(mean, lambda m: F.transform("v", lambda x: x - m)).alias("d"))
+    asked = F.lit(max_lag) if max_lag is not None else F.floor(10 * F.log10("n"))
+    last = F.least(asked, F.col("n") - 1).cast("int")
+    squares = dot(F.col("d"), F.col("d"))
+
+    def at_lag(k: Column) -> Column:
+        left = (F.col("n") - k).cast("int")
+        return dot(F.slice("d", F.lit(1), left), F.slice("d", k + 1, left))
+
+    lags = let(squares, lambda s0: F.transform(F.sequence(F.lit(0), last), lambda k: F.try_divide(at_lag(k), s0)))
+    return centred.select(*by, "n", lags.alias("acf"))
 
 
 def acf(df: DataFrame, value: str = "residual", by: Sequence[str] = ("series", "model"), **kwargs) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itspark.operators.keys import join_keys
+from itspark.sources.stage import new_stage_path, write_stage
+
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-BUCKETS = 256
-SALTS = 32
-WHOLE = ("min", "max", "mean", "n_all", "n_missing")
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -45,53 +45,43 @@ def _position(p: float) -> Column:
 
 
 def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Count each value, cut the values into buckets, rank inside buckets, pick the order statistics.
+    """Count each value, sort the values over as many ranges as there are tasks, pick the order statistics.
 
-    A value held by many records is one row after the first aggregate; a bucket is about 1/256 of the
-    distinct values of its group, and buckets are ranked independently.
+    A value held by many records is one row after the first aggregate. The sorted counts are staged with the
+    number of their range; sums per range tell where in the order of its group each range begins, and only
+    the few ranges that hold a wanted order statistic are ranked inside. Ranges are as large as a task's
+    share of the values, whatever the number of rows, and every later step reads the same staged ranges.
     """
+    spark = long.sparkSession
     counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    # Every use of the counts reads both columns, so that all of them share one scan and one shuffle.
-    counted = F.when(F.col("n") > 0, F.col("value"))
-    cuts = counts.groupBy(*group).agg(
-        F.percentile_approx(counted, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts"),
-        F.min(counted).alias("min"),
-        F.max(counted).alias("max"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_all"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-    )
-    # A group may hold most of the rows: spread its values, and repeat its one row of cuts, over some tasks.
-    # Nulls stay in, counted as none: a filter here would make Spark scan and count a second time.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = counts.repartitionByRange(parts, *group, "value").withColumn("_range", F.spark_partition_id())
+    ranges = write_stage(ranges, new_stage_path(spark, "ranges"))
     known = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
-    salted = counts.withColumns({"n": known, "salt": F.pmod(F.xxhash64("value"), F.lit(SALTS))})
-    repeated = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = [F.col(f"c.{g}").eqNullSafe(F.col(f"v.{g}")) for g in [*group, "salt"]]
-    placed = (
-        salted.alias("v")
-        .join(repeated.alias("c"), on, "inner")
-        .select(
-            *[F.col(f"v.{g}").alias(g) for g in group],
-            "value", "n", *WHOLE,
-            F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket"),
-        )
+    sums = ranges.groupBy(*group, "_range").agg(
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.sum(F.col("value") * F.col("n")).alias("total"),
+        F.sum(known).alias("held"),
+        F.sum(F.col("n") - known).alias("n_missing"),
     )
-    sizes = placed.groupBy(*group, "bucket").agg(F.sum("n").alias("bucket_n"))
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "bucket", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("last", F.sum("n").over(inside))
-    on = [F.col(f"o.{g}").eqNullSafe(F.col(f"r.{g}")) for g in [*group, "bucket"]]
-    ranked = (
-        ranked.alias("r").join(offsets.alias("o"), on, "inner")
-        .select(
-            *[F.col(f"r.{g}").alias(g) for g in group],
-            "value",
-            (F.col("offset") + F.col("last") - F.col("n")).alias("rank_from"),
-            (F.col("offset") + F.col("last")).alias("rank_to"),
-            *WHOLE,
-        )
+    sums = write_stage(sums, new_stage_path(spark, "range-sums"))
+    whole = sums.groupBy(*group).agg(
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.try_divide(F.sum("total"), F.sum("held")).alias("mean"),
+        F.sum("held").alias("n_all"),
+        F.sum("n_missing").alias("n_missing"),
     )
+    # A row per range of a group.
+    before = F.sum("held").over(Window.partitionBy(*group).orderBy("_range")) - F.col("held")
+    places = [f(_position(p)) for _, p in QUARTILES for f in (F.floor, F.ceil)]
+    here = F.exists(F.array(*places), lambda k: (F.col("offset") <= k) & (k < F.col("offset") + F.col("held")))
+    wanted = join_keys(sums.select(*group, "_range", "held", before.alias("offset")), whole.select(*group, "n_all"), group)
+    wanted = wanted.filter(here).select(*group, "_range", "offset", "n_all")
+    inside = Window.partitionBy(*group, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = join_keys(ranges.filter("value is not null"), wanted, [*group, "_range"])
+    ranked = ranked.withColumn("rank_to", F.col("offset") + F.sum("n").over(inside)).withColumn("rank_from", F.col("rank_to") - F.col("n"))
 
     def order_stat(position: Column) -> Column:
         held = (F.col("rank_from") <= position) & (position < F.col("rank_to"))
@@ -103,7 +93,7 @@ def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
             order_stat(F.floor(_position(p))).alias(f"{name}_lo"),
             order_stat(F.ceil(_position(p))).alias(f"{name}_hi"),
         ]
-    picked = ranked.groupBy(*group).agg(*picks, *[F.max(c).alias(c) for c in WHOLE])
+    picked = join_keys(whole, ranked.groupBy(*group).agg(*picks), group, "left")
 
     def interpolated(name: str, p: float) -> Column:
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")

@@ -15,22 +15,30 @@ def read_delimited(
     schema: str | T.StructType | None = None,
     blank_is_null: bool = True,
     sep: str = ",",
+    trim: bool | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header line; ``NA`` is null, and so is blank text unless ``blank_is_null`` is off.
 
+    Quotes inside quoted text are doubled; a backslash is a character like any other. ``trim`` takes spaces
+    and tabs off both ends of text, quoted or not; by default where blank text is null. ``multi_line``
+    allows line breaks inside quotes; a file is then one task's work.
+
     Columns are matched by name. Without a schema every column is text. With one, the columns it does not
     name are skipped, and a value that does not fit its type becomes null.
     """
     # No null text is declared: Spark then reads an unquoted blank as null, a quoted one as '' and NA as NA.
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
+    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line).csv(path)
     raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     if schema is None:
         wanted = [T.StructField(c, T.StringType()) for c in raw.columns]
     else:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
+    trim = blank_is_null if trim is None else trim
+
     def typed(field):
-        col = F.col(f"`{field.name}`")
+        col = F.btrim(F.col(f"`{field.name}`"), F.lit(" \t")) if trim else F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StringType):
             text = blank_to_null(col) if blank_is_null else F.coalesce(col, F.lit(""))
             return F.nullif(text, F.lit("NA")).alias(field.name)
@@ -40,8 +48,8 @@ def read_delimited(
 
 
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV in one file per partition, nulls as ``NA``."""
-    df.write.mode(mode).option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
+    """CSV in one file per partition, nulls as ``NA``, quotes inside quoted text doubled."""
+    df.write.mode(mode).options(header=True, nullValue="NA", emptyValue="", quote='"', escape='"').csv(path)
 
 
 def write_result(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
