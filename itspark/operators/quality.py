@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itspark.operators.keys import join_keys
@@ -60,14 +60,27 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return counts.unpivot([], cols, "variable", "n_missing")
 
 
-def freq(df: DataFrame, cols: str | Sequence[str], use_na: bool = True) -> DataFrame:
+def reduced(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Combinations of categories with the number ``n`` of their rows: a small table that frequencies and
+    crosstabs of any of the columns can be taken from, with ``weight="n"``."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rows(weight: str | None) -> Column:
+    """Number of records, where a row may stand for several."""
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def freq(df: DataFrame, cols: str | Sequence[str], use_na: bool = True, weight: str | None = None) -> DataFrame:
     """Frequency of every value, for several columns in one pass: ``variable, value, n``.
 
-    With ``use_na`` each variable has a null row even at count 0; without it nulls are left out.
+    With ``use_na`` each variable has a null row even at count 0; without it nulls are left out. ``weight``
+    is a column of numbers of records.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    counts = text.unpivot([], cols, "variable", "value").groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    kept = [weight] if weight else []
+    text = df.select(*kept, *[F.col(c).cast("string").alias(c) for c in cols])
+    counts = text.unpivot(kept, cols, "variable", "value").groupBy("variable", "value").agg(_rows(weight).alias("n"))
     if not use_na:
         return counts.filter(F.col("value").isNotNull())
     null_row = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
@@ -95,25 +108,25 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, x: str, y: str, use_na: bool = False, zero_cells: bool = True) -> DataFrame:
+def crosstab(df: DataFrame, x: str, y: str, use_na: bool = False, zero_cells: bool = True, weight: str | None = None) -> DataFrame:
     """Two-way table in long form with row, column and total per cent and chi-square share per cell.
 
     Records are reduced to cells first; everything after that works on the printed table, and the margins
-    meet the cells by key. ``zero_cells`` lists cells with no record as well: every level of x counts through
-    the numbers of the levels of y. With ``use_na`` null is a level of its own.
+    meet the cells by key. ``zero_cells`` lists cells with no record as well, from the one list of the levels
+    of y, which is as long as the printed table is wide. With ``use_na`` null is a level of its own. ``weight`` is a column of
+    numbers of records.
     """
     rows = df if use_na else df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    found = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    found = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(_rows(weight).alias("n"))
     by_x = found.groupBy("x").agg(F.sum("n").alias("row_n"))
     by_y = found.groupBy("y").agg(F.sum("n").alias("col_n"))
-    totals = by_y.agg(F.struct(F.sum("col_n").alias("n"), F.count(F.lit(1)).alias("levels"))).scalar()
     if zero_cells:
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("y"))
-        counted = by_x.withColumn("place", F.explode(F.sequence(F.lit(1), totals["levels"].cast("int"))))
-        table = join_keys(counted.join(by_y.withColumn("place", place), "place").drop("place"), found, ["x", "y"], "left")
+        levels = by_y.agg(F.collect_set(F.struct("y", "col_n"))).scalar()
+        cells = by_x.select("x", "row_n", F.explode(levels).alias("level")).select("x", "row_n", "level.*")
+        table = join_keys(cells, found, ["x", "y"], "left")
     else:
         table = join_keys(join_keys(found, by_x, ["x"]), by_y, ["y"])
-    table = table.withColumns({"n": F.coalesce("n", F.lit(0)), "total_n": totals["n"]})
+    table = table.withColumns({"n": F.coalesce("n", F.lit(0)), "total_n": by_y.agg(F.sum("col_n")).scalar()})
     expected = F.col("row_n").cast("double") * F.col("col_n") / F.col("total_n")
     n = F.col("n").cast("double")
     return table.select(

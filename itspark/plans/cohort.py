@@ -64,17 +64,24 @@ def recode_records(records: DataFrame) -> DataFrame:
 
 
 def clean_records(
-    records: DataFrame, week_column: str = "WEEKS_BEFORE_AFTER", trim: str = "after", trim_to: int = 6
+    records: DataFrame, week_column: str = "WEEKS_BEFORE_AFTER", trim: str | None = "after", trim_to: int = 6
 ) -> DataFrame:
     """Included records, one per key, unknown codes as null.
 
     De-duplication runs before recoding, so two records that differ only in how they say "unknown" are a
     conflict. ``trim`` tells whether the id is cut ``before`` or ``after`` it; cut after, two ids can become
-    equal (``conflict_report`` on the result counts them).
+    equal (``conflict_report`` on the result counts them). None leaves the ids whole.
     """
-    if trim not in ("before", "after"):
-        raise ValueError(f"trim is before or after, not {trim!r}")
-    included = include(on_study_axis(records, week_column), *criteria().values())
+    return clean_axis(on_study_axis(records, week_column), trim, trim_to)
+
+
+def clean_axis(axis_rows: DataFrame, trim: str | None = "after", trim_to: int = 6) -> DataFrame:
+    """``clean_records`` from rows that are on the study axis already."""
+    if trim not in ("before", "after", None):
+        raise ValueError(f"trim is before, after or None, not {trim!r}")
+    included = include(axis_rows, *criteria().values())
+    if trim is None:
+        return recode_records(drop_conflicts(included, KEYS))
     suffix = {"mother_id": key_suffix(F.col("mother_id"), trim_to)}
     if trim == "before":
         return recode_records(drop_conflicts(included.withColumns(suffix), KEYS))

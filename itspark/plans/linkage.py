@@ -77,7 +77,7 @@ def default_sources(
 
 
 def link_cohort(
-    cohort: DataFrame, sources: Sequence[SourceSpec], status: bool = False, trim_to: int = 6
+    cohort: DataFrame, sources: Sequence[SourceSpec], status: bool = False, trim: bool = True, trim_to: int = 6, spread: int = 0
 ) -> DataFrame:
-    """Link by the composite key; ``trim_to`` must be the one the cohort ids were cut to."""
-    return link_sources(cohort, sources, KEYS, trim_to=trim_to, status=status)
+    """Link by the composite key; ``trim`` and ``trim_to`` must be what was done to the cohort's ids."""
+    return link_sources(cohort, sources, KEYS, trim="mother_id" if trim else None, trim_to=trim_to, status=status, spread=spread)

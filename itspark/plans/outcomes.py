@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +73,7 @@ class Analysis:
     panel: DataFrame
     fit: DataFrame
     coefficients: DataFrame
+    ratios: DataFrame
     robust: DataFrame
     statistics: DataFrame
     residuals: DataFrame
@@ -83,13 +84,15 @@ class Analysis:
     effects: DataFrame
 
 
-def analyse(panel_rows: DataFrame, outcomes: Sequence[OutcomeSpec] = OUTCOMES) -> Analysis:
+def analyse(
+    panel_rows: DataFrame, outcomes: Sequence[OutcomeSpec] = OUTCOMES, keep: Callable[[DataFrame], DataFrame] = lambda fit: fit
+) -> Analysis:
     """Ladder, diagnostics, trends and effects from a panel.
 
-    Give it a panel read back from ``write_stage`` when several of the tables are wanted: the records are
-    then scanned once.
+    Give it a panel read back from ``write_stage`` when several of the tables are wanted, and a ``keep`` that
+    writes the fits and reads them back: the records are then scanned and the models fitted once.
     """
-    fit = fit_ladder(panel_rows, outcomes)
+    fit = keep(fit_ladder(panel_rows, outcomes))
     primary = fit.filter("is_primary")
     residual = effects.residuals(panel_rows, fit)
     trend = effects.trends(panel_rows, primary)
@@ -97,6 +100,7 @@ def analyse(panel_rows: DataFrame, outcomes: Sequence[OutcomeSpec] = OUTCOMES) -
         panel=panel_rows,
         fit=fit,
         coefficients=model.coefficients(fit),
+        ratios=model.irr(fit),
         robust=model.irr(fit, robust=True),
         statistics=model.fit_statistics(fit),
         residuals=residual,

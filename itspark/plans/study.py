@@ -1,26 +1,35 @@
 """A whole study from five delimited files to result tables.
 
-Each step writes a stage and the next one reads it, so a lost executor costs a step at most and no step is
-computed twice.
+Each step writes a stage and the next one reads it, so a lost executor costs a step at most. The files of
+text are read once; the models are fitted once; frequencies and crosstabs come from one reduction of the
+linked records, and each other report is one pass over the stage it describes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itspark.functions import axis
 from itspark.functions.recode import observed_flag
 from itspark.operators import quality, summary
 from itspark.operators.dedup import conflict_report
 from itspark.operators.effects import absolute_effects
 from itspark.operators.link import link_report
+from itspark.operators.panel import count_by
 from itspark.plans import cohort, linkage, outcomes
 from itspark.sources import delimited, schemas, spine, stage
 
 INPUTS = ("births", "children", "mothers", "first_visit", "six_week_visit")
 
+# Answers at the visits, and the smoking questions asked in pregnancy.
+ANSWERS = (
+    "smoke_pc_fv", "smoke_sh_fv", "feed_fv", "smoke_pc_68", "smoke_sh_68", "feed_68", "sleep_bin_su",
+    "book_smoking_history", "smoking_during_pregnancy",
+)
+
 # Outcome of the later visit whose non-response is tabulated, and whether null levels are shown.
 NON_RESPONSE = {"smoke_pc_68": False, "smoke_sh_68": False, "feed_68": True}
 
@@ -44,39 +53,61 @@ def read_inputs(
     }
 
 
-def cohort_reports(births: DataFrame, clean: DataFrame, week_column: str = "WEEKS_BEFORE_AFTER") -> dict[str, DataFrame]:
-    """What is printed while the cohort is built: attrition, conflicts, frequencies, missingness."""
-    axis_rows = cohort.on_study_axis(births, week_column)
+def cohort_reports(births: DataFrame, axis_rows: DataFrame, clean: DataFrame, week_column: str = "WEEKS_BEFORE_AFTER") -> dict[str, DataFrame]:
+    """What is printed while the cohort is built: records by week, attrition, conflicts, frequencies, missingness."""
+    before = births.withColumn("time_raw", axis.raw_study_time(F.col(week_column), F.col("COHORT_IDENTIFIER")))
     included = quality.include(axis_rows, *cohort.criteria().values())
     return {
+        "records_by_raw_week": count_by(before, "time_raw"),
+        "records_by_week": count_by(axis_rows, "time_weeks"),
         "attrition": quality.attrition(axis_rows, cohort.criteria(), schemas.KEYS),
         "conflicts": conflict_report(included, schemas.KEYS),
         "trimmed_key_conflicts": conflict_report(clean, schemas.KEYS),
+        "codes": quality.freq(clean, ["number_births", "pregnancy_outcome"]),
         "frequencies": quality.freq(clean, [c for c in cohort.COHORT_COLUMNS[3:] if c != "time_weeks"]),
         "previous_pregnancies": summary.summary6(clean, ["total_previous_pregnancies"]),
         "nulls": quality.null_counts(clean),
         "missing_by_week": quality.miss_by(clean, "time_weeks", cohort.PROFILED),
-        "missing_patterns": quality.miss_patterns(clean, cohort.PROFILED),
+        "missing_patterns": quality.miss_patterns(clean, cohort.PROFILED, max_sets=None, top=None),
     }
 
 
-def response_tables(linked: DataFrame) -> dict[str, DataFrame]:
-    """Non-response at the later visit against each stratum; the flag is 1 where an answer is there."""
-    rows = outcomes.with_parity(linked)
-    tables = {}
+def linked_reports(linked: DataFrame, categories: DataFrame, sources: Sequence[str]) -> dict[str, DataFrame]:
+    """Links, answers, missing answers by week, and non-response at the later visit against each stratum.
+
+    ``categories`` has the combinations of strata and answers with their numbers of records: all frequencies
+    and crosstabs come from it. The response flag is 1 where an answer is there.
+    """
+    tables = {
+        "links": link_report(linked, sources),
+        "characteristics": quality.freq(categories, list(outcomes.STRATA), weight="n"),
+        "answers": quality.freq(categories, list(ANSWERS), weight="n"),
+        "answers_missing_by_week": quality.miss_by(linked, "time_weeks", ANSWERS),
+        "answers_incomplete": incomplete_answers(categories),
+    }
     for outcome, use_na in NON_RESPONSE.items():
-        flagged = rows.withColumn("observed", observed_flag(F.col(outcome)))
+        flagged = categories.withColumn("observed", observed_flag(F.col(outcome)))
         for stratum in outcomes.STRATA:
-            tables[f"{outcome}_by_{stratum}"] = quality.crosstab(flagged, stratum, "observed", use_na)
+            tables[f"{outcome}_by_{stratum}"] = quality.crosstab(flagged, stratum, "observed", use_na, weight="n")
     return tables
 
 
-def analysis_tables(panel_rows: DataFrame, first_day: str) -> dict[str, DataFrame]:
-    done = outcomes.analyse(panel_rows)
+def incomplete_answers(categories: DataFrame) -> DataFrame:
+    """Records, and records without an answer, per outcome."""
+    sums = categories.agg(
+        F.sum("n").alias("n_rows"), *[F.coalesce(F.sum(F.when(F.col(a).isNull(), F.col("n"))), F.lit(0)).alias(a) for a in ANSWERS]
+    )
+    return sums.unpivot(["n_rows"], list(ANSWERS), "variable", "n_incomplete")
+
+
+def analysis_tables(panel_rows: DataFrame, first_day: str, out: str) -> dict[str, DataFrame]:
+    done = outcomes.analyse(panel_rows, keep=lambda fit: stage.write_stage(fit, f"{out}/fit"))
     dates = spine.period_spine(panel_rows.sparkSession, origin=first_day).select("period", "week_start")
     observed = panel_rows.select("series", "period", "rate")
+    columns = ["period", "t", "level", "trend", "denominator", "numerator", "rate"]
     return {
         "coefficients": done.coefficients,
+        "ratios": done.ratios,
         "robust": done.robust,
         "statistics": done.statistics,
         "residuals": done.residuals,
@@ -86,6 +117,7 @@ def analysis_tables(panel_rows: DataFrame, first_day: str) -> dict[str, DataFram
         "bands": done.bands.join(observed, ["series", "period"], "left").join(dates, "period"),
         "effects": absolute_effects(done.trends),
         "summaries": summary.summary_by_level(panel_rows),
+        "panel_summary": summary.summary6(panel_rows, columns, ["series"], bounded=True),
     }
 
 
@@ -95,25 +127,32 @@ def run_study(
     out: str,
     week_column: str = "WEEKS_BEFORE_AFTER",
     first_day: str = "2015-08-10",
+    trim: str | None = "after",
+    trim_to: int = 6,
+    spread: int = 0,
 ) -> dict[str, DataFrame]:
     """Run all steps into the folder ``out`` and return its tables.
 
     The large stages are parquet and are returned as read back; reports and results are one CSV file each.
+    ``trim`` and ``trim_to`` say when ids are cut and to how many characters; None leaves them whole, in the
+    sources too. ``spread`` splits ids that many records share once they are cut.
     """
     inputs = read_inputs(spark, paths, week_column)
-    clean = stage.write_stage(cohort.clean_records(inputs["births"], week_column), f"{out}/clean")
+    births = stage.write_stage(inputs["births"], f"{out}/births")
+    axis_rows = stage.write_stage(cohort.on_study_axis(births, week_column), f"{out}/axis")
+    clean = stage.write_stage(cohort.clean_axis(axis_rows, trim, trim_to), f"{out}/clean")
     complete = stage.write_stage(cohort.complete_cohort(clean), f"{out}/cohort")
     sources = linkage.default_sources(
         inputs["children"], inputs["mothers"], inputs["first_visit"], inputs["six_week_visit"], week_column
     )
-    linked = stage.write_stage(linkage.link_cohort(complete, sources, status=True), f"{out}/linked")
+    linked = linkage.link_cohort(complete, sources, status=True, trim=trim is not None, trim_to=trim_to, spread=spread)
+    linked = stage.write_stage(linked, f"{out}/linked")
     panel_rows = stage.write_stage(outcomes.outcome_panel(linked), f"{out}/panel")
+    categories = stage.write_stage(quality.reduced(outcomes.with_parity(linked), [*outcomes.STRATA, *ANSWERS]), f"{out}/categories")
 
-    results = cohort_reports(inputs["births"], clean, week_column)
-    results["links"] = link_report(linked, [s.name for s in sources])
-    results["characteristics"] = quality.freq(outcomes.with_parity(linked), list(outcomes.STRATA))
-    results.update(response_tables(linked))
-    results.update(analysis_tables(panel_rows, first_day))
+    results = cohort_reports(births, axis_rows, clean, week_column)
+    results.update(linked_reports(linked, categories, [s.name for s in sources]))
+    results.update(analysis_tables(panel_rows, first_day, out))
     for name, table in results.items():
         delimited.write_result(table, f"{out}/results/{name}")
     return {"clean": clean, "cohort": complete, "linked": linked, "panel": panel_rows, **results}

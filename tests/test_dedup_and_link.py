@@ -118,6 +118,14 @@ def test_spread_splits_a_key_that_holds_most_rows(spark):
     assert spread.filter("k = 7").select("_salt").distinct().count() == 4
 
 
+def test_many_heavy_keys(spark):
+    """Keys above a task's share are found however many they are."""
+    df = spark.range(0, 100000).select(F.when(F.col("id") < 90000, F.col("id") % 90).otherwise(F.col("id")).alias("k"))
+    assert len(link.heavy_key_hashes(df, ["k"], parts=200).first()[0]) == 90
+    top = spark.createDataFrame([(2**62 + i,) for i in range(9)], "k long")
+    assert link.link_left(top, top.withColumn("v", F.lit(1)), spread=7).filter("v = 1").count() == 9
+
+
 def test_heavy_keys_are_few_and_heavy(spark):
     df = spark.range(10000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("k"))
     hashes = link.heavy_key_hashes(df, ["k"]).first()[0]
@@ -168,6 +176,9 @@ def test_bind_on_period_and_group_counts(spark):
     a = spark.createDataFrame([("s", 2, 20), ("s", 1, 10)], "series string, period int, a int")
     b = spark.createDataFrame([("s", 1, 1), ("s", 2, 2)], "series string, period int, b int")
     assert rows(link.bind_on_period(a, b)) == [("s", 1, 10, 1), ("s", 2, 20, 2)]
+    c = spark.createDataFrame([("s", 3, 5), (None, 1, 6)], "series string, period int, c int")
+    d = spark.createDataFrame([(None, 1, 7)], "series string, period int, d int")
+    assert rows(link.bind_on_period(a, c, d)) == [("s", 1, 10, None, None), ("s", 2, 20, None, None), ("s", 3, None, 5, None), (None, 1, None, 6, 7)]
     df = spark.createDataFrame([("x", 1), ("x", 2), (None, 3), (None, 4), (None, 5)], "g string, id int")
     for spread in (0, 3):
         assert rows(panel.with_group_count(df, "g", spread=spread), "id", "n") == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3)]

@@ -248,12 +248,12 @@ def pacf_by_hand(r):
 
 def test_acf_and_pacf(spark):
     rng = np.random.default_rng(4)
-    series = {"long": 207, "cut": 182, "tiny": 5}
+    series = {"long": 207, "cut": 182, "tiny": 5, "longer": 400}
     values = {k: list(np.cumsum(rng.normal(size=n)) * 0.1 + rng.normal(size=n)) for k, n in series.items()}
     data = [(k, "m", 3 * i, float(v)) for k, vs in values.items() for i, v in enumerate(vs)]
     rng.shuffle(data)
     df = spark.createDataFrame([(k, m, int(i), float(v)) for k, m, i, v in data], "series string, model string, period int, residual double")
-    lags = {"long": 23, "cut": 22, "tiny": 4}
+    lags = {"long": 23, "cut": 22, "tiny": 4, "longer": 26}
     got, part = serial.acf(df), serial.pacf(df)
     for k, n in series.items():
         r = acf_by_hand(values[k], lags[k])
@@ -266,6 +266,22 @@ def test_acf_and_pacf(spark):
     assert serial.acf(df, max_lag=3).filter("series = 'long'").count() == 4
 
 
+def test_a_null_stratum_is_a_stratum(spark):
+    rng = np.random.default_rng(7)
+    data = [(g, w, int(rng.random() < 0.3)) for g in ("a", None) for w in range(1, 208) for _ in range(20)]
+    df = spark.createDataFrame(data, "g string, time_weeks int, v int")
+    by = ["g", "series"]
+    gap = df.filter("not (g is null and time_weeks = 50)")
+    filled = panel.fill_periods(panel.panel(gap, [OutcomeSpec("s", "v")], by=["g"]), by)
+    empty = rows(filled.filter("denominator = 0"), "g", "period")
+    assert filled.count() == 414 and empty == [(None, 50)]
+    assert filled.filter("g is null").agg(F.sum("denominator")).first()[0] == 206 * 20
+    made = panel.panel(df, [OutcomeSpec("s", "v")], by=["g"])
+    fit = model.fit_its(made, [MODELS["poisson"]], by)
+    for table in (effects.residuals(made, fit, by), effects.trends(made, fit, by), effects.predict(made, fit, by=by), effects.confidence_band(made, fit, by)):
+        assert dict(rows(table.groupBy("g").count())) == {"a": 207, None: 207}
+
+
 def test_tails():
     assert normal_p(1.959963984540054) == pytest.approx(0.05)
     table = {1: 12.706205, 10: 2.228139, 30: 2.042272, 120: 1.979930, 199: 1.971957}

@@ -88,6 +88,27 @@ def test_miss_patterns_with_fewer_sets_than_columns(spark):
     assert len(first) == 2 and first[0].n >= first[1].n
 
 
+def test_miss_patterns_of_many_columns(spark):
+    columns = [f"c{i}" for i in range(70)]
+    data = [tuple(None if i in gone else 1 for i in range(70)) for gone in ({0, 69}, {0, 69}, {61, 65}, set(), set(range(70)))]
+    df = spark.createDataFrame(data, ", ".join(f"{c} int" for c in columns))
+    got = quality.miss_patterns(df, columns, max_sets=None, top=None).collect()
+    assert [(r.pattern, r.n_variables, r.n) for r in got] == [("c0&c69", 2, 2), ("&".join(columns), 70, 1), ("c61&c65", 2, 1)]
+
+
+def test_tables_from_reduced_records(spark):
+    data = [(random.Random(i).choice("xyz"), random.Random(i + 99).choice([1, 2, None])) for i in range(300)]
+    df = spark.createDataFrame(data, "a string, b int")
+    small = quality.reduced(df, ["a", "b"])
+    assert small.count() <= 9
+    for use_na in (True, False):
+        assert rows(quality.crosstab(small, "a", "b", use_na, weight="n")) == rows(quality.crosstab(df, "a", "b", use_na))
+        assert rows(quality.freq(small, ["a", "b"], use_na, weight="n")) == rows(quality.freq(df, ["a", "b"], use_na))
+    sparse = spark.createDataFrame([("x", 1), ("y", 2)], "a string, b int")
+    assert quality.crosstab(sparse, "a", "b", zero_cells=False).count() == 2 and quality.crosstab(sparse, "a", "b").count() == 4
+    assert "collect_list" not in quality.crosstab(df, "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def six(values):
     known = [v for v in values if v is not None]
     q = [float(v) for v in np.quantile(known, [0, 0.25, 0.5, 0.75, 1])] if known else [None] * 5
@@ -117,6 +138,14 @@ def test_summary6(spark, bounded):
     assert tuple(whole)[1:] == pytest.approx(six([v for _, v in pairs]))
 
 
+def test_quartiles_do_not_depend_on_the_order_of_partitions(spark):
+    df = spark.range(0, 5000, numPartitions=5).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 100000 / 7.0).alias("x"))
+    first = summary.summary6(df, ["x"], ["g"])
+    assert "percentile" not in first._jdf.queryExecution().optimizedPlan().toString()
+    for other in (df.repartition(7, "x"), df.orderBy(F.desc("x")), df.coalesce(1)):
+        assert rows(summary.summary6(other, ["x"], ["g"]).drop("mean")) == rows(first.drop("mean"))
+
+
 def test_summary_quartiles_are_type_7(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 3, 10, None)], "x int")
     got = summary.summary6(df, ["x"]).first()

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as driver
 from checks import oracle, queries as registered
 from checks.compare import compare, open_duck
-from checks.plans import plan_counts
+from checks.plans import plan_counts, with_stages
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
@@ -47,6 +47,11 @@ def test_plans_scale(spark, name):
     assert counts["python"] == (1 if name == "its_residuals" else 0)
 
 
+def test_stages_are_counted_too(spark):
+    counts = plan_counts(*with_stages(QUERIES["its_poisson"], spark, SF_DIR))
+    assert counts["scans"] >= 2 and counts["nested"] == 0
+
+
 def test_one_scan_of_the_records_for_all_series(spark):
     assert plan_counts(QUERIES["panel_prevalence"](spark, SF_DIR))["scans"] == 1
 

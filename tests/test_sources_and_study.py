@@ -236,6 +236,14 @@ def test_study_results(done, spark):
     links = {(r.source, r.status): r.n for r in tables["links"].collect()}
     assert all(links[s, "matched"] > 0 and links[s, "conflict"] > 0 and links[s, "absent"] > 0 for s in ("admissions_child", "six_week_visit"))
     written = os.listdir(f"{out}/results")
+    assert {"records_by_raw_week", "codes", "answers", "answers_missing_by_week", "answers_incomplete", "ratios", "panel_summary"} <= set(written)
+    n = tables["linked"].count()
+    assert {(r.variable, r.n) for r in tables["answers"].groupBy("variable").agg(F.sum("n").alias("n")).collect()} == {(a, n) for a in study.ANSWERS}
+    gaps = {r.variable: (r.n_rows, r.n_incomplete) for r in tables["answers_incomplete"].collect()}
+    assert gaps == {a: (n, tables["linked"].filter(F.col(a).isNull()).count()) for a in study.ANSWERS}
+    births = delimited.read_delimited(spark, done[0]["births"])
+    assert tables["records_by_raw_week"].agg(F.sum("n")).first()[0] == births.count()
+    assert tables["panel_summary"].filter("variable = 'rate'").count() == len(outcomes.OUTCOMES)
     assert set(written) == set(tables) - {"clean", "cohort", "linked", "panel"} and len(written) > 25
     back = delimited.read_delimited(spark, f"{out}/results/effects", "series string, post_week int, effect double")
     assert rows(back) == rows(tables["effects"], "series", "post_week", "effect")
@@ -243,6 +251,47 @@ def test_study_results(done, spark):
     assert answered.agg(F.sum("n")).first()[0] == tables["linked"].count()
 
 
+def test_models_are_fitted_once_and_text_is_read_once(done):
+    """Result tables start from the stages: no fit and no scan of text is left in their plans."""
+    _, out, tables = done
+    assert os.path.isdir(f"{out}/fit") and os.path.isdir(f"{out}/categories")
+    for name, table in tables.items():
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "FileScan csv" not in plan, name
+    by_stage = {n: t._jdf.queryExecution().executedPlan().toString() for n, t in tables.items() if "_68_by_" in n or n in ("answers", "characteristics")}
+    assert len(by_stage) == 11 and all("/categories" in p and "/linked" not in p for p in by_stage.values())
+
+
+def test_ids_left_whole(spark, tmp_path, done):
+    paths, _, _ = done
+    tables = study.run_study(spark, paths, str(tmp_path / "whole"), trim=None, spread=4)
+    assert tables["cohort"].filter(F.length("mother_id") > 6).count() > 0
+    assert tables["trimmed_key_conflicts"].first().keys_conflicted == 0
+    assert tables["links"].filter("status = 'matched' and n > 0").count() == 4
+
+
+def test_delimited_text_as_other_programs_write_it(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_bytes(b'id,t,n\n1,"say ""hi"", ok",5\n2,"back\\",7\n3, Y ,8\n4,"\t in quotes ",9\n5,"a, b",\n')
+    schema = "id int, t string, n int"
+    texts = {1: 'say "hi", ok', 2: "back\\", 3: "Y", 4: "in quotes", 5: "a, b"}
+    got = {r.id: (r.t, r.n) for r in delimited.read_delimited(spark, str(path), schema).collect()}
+    assert got == {i: (t, {1: 5, 2: 7, 3: 8, 4: 9}.get(i)) for i, t in texts.items()}
+    kept = {r.id: r.t for r in delimited.read_delimited(spark, str(path), schema, blank_is_null=False).collect()}
+    assert kept == texts | {3: " Y ", 4: "\t in quotes "}
+    broken = tmp_path / "lines.csv"
+    broken.write_bytes(b'id,t\n1,"two\nlines"\n2,one\n')
+    assert rows(delimited.read_delimited(spark, str(broken), "id int, t string", multi_line=True)) == [(1, "two\nlines"), (2, "one")]
+
+
+def test_written_text_is_standard(spark, tmp_path):
+    data = [(1, 'say "hi", ok'), (2, "back\\"), (3, None), (4, "plain")]
+    delimited.write_result(spark.createDataFrame(data, "id int, t string"), str(tmp_path / "out"))
+    part = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv")
+    with open(part, newline="") as f:
+        assert [(int(r["id"]), None if r["t"] == "NA" else r["t"]) for r in csv.DictReader(f)] == data
+
+
 def test_trim_before_and_after(spark):
     columns = [*schemas.key_columns(), *schemas.BIRTH_COLUMNS]
     common = {c: 1 for c in schemas.BIRTH_COLUMNS} | {"condition_on_discharge": 3, "MOTHER_AGE_GRPS": "20"}
