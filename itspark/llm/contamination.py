@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ MIN_SHARE = 20  # contaminated where at least one word in so many is hit
 SEGMENT_WORDS = 1 << 19
 BLOCK_WINDOWS = 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEGMENTS = "segment string, doc_id array<long>, key array<binary>, n_words array<int>, term array<string>, n array<int>, places array<long>"
+SEGMENTS = "doc_id array<long>, key array<binary>, n_words array<int>, term array<string>, n array<int>, places array<long>"
 LOW = 32
 
 #: Bytes that belong to words, after A-Z became a-z: digits, a-z, and every byte of a character beyond ASCII.
@@ -66,23 +65,20 @@ def build_index(docs: DataFrame, terms: set[str]) -> DataFrame:
     """Segments of the corpus with the places of the given terms."""
     sent = docs.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(sorted(terms))})
 
-    def segment(number: int, ids: list, keys: list, counts: list[int], found: list[np.ndarray], at: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
+    def segment(ids: list, keys: list, counts: list[int], found: list[np.ndarray], at: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
         codes, places = np.concatenate(found), np.concatenate(at)
         order = np.argsort(codes, kind="stable")
         codes, places = codes[order], places[order]
         firsts = np.flatnonzero(np.diff(codes, prepend=-1))
         sizes = np.diff(np.append(firsts, len(codes)))
-        context = TaskContext.get()
-        values = [
-            f"{context.partitionId()}-{number}", ids, keys, counts, [names[c].decode() for c in codes[firsts]], sizes.tolist(), places,
-        ]
-        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["segment", "doc_id", "key", "n_words", "term", "n", "places"])
+        values = [ids, keys, counts, [names[c].decode() for c in codes[firsts]], sizes.tolist(), places]
+        types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["doc_id", "key", "n_words", "term", "n", "places"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = sent.value
         names = sorted(codes)
-        number, held = 0, 0
+        held = 0
         ids, keys, counts, found, at = [], [], [], [], []
         for batch in batches:
             for doc_id, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text").cast(pa.binary())):
@@ -96,11 +92,11 @@ def build_index(docs: DataFrame, terms: set[str]) -> DataFrame:
                 counts.append(len(words))
                 held += len(words)
                 if held >= SEGMENT_WORDS:
-                    yield segment(number, ids, keys, counts, found, at, names)
-                    number, held = number + 1, 0
+                    yield segment(ids, keys, counts, found, at, names)
+                    held = 0
                     ids, keys, counts, found, at = [], [], [], [], []
         if ids:
-            yield segment(number, ids, keys, counts, found, at, names)
+            yield segment(ids, keys, counts, found, at, names)
 
     return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text_of().alias("text")).mapInArrow(work, SEGMENTS)
 
@@ -156,8 +152,8 @@ def _within(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def search(index: DataFrame, phrases: dict[str, list[str]], counts: dict[str, int], distance: int | None = None) -> DataFrame:
-    """Matches of a block: segment, document's number in it, and for each match the word and length of the
-    phrase (1 for a proximity match, at its rarest word) and the items that have it."""
+    """Matches of a block: id and content key of the document, the word and length of the phrase (1 for a
+    proximity match, at its rarest word) and the items that have it."""
     sent = index.sparkSession.sparkContext.broadcast((list(phrases.items()), counts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +161,7 @@ def search(index: DataFrame, phrases: dict[str, list[str]], counts: dict[str, in
         ordered = [(rarest_first(phrase.split(" "), rank), items) for phrase, items in queries]
         for batch in batches:
             for row in range(batch.num_rows):
-                name, terms, sizes = (batch.column(c)[row].as_py() for c in ("segment", "term", "n"))
+                terms, sizes = (batch.column(c)[row].as_py() for c in ("term", "n"))
                 places = batch.column("places")[row].values.to_numpy()
                 ends = np.cumsum(sizes)
                 lists = {t: places[e - n : e] for t, n, e in zip(terms, sizes, ends)}
@@ -175,22 +171,25 @@ def search(index: DataFrame, phrases: dict[str, list[str]], counts: dict[str, in
                     at.extend(found.tolist())
                     lengths.extend([len(words) if distance is None else 1] * len(found))
                     items.extend([of] * len(found))
+                owners = pa.array([p >> LOW for p in at], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(at), pa.string()),
-                        pa.array([p >> LOW for p in at], pa.int32()),
+                        *(batch.column(c)[row].values.take(owners) for c in ("doc_id", "key")),
                         pa.array([p & ((1 << LOW) - 1) for p in at], pa.int32()),
                         pa.array(lengths, pa.int32()),
                         pa.array(items, pa.list_(pa.string())),
                     ],
-                    names=["segment", "number", "word", "length", "items"],
+                    names=["doc_id", "key", "word", "length", "items"],
                 )
 
-    return index.mapInArrow(work, "segment string, number int, word int, length int, items array<string>")
+    return index.mapInArrow(work, "doc_id long, key binary, word int, length int, items array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The index's documents (segment, number, doc_id, key, n_words), and all matches of the test set's windows in them."""
+    """The documents (doc_id, key, n_words), and all matches of the test set's windows in them.
+
+    Matches name a document by its id and content key: rows that agree in both have the same matches.
+    """
     windows = staged(test_windows(benchmark, window), "windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
@@ -202,10 +201,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distanc
         index = staged(build_index(docs, terms), "index")
         of_block = staged(search(index, phrases, term_counts(index), distance), "matches")
         found = of_block if found is None else found.unionAll(of_block)
-        # Segments are cut by all words of a partition, so those of every block agree in documents and numbers.
         listed = index if listed is None else listed
-    numbers = listed.select("segment", F.posexplode(F.arrays_zip("doc_id", "key", "n_words")).alias("number", "d"))
-    return numbers.select("segment", "number", "d.doc_id", "d.key", "d.n_words"), found
+    return listed.select(F.explode(F.arrays_zip("doc_id", "key", "n_words")).alias("d")).select("d.*"), found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
@@ -217,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     docs = docs.select("doc_id", "text")
     listed, found = matches(docs, benchmark, window)
     # Occurrences of one document, in order: a word counts once, from where the one before it ended.
-    spans = found.groupBy("segment", "number").agg(
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.array_sort(F.collect_set(F.struct("word", (F.col("word") + F.col("length")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -225,8 +222,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         "aggregate(spans, named_struct('n', 0L, 'upto', 0), "
         "(a, s) -> named_struct('n', a.n + greatest(s.end - greatest(s.word, a.upto), 0), 'upto', greatest(a.upto, s.end)), a -> a.n)"
     )
-    hits = spans.select("segment", "number", n_hit.alias("n_hit"), "items")
-    joined = listed.join(hits, ["segment", "number"], "left")
+    hits = staged(spans.select("_id", "_key", n_hit.alias("n_hit"), "items"), "hits")
+    joined = listed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     n_words, hit = F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id", "key", n_words.alias("n_words"), hit.alias("n_hit"),
