@@ -747,8 +747,10 @@ def scan_roundtrip() -> str:
         f"SELECT '{copy}' AS copy, count(*) AS n, count(nullif(o_orderpriority, '4-NOT SPECIFIED')) AS n_priority,"
         f" {num('sum(o_totalprice)', 2)} AS price, {big('9 * count(*)')} AS customer_chars,"
         " lpad(min(o_custkey)::VARCHAR, 9, '0') AS first_customer,"
-        f" {day('min(o_orderdate)')} AS first_day, {day('max(o_orderdate)')} AS last_day FROM orders"
-        for copy in ("csv", "stage")
+        f" {day('min(o_orderdate)')} AS first_day, {day('max(o_orderdate)')} AS last_day,"
+        f" {big(f'sum(length(o_orderstatus) + {chars})')} AS note_chars,"
+        f" max('{blank}say \"' || o_orderstatus || '\", or so, \\') AS last_note FROM orders"
+        for copy, blank, chars in (("csv", "", 16), ("csv base", " ", 17), ("stage", " ", 17))
     ]
     return " UNION ALL ".join(parts)
 
@@ -812,6 +814,9 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
     episodes = ", ".join(f"{big(f'episodes_{w}w_{who}')} AS episodes_{w}w_{who}" for w in (26, 52) for who in ("child", "mother"))
     return {
         "scan_roundtrip": scan_roundtrip(),
+        "result_roundtrip": f"SELECT priority, count(*) AS n, {num('avg(o_totalprice)', 2)} AS price,"
+        " '\"' || coalesce(priority, '') || '\", x' AS quoted"
+        " FROM (SELECT nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority, o_totalprice FROM orders) GROUP BY priority",
         "period_spine": period_spine(),
         "study_time": rows(f"o_orderkey, {big('t')} AS time_weeks"),
         "its_terms": rows(f"o_orderkey, {big(level('t'))} AS level, {big(trend('t'))} AS trend_weeks"),

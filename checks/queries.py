@@ -55,19 +55,20 @@ def _plain(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scan_roundtrip(s: Study) -> DataFrame:
-    """Orders written as CSV and as a stage, read back, and compared in totals."""
+    """Orders with awkward text written as CSV and as a stage, read back in both dialects, compared in totals."""
     rows = s.table("orders").select(
         "o_orderkey",
         F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("customer"),
         "o_totalprice",
         recode.sentinel_to_null(F.col("o_orderpriority"), "4-NOT SPECIFIED").alias("priority"),
         F.col("o_orderdate").cast("date").alias("ordered"),
+        F.concat(F.lit(' say "'), "o_orderstatus", F.lit('", or so, \\')).alias("note"),
     )
     text = stage.new_stage_path(s.spark, "orders-csv")
     delimited.write_delimited(rows, text)
-    from_text = delimited.read_delimited(
-        s.spark, text, "o_orderkey bigint, customer string, o_totalprice double, priority string, ordered date"
-    )
+    schema = "o_orderkey bigint, customer string, o_totalprice double, priority string, ordered date, note string"
+    from_text = delimited.read_delimited(s.spark, text, schema)
+    from_base = delimited.read_delimited(s.spark, text, schema, blank_is_null=False)
     from_stage = stage.write_stage(rows, stage.new_stage_path(s.spark, "orders"))
 
     def totals(df: DataFrame, name: str) -> DataFrame:
@@ -80,9 +81,22 @@ def scan_roundtrip(s: Study) -> DataFrame:
             F.min("customer").alias("first_customer"),
             F.min("ordered").alias("first_day"),
             F.max("ordered").alias("last_day"),
+            F.sum(F.length("note")).alias("note_chars"),
+            F.max("note").alias("last_note"),
         )
 
-    return _plain(totals(from_text, "csv").unionByName(totals(from_stage, "stage")), 2)
+    copies = totals(from_text, "csv").unionByName(totals(from_base, "csv base")).unionByName(totals(from_stage, "stage"))
+    return _plain(copies, 2)
+
+
+def result_roundtrip(s: Study) -> DataFrame:
+    """A result table written as one CSV file and read back in the base dialect; a null is NA and null again."""
+    priority = recode.sentinel_to_null(F.col("o_orderpriority"), "4-NOT SPECIFIED").alias("priority")
+    counts = s.table("orders").groupBy(priority).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("price"))
+    counts = counts.withColumn("quoted", F.concat(F.lit('"'), F.coalesce("priority", F.lit("")), F.lit('", x')))
+    path = stage.new_stage_path(s.spark, "result")
+    delimited.write_result(counts, path)
+    return _plain(delimited.read_delimited(s.spark, path, "priority string, n bigint, price double, quoted string", blank_is_null=False), 2)
 
 
 def period_spine(s: Study) -> DataFrame:
@@ -482,7 +496,7 @@ def its_ladder(s: Study) -> DataFrame:
 
 
 QUERIES = (
-    scan_roundtrip, period_spine, study_time, its_terms, binary_outcome, recode_sentinel, recode_predicate,
+    scan_roundtrip, result_roundtrip, period_spine, study_time, its_terms, binary_outcome, recode_sentinel, recode_predicate,
     key_suffix, exclusive_flag, harmonic_terms, cohort_build, attrition, complete_case, missing_counts,
     null_counts, freq_table, freq_table_known, histogram, crosstab, crosstab_na, miss_by_factor,
     miss_by_period, miss_patterns, dedup_exact, dedup_conflict, dedup_repeated, conflict_report, window_count, window_count_keys,

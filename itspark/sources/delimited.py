@@ -48,8 +48,9 @@ def read_delimited(
 
 
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV in one file per partition, nulls as ``NA``, quotes inside quoted text doubled."""
-    df.write.mode(mode).options(header=True, nullValue="NA", emptyValue="", quote='"', escape='"').csv(path)
+    """CSV in one file per partition, nulls as ``NA``, quotes inside quoted text doubled, white space kept."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, nullValue="NA", emptyValue="", quote='"', escape='"', **spaces).csv(path)
 
 
 def write_result(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
