@@ -1,7 +1,7 @@
 """Legacy archives (ARC) converted to WARC.
 
 An ARC file begins with a version block that names the fields of its records' header lines; a record is a
-header line, a blank-free body of the declared length, and a newline. Version 1 has five fields (URL, IP
+header line, a body of the declared length, and a newline. Version 1 has five fields (URL, IP
 address, 14-digit date, type, length), version 2 ten, with a status code, checksum, location, offset and
 file name. The converter reads the header by its version, takes as many bytes as declared, and makes the
 WARC record that says the same: a record id derived from the page and its payload (so that a task run again
@@ -54,7 +54,7 @@ def to_arc(pages: DataFrame, path: str, version: int) -> None:
         for batch in batches:
             values = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                values.append(arc_record(version, page, url, html or "") )
+                values.append(arc_record(version, page, url, html or ""))
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(work, "value string")

@@ -64,7 +64,8 @@ def sketch(anchors: DataFrame, cells: int) -> np.ndarray:
     schema = "row int, piece int, cells binary"
     merged = anchors.select("core", "copies").mapInArrow(count, schema).groupBy("row", "piece").applyInArrow(add, schema)
     out = np.zeros((ROWS, cells), np.uint8)
-    for r in merged.toLocalIterator():
+    # At most ROWS * MAX_CELLS bytes before compression.
+    for r in merged.collect():
         out[r["row"]].reshape(-1, min(PIECE, cells))[r["piece"]] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.uint8)
     return out
 

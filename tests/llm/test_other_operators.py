@@ -241,8 +241,7 @@ def cheapest(roles, costs=chat.Costs()):
         """Turns missing between two that follow each other, or None."""
         if b in legal_next[a]:
             return 0
-        steps = {c for x in legal_next[a] for c in legal_next[x]}
-        return 1 if b in steps and b != "system" else None
+        return 1 if b in {c for x in legal_next[a] for c in legal_next[x]} else None
 
     best = None
     for chosen in itertools.product(("system", "user", "assistant"), repeat=len(roles)):
