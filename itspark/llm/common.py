@@ -13,7 +13,19 @@ from itspark.sources import stage
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the shared folder and go on from the files; cuts the lineage."""
-    return stage.write_stage(df, stage.new_stage_path(df.sparkSession, name))
+    path = stage.new_stage_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._stage_path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,12 +74,5 @@ class Texts:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def remove_stage(spark: SparkSession, df_path: str) -> None:
-    """Delete a stage's folder through the file system that holds it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(conf).delete(path, True)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

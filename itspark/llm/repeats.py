@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itspark.llm import grams
-from itspark.llm.common import Texts, staged, text_key
+from itspark.llm.common import Texts, discard, staged, text_key
 
 NODES = "core long, hull binary, key binary, copies long, anchor long, lo long, hi long, seen boolean"
 ANCHORS = "core long, key binary, copies long, place long"
@@ -119,15 +119,21 @@ def split_buckets(texts: DataFrame, nodes: DataFrame, units: Units, grid: int) -
 
 
 def settle(nodes: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Starts of repeated windows (key, lo, hi), and the buckets that must be split."""
+    """Starts of repeated windows (key, lo, hi), and the buckets that must be split.
+
+    The given staged buckets are deleted when they are settled.
+    """
     hulls = staged(nodes.groupBy("core", "hull").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "lo")).alias("witness")), "hulls")
+    used = [nodes, hulls]
     if last:
         verdict = hulls.filter("n >= 2").select("core", "hull", F.lit(True).alias("repeated"), F.lit(False).alias("open"), "witness")
     else:
         cores = staged(hulls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds >= 2"), "cores")
+        used.append(cores)
         verdict = hulls.join(cores, "core", "left").select("core", "hull", (F.col("n") >= 2).alias("repeated"), F.col("kinds").isNotNull().alias("open"), "witness")
         verdict = verdict.filter("repeated or open")
     verdict = staged(verdict, "verdict")
+    used.append(verdict)
     joined = nodes.join(verdict, ["core", "hull"])
     # Of copies of a text everything goes anyway, and a witness was settled on an earlier level.
     open_ = F.col("open") & (~F.col("repeated") | ((F.col("witness.key") == F.col("key")) & (F.col("witness.lo") == F.col("lo"))))
@@ -135,6 +141,7 @@ def settle(nodes: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
         joined.select("key", "anchor", "lo", "hi", (F.col("repeated") & ~F.col("seen") & (F.col("copies") == 1)).alias("out"), open_.alias("open"), (F.col("seen") | F.col("repeated")).alias("seen")).filter("out or open"),
         "judged",
     )
+    discard(*used)
     out = judged.filter("out").select("key", "lo", "hi")
     return out, None if last else judged.filter("open").select("key", "anchor", "lo", "hi", "seen")
 
@@ -150,7 +157,8 @@ def repeated_starts(texts: Texts, units: Units, repeated: Callable[[DataFrame],
     """
     place = F.col("place")
     anchor = F.shiftright(place, 16)
-    nodes = repeated(staged(anchor_rows(texts.table(), units), "anchors")).select(
+    anchors = staged(anchor_rows(texts.table(), units), "anchors")
+    nodes = repeated(anchors).select(
         "key",
         anchor.alias("anchor"),
         (anchor - F.shiftright(place, 8).bitwiseAND(255)).alias("lo"),
@@ -160,6 +168,8 @@ def repeated_starts(texts: Texts, units: Units, repeated: Callable[[DataFrame],
     found = None
     for grid in units.grids:
         rows = staged(split_buckets(texts.table(), by_text(nodes), units, grid), "buckets")
+        if found is None:
+            discard(anchors)
         out, nodes = settle(rows, grid == units.grids[-1])
         found = out if found is None else found.unionAll(out)
     return found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
