@@ -17,7 +17,7 @@ from itspark.sources import stage
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules find good with the needed probability."""
-    return rules.score(docs.select(F.struct("*").alias("row")), "row.text").filter("_kept").select("row.*")
+    return rules.score(docs).filter("_kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,11 +157,12 @@ def fit(voted: DataFrame, rounds: int = 30, tolerance: float = 1e-4, accuracy: f
 
 
 def score(df: DataFrame, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with ``_<count>``, ``_base_failed``, ``_posterior`` and ``_kept`` added.
+    """Each row, whole in ``row``, with ``_<count>``, ``_base_failed``, ``_posterior`` and ``_kept``.
 
     A document is kept if it passes the base test and its posterior is at least ``threshold``.
     """
-    voted = staged(with_statistics(df, text_of(text_column)).withColumns(votes()), "votes")
+    rows = df.select(F.struct("*").alias("row"))
+    voted = staged(with_statistics(rows, text_of(f"row.{text_column}")).withColumns(votes()), "votes")
     posterior = fit(voted).posterior()
     return voted.withColumn("_base_failed", base_failed()).withColumn("_posterior", posterior).withColumn(
         "_kept", ~F.col("_base_failed") & (F.col("_posterior") >= threshold)

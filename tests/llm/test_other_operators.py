@@ -365,13 +365,13 @@ def statistics_by_hand(text):
 
 def test_quality_statistics_and_verdicts(docs, docs_rows, no_docs):
     scored = rules.score(docs)
-    got = rows(scored, "doc_id", *[f"_{c}" for c in rules.STATS], "_base_failed")
+    got = rows(scored, "row.doc_id", *[f"_{c}" for c in rules.STATS], "_base_failed")
     expected = []
     for doc_id, text, _ in docs_rows:
         s = statistics_by_hand(text)
         expected.append((doc_id, *s, s[0] < 50 or 100 * s[4] > 50 * s[0]))
     assert got == sorted(expected, key=repr)
-    assert set(docs.columns) <= set(scored.columns)
+    assert scored.select("row.*").columns == docs.columns
     assert scored.filter("_kept and _base_failed").count() == 0
     assert rules.score(no_docs).count() == 0
 
@@ -396,7 +396,7 @@ def test_posterior_agrees_with_labels(spark):
     """Held-out labels: most documents with bad quality go, those with good quality stay."""
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
-    scored = rules.score(docs).filter("not _base_failed").groupBy("quality", "_kept").count().collect()
+    scored = rules.score(docs).filter("not _base_failed").groupBy("row.quality", "_kept").count().collect()
     n = {(r.quality, r._kept): r["count"] for r in scored}
     assert n.get((1, True), 0) >= 0.98 * sum(v for (q, _), v in n.items() if q == 1)
     assert n.get((0, False), 0) >= 0.9 * sum(v for (q, _), v in n.items() if q == 0)
