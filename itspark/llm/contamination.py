@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itspark.llm.common import staged, text_key, text_of
+from itspark.llm.common import discard, staged, text_key, text_of
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated where at least one word in so many is hit
@@ -201,8 +201,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distanc
         index = staged(build_index(docs, terms), "index")
         of_block = staged(search(index, phrases, term_counts(index), distance), "matches")
         found = of_block if found is None else found.unionAll(of_block)
-        listed = index if listed is None else listed
-    return listed.select(F.explode(F.arrays_zip("doc_id", "key", "n_words")).alias("d")).select("d.*"), found
+        if listed is None:
+            numbers = index.select(F.explode(F.arrays_zip("doc_id", "key", "n_words")).alias("d")).select("d.*")
+            listed = staged(numbers, "listed")
+        discard(index)
+    return listed, found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:

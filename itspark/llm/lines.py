@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itspark.llm.common import shuffle_partitions, staged, text_key, text_of
+from itspark.llm.common import discard, shuffle_partitions, staged, text_key, text_of
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -137,6 +137,7 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     rows = staged(occurrences(docs, min_chars), "lines")
     ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "key")
     judged = staged(judge(ranged, min_docs), "judged")
+    discard(rows)
     edges = judged.filter("kind = 'edge first'").groupBy("h1", "h2").agg(
         F.sum("n").alias("total"), F.min(F.struct("doc_id", "key", "positions")).alias("first")
     ).filter(F.col("total") >= min_docs)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itspark.llm.common import shuffle_partitions, staged, text_key, text_of
+from itspark.llm.common import discard, shuffle_partitions, staged, text_key, text_of
 from itspark.llm.components import components
 from itspark.llm.grams import mixed
 
@@ -304,8 +304,11 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     rows = staged(entries(nodes, plan), "entries")
     ordered = rows.repartitionByRange(shuffle_partitions(nodes.sparkSession), "block", "rank").sortWithinPartitions("block", "rank")
     cut = staged(chunks(ordered, plan), "chunks")
-    found = staged(across(cut.filter("chunk is not null"), plan), "across")
-    return cut.filter("u is not null").select("u", "v").unionAll(found)
+    discard(rows)
+    found = across(cut.filter("chunk is not null"), plan)
+    edges = staged(cut.filter("u is not null").select("u", "v").unionAll(found), "links")
+    discard(cut)
+    return edges
 
 
 def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
