@@ -105,7 +105,18 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _unzipped(content: bytes) -> bytes:
-    return zlib.decompress(content, wbits=47)
+    """All gzip members of a file, of which archives have one a record; a file that is not zipped as it is."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts, rest = [], content
+    while rest:
+        member = zlib.decompressobj(wbits=31)
+        parts.append(member.decompress(rest))
+        if not member.eof:
+            raise ValueError("archive ends inside a gzip member")
+        # Members may be padded with zeros.
+        rest = member.unused_data.lstrip(b"\0")
+    return b"".join(parts)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Mixing, decontamination, token counts, near-duplicates, chat, archives and quality rules against brute force."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -328,6 +329,24 @@ def test_archives(spark, tmp_path):
     assert {r.date for r in got.select("date").collect()} == {"2024-01-01T00:00:00Z"}
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_archives_with_a_member_for_each_record(spark, tmp_path, zipped):
+    pack = gzip.compress if zipped else bytes
+    records = [warc.arc_record(1, k, f"http://a/{k}", "x" * k).removeprefix(warc.version_block(1) + "\n").encode() + b"\n" for k in range(5)]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(b"".join(map(pack, [warc.version_block(1).encode() + b"\n", *records])))
+    warc.convert(spark, [str(tmp_path / "arc")], str(tmp_path / "once"))
+    (tmp_path / "warc").mkdir()
+    made = [warc._unzipped(f.read_bytes()) for f in (tmp_path / "once").glob("part-*")]
+    # Cut before every record and zipped again, one member each.
+    again = [b"WARC/1.1\r\n" + r for data in made for r in data.split(b"WARC/1.1\r\n")[1:]]
+    (tmp_path / "warc" / "a.warc.gz").write_bytes(b"".join(map(pack, again)))
+    got = warc.read_warc(spark, str(tmp_path / "warc"))
+    assert rows(got, "page_id", "url", "payload") == [(k, f"http://a/{k}", "x" * k) for k in range(5)]
+    with pytest.raises(ValueError, match="inside a gzip member"):
+        warc._unzipped(gzip.compress(b"abc" * 99)[:-9])
+
+
 def test_archives_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.to_arc(df, str(tmp_path / "arc"), 1)
