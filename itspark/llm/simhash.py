@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from itspark.llm.common import discard, shuffle_partitions, staged, text_key, text_of
 from itspark.llm.components import components
 from itspark.llm.grams import mixed
+from itspark.llm.similar import similar
 
 SEED = 42
 CHUNK = 512
@@ -48,14 +49,15 @@ class Plan:
     words: int  # 64-bit words in a fingerprint
     max_bits: int
     blocks: tuple[tuple[int, int, int], ...]  # word, first bit from the top, number of bits
+    similarity: tuple[int, int] | None = None  # over, under: links are texts this similar, not fingerprints this near
 
 
 #: All links at 4 or fewer of 64 bits: five blocks, of which one is equal.
 EXACT = Plan(4, 1, 4, ((0, 0, 13), (0, 13, 13), (0, 26, 13), (0, 39, 13), (0, 52, 12)))
-#: Five-word shingles with a similarity of 0.8: then the angle between two texts is 0.151 of a half turn, and
-#: so is the expected share of 384 bits that differ. One of 24 blocks of 16 bits is equal with probability
-#: 0.84 at a similarity of 0.8, 0.99 at 0.9.
-SIMILAR = Plan(5, 6, 58, tuple((w, at, 16) for w in range(6) for at in range(0, 64, 16)))
+#: Five-word shingle sets with a similarity of 0.8 or more. The fingerprints are an estimate (at 0.8 about half of
+#: the pairs differ in more than 58 of 384 bits, and 16 in 100 agree on none of the 24 blocks), so they only
+#: suggest pairs; ``similar`` compares these and finds the others.
+SIMILAR = Plan(5, 6, 58, tuple((w, at, 16) for w in range(6) for at in range(0, 64, 16)), (4, 5))
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -314,14 +316,20 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
 def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     """doc_id, key, fingerprint, root (the group's node), component_id: the smallest id in the group."""
     prints = staged(fingerprints(docs, plan), "fingerprints")
-    nodes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("label")).withColumn("node", F.xxhash64("fingerprint")), "nodes")
-    member = staged(components(links(nodes, plan)).join(nodes.select("node", "label"), "node"), "members")
+    # Texts with one fingerprint are one node, unless the texts themselves are compared.
+    by = "fingerprint" if plan.similarity is None else "key"
+    nodes = prints.groupBy(by).agg(F.min("doc_id").alias("label"), *([] if plan.similarity is None else [F.first("fingerprint").alias("fingerprint")]))
+    nodes = staged(nodes.withColumn("node", F.xxhash64(by)), "nodes")
+    edges = links(nodes, plan)
+    if plan.similarity is not None:
+        edges = similar(docs, edges, plan.width, plan.similarity)
+    member = staged(components(edges).join(nodes.select("node", "label"), "node"), "members")
     lowest = staged(member.groupBy("root").agg(F.min("label").alias("lowest")), "lowest")
     named = staged(member.join(lowest, "root").select("node", "root", "lowest"), "named")
     known = nodes.join(named, "node", "left").select(
-        "fingerprint", F.coalesce("root", "node").alias("root"), F.coalesce("lowest", "label").alias("component_id")
+        by, F.coalesce("root", "node").alias("root"), F.coalesce("lowest", "label").alias("component_id")
     )
-    return prints.join(staged(known, "known"), "fingerprint").select("doc_id", "key", "fingerprint", "root", "component_id")
+    return prints.join(staged(known, "known"), by).select("doc_id", "key", "fingerprint", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus pipeline over the smallest driver tables, each stage against brute force."""
 
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -95,6 +96,25 @@ def test_recall_of_near_copies(spark):
     assert all(i in touched for ids in linked.values() if len(ids) > 1 for i in ids)
 
 
+def test_near_copies_are_exactly_the_similar_ones(spark):
+    """Links are the pairs with a similarity of 0.8 or more: all of 0.8 to 0.85, none of 0.7 to 0.8."""
+    rng, texts = random.Random(11), {}
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(124)]
+        texts[5 * k], other = " ".join(words), list(words)
+        # 120 shingles, of which each new word at the end changes one.
+        for n, cut in enumerate((12, 13, 16, 18), 1):
+            if n < 3 and k % 2 or n >= 3 and not k % 2:
+                texts[5 * k + n] = " ".join(other[:-cut] + [f"v{rng.randrange(10**6)}" for _ in range(cut)])
+    docs = frame(spark, [(i, t, "s") for i, t in texts.items()])
+    root = {r.doc_id: r.root for r in simhash.groups(docs, simhash.SIMILAR).select("doc_id", "root").collect()}
+    by_id = {i: {"text": t} for i, t in texts.items()}
+    wanted, band = similar_pairs(by_id, 0.8), similar_pairs(by_id, 0.7)
+    assert len(wanted) > 50 and len(band - wanted) > 50 and not wanted & similar_pairs(by_id, 0.85)
+    assert all(root[a] == root[b] for a, b in wanted)
+    assert not any(root[a] == root[b] for a, b in band - wanted)
+
+
 def test_contaminated_documents_go(spark, stages):
     items = rows(spark.read.parquet(f"{SF_DIR}/benchmark.parquet"), "item_id", "text")
     found = contamination_by_hand([(i, r["text"], None) for i, r in stages[3].items()], items)
