@@ -9,12 +9,15 @@ can only be equal where their anchors are.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: A code for each byte value.
 BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POSITION_BITS = 24
+#: Of the hash of shingles.
+SEED = 42
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -60,6 +63,20 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """XXH64 of each run of ``width`` words, A-Z lower-cased, joined by one space; of all words if fewer."""
+    words = text.lower().split()
+    if not words:
+        return []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    if len(words) <= width:
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
 def anchors(codes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and start of each anchor, and the first and last start of the windows that chose it.
 

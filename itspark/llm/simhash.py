@@ -25,16 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itspark.llm.common import discard, shuffle_partitions, staged, text_key, text_of
 from itspark.llm.components import components
-from itspark.llm.grams import mixed
+from itspark.llm.grams import mixed, shingle_hashes
 from itspark.llm.similar import similar
 
-SEED = 42
 CHUNK = 512
 LEAF = 16
 #: Of each byte value, its bits from the lowest.
@@ -60,20 +58,6 @@ EXACT = Plan(4, 1, 4, ((0, 0, 13), (0, 13, 13), (0, 26, 13), (0, 39, 13), (0, 52
 SIMILAR = Plan(5, 6, 58, tuple((w, at, 16) for w in range(6) for at in range(0, 64, 16)), (4, 5))
 
 
-def shingle_hashes(text: bytes, width: int) -> list[int]:
-    """XXH64 of each run of ``width`` words, A-Z lower-cased, joined by one space; of all words if fewer."""
-    words = text.lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) <= width:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
-
-
 def majority(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
     """Fingerprints, one row of ``words`` longs for each text, from the hashes of all of them in a row.
 

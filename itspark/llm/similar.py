@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from itspark.llm.common import discard, staged, text_key, text_of
 from itspark.llm.components import components
+from itspark.llm.grams import shingle_hashes
 
 #: One text in so many is counted, and a shingle is frequent from so many texts of the sample on.
 SAMPLE, FREQUENT = 8, 4
@@ -34,8 +35,6 @@ LONG = 32
 
 def distinct_shingles(text: bytes, width: int) -> np.ndarray:
     """A text's shingles, each once; texts without words share one of their own."""
-    from itspark.llm.simhash import shingle_hashes
-
     return np.unique(np.array(shingle_hashes(text, width) or [0], np.uint64)).view(np.int64)
 
 
