@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itspark.llm import chat, contamination, lines, mixing, rules, simhash, sql, suffixes, tokens, warc, windows
+from itspark.llm import audit, chat, contamination, lines, mixing, packing, rules, simhash, spelling, sql, suffixes, tokens, warc, windows
 from itspark.llm.common import table_path
 from itspark.sources import stage
 
@@ -77,11 +77,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    return audit.audit(docs).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    return spelling.variants(docs, drop=spelling.DROP).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    operators = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op6_chat, op7_lines, op8_windows, op9_warc, op10_quality)}
-    return {**operators, "pipeline": corpus_pipeline.run}
+    operators = (
+        op1_mix, op2_decontaminate, op3_tokens, op4_simhash, op5_suffixes, op6_chat, op7_lines, op8_windows, op9_warc, op10_quality,
+        op11_audit, op12_packing, op13_spelling,
+    )
+    return {**{f.__name__: f for f in operators}, "pipeline": corpus_pipeline.run}
 
 
 def statements() -> dict[str, str]:

@@ -89,4 +89,35 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-STATEMENTS = {"op9_warc": ARCHIVES, "op1_mix": MIX, "op2_decontaminate": CONTAMINATION, "op7_lines": LINES}
+AUDIT = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), occurring AS (SELECT d, lang, source, unnest(terms) AS term FROM docs
+), kept AS (SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), counts AS (SELECT lang, source, term, count(*) AS n FROM occurring JOIN kept USING (lang, term) GROUP BY lang, source, term
+), kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), totals AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY g.lang, g.source
+), shares AS (
+  SELECT lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (t.total + v) AS p
+  FROM totals t JOIN kept k USING (lang) JOIN kinds USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(total) + any_value(v)) AS p
+  FROM shares JOIN kinds USING (lang) JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, ((s.p - w.p) * (s.p - w.p)) // w.p FROM shares s JOIN whole w USING (lang, term) WHERE s.n > 0 AND s.p > w.p
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+STATEMENTS = {"op11_audit": AUDIT, "op9_warc": ARCHIVES, "op1_mix": MIX, "op2_decontaminate": CONTAMINATION, "op7_lines": LINES}
