@@ -275,12 +275,10 @@ def _boxes(every: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def candidates(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points at most ``radius`` apart, from the boxes of parts of parts downwards."""
-    levels = []
-    for of in (a, b):
-        own = [(of, of)]
-        for _ in range(2):
-            own.append(_boxes(*own[-1]))
-        levels.append(own)
+    levels = [[(of, of)] for of in (a, b)]
+    for own in levels:
+        own += [_boxes(*own[0])]
+        own += [_boxes(*own[1])]
 
     def near(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         (a_every, a_some), (b_every, b_some) = (own[level] for own in levels)
@@ -290,17 +288,24 @@ def candidates(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.n
         kept = far <= radius
         return i[kept], j[kept]
 
-    def below(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shape = (len(i), PART, PART)
-        x = np.broadcast_to((i[:, None] * PART + np.arange(PART))[:, :, None], shape).ravel()
-        y = np.broadcast_to((j[:, None] * PART + np.arange(PART))[:, None, :], shape).ravel()
-        real = (x < len(levels[0][level][0])) & (y < len(levels[1][level][0]))
-        return near(level, x[real], y[real])
-
     top = np.indices((len(levels[0][2][0]), len(levels[1][2][0]))).reshape(2, -1)
-    i, j = below(1, *near(2, top[0], top[1]))
-    for at in range(0, len(i), 2048):
-        yield below(0, i[at : at + 2048], j[at : at + 2048])
+    i, j = near(2, top[0], top[1])
+    x = (i[:, None, None] * PART + np.arange(PART)[:, None] + np.zeros(PART, np.int64)).ravel()
+    y = (j[:, None, None] * PART + np.zeros((PART, 1), np.int64) + np.arange(PART)).ravel()
+    real = (x < len(levels[0][1][0])) & (y < len(levels[1][1][0]))
+    i, j = near(1, x[real], y[real])
+    # Points part by part, one machine word after the other; the last part is filled up with a point again.
+    blocks = [[np.pad(of[:, w], (0, -len(of) % PART), mode="edge").reshape(-1, PART) for w in range(BITS // 64)] for of in (a, b)]
+    for at in range(0, len(i), 512):
+        p, q = i[at : at + 512], j[at : at + 512]
+        far = np.zeros((len(p), PART, PART), np.uint8)
+        for own, other in zip(*blocks):
+            far += np.bitwise_count(own[p][:, :, None] ^ other[q][:, None, :])
+        found = np.flatnonzero(far.ravel() <= radius)
+        pair, at_pair = np.divmod(found, PART * PART)
+        x, y = p[pair] * PART + at_pair // PART, q[pair] * PART + at_pair % PART
+        real = (x < len(a)) & (y < len(b))
+        yield x[real], y[real]
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
