@@ -6,7 +6,7 @@ tree; its upper nodes are fitted on a bounded sample of the words and route all
 words are cut into leaves, and the order of a leaf's words is that of a K-d tree of their own. A range search
 runs from each leaf over the trees of its own and the next length: the box of the leaf passes over every node
 that it is too far from, and so do the boxes of its parts and of parts of parts inside two leaves that meet.
-Words that are left are compared letter by letter. Counts are written in unary, in two machine words, where
+Words that are left are compared letter by letter. Counts are written in unary, in a machine word, where
 the distance from a box or a point is a count of bits.
 
 Equal counts cannot be split by boxes: anagrams stay together, in as many leaves as they need, and pairs of
@@ -42,7 +42,7 @@ TIMES = 10
 #: One run in so many loses a letter before it is counted; 0 leaves all as they are.
 DROP = 31
 #: Letters are told apart, and counted, so far.
-DIMENSIONS, LEVELS = 32, 4
+DIMENSIONS, LEVELS = 32, 2
 BITS = DIMENSIONS * LEVELS
 #: Words that the upper nodes are fitted on, words in a cell as far as the nodes go, cells of all trees together.
 SAMPLE, CELL, MAX_CELLS = 1 << 17, 1 << 15, 1 << 17
@@ -97,7 +97,7 @@ def letters(text: str, length: int) -> np.ndarray:
 
 
 def points(codes: np.ndarray) -> np.ndarray:
-    """Letter counts of words as bits, two 64-bit words each: bit ``t`` of a letter is set if it is there more than
+    """Letter counts of words as bits of a 64-bit word: bit ``t`` of a letter is set if it is there more than
     ``t`` times. So the number of bits in which two words differ is the L1 distance of their counts, but that
     counts of more than ``LEVELS`` are taken as that many."""
     plain = (codes >= 97) & (codes <= 122)
@@ -105,11 +105,11 @@ def points(codes: np.ndarray) -> np.ndarray:
     at = np.arange(len(codes))[:, None] * DIMENSIONS + dimension
     counts = np.bincount(at.ravel(), minlength=len(codes) * DIMENSIONS).reshape(-1, DIMENSIONS)
     bits = (counts[:, :, None] > np.arange(LEVELS)).reshape(len(codes), BITS)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def as_bits(of: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(of).view(np.uint8), axis=1, bitorder="little")
+    return np.unpackbits(np.ascontiguousarray(of).view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
 
 
 def split(bits: np.ndarray) -> int | None:
@@ -254,7 +254,7 @@ def probes(leaf_rows: DataFrame, sent) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 length, cell = batch.column("length")[row].as_py(), batch.column("cell")[row].as_py()
-                bits = as_bits(np.frombuffer(batch.column("points")[row].as_py(), np.uint64).reshape(-1, 2))
+                bits = as_bits(np.frombuffer(batch.column("points")[row].as_py(), np.uint64))
                 every, some = bits.all(axis=0), bits.any(axis=0)
                 to = [(length, c) for c in cells_near(trees[length], every, some, 2) if c >= cell]  # two cells meet once
                 to += [(length + 1, c) for c in cells_near(trees[length + 1], every, some, 1)] if length + 1 in trees else []
@@ -270,11 +270,12 @@ def probes(leaf_rows: DataFrame, sent) -> DataFrame:
 def _boxes(every: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits that all, and that some, of each ``PART`` neighbours have."""
     starts = np.arange(0, len(every), PART)
-    return np.bitwise_and.reduceat(every, starts, axis=0), np.bitwise_or.reduceat(some, starts, axis=0)
+    return np.bitwise_and.reduceat(every, starts), np.bitwise_or.reduceat(some, starts)
 
 
-def candidates(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points at most ``radius`` apart, from the boxes of parts of parts downwards."""
+def candidates(a: np.ndarray, b: np.ndarray, radius: int, half: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points at most ``radius`` apart, from the boxes of parts of parts downwards; with ``half``, of a
+    leaf and itself, each pair once."""
     levels = [[(of, of)] for of in (a, b)]
     for own in levels:
         own += [_boxes(*own[0])]
@@ -282,9 +283,7 @@ def candidates(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.n
 
     def near(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         (a_every, a_some), (b_every, b_some) = (own[level] for own in levels)
-        far = np.zeros(len(i), np.uint8)
-        for word in range(BITS // 64):
-            far += np.bitwise_count(a_every[i, word] & ~b_some[j, word]) + np.bitwise_count(b_every[j, word] & ~a_some[i, word])
+        far = np.bitwise_count(a_every[i] & ~b_some[j]) + np.bitwise_count(b_every[j] & ~a_some[i])
         kept = far <= radius
         return i[kept], j[kept]
 
@@ -294,17 +293,17 @@ def candidates(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.n
     y = (j[:, None, None] * PART + np.zeros((PART, 1), np.int64) + np.arange(PART)).ravel()
     real = (x < len(levels[0][1][0])) & (y < len(levels[1][1][0]))
     i, j = near(1, x[real], y[real])
-    # Points part by part, one machine word after the other; the last part is filled up with a point again.
-    blocks = [[np.pad(of[:, w], (0, -len(of) % PART), mode="edge").reshape(-1, PART) for w in range(BITS // 64)] for of in (a, b)]
+    if half:
+        i, j = i[i <= j], j[i <= j]
+    # Points part by part; the last part is filled up with a point again.
+    own, other = (np.pad(of, (0, -len(of) % PART), mode="edge").reshape(-1, PART) for of in (a, b))
     for at in range(0, len(i), 512):
         p, q = i[at : at + 512], j[at : at + 512]
-        far = np.zeros((len(p), PART, PART), np.uint8)
-        for own, other in zip(*blocks):
-            far += np.bitwise_count(own[p][:, :, None] ^ other[q][:, None, :])
+        far = np.bitwise_count(own[p][:, :, None] ^ other[q][:, None, :])
         found = np.flatnonzero(far.ravel() <= radius)
         pair, at_pair = np.divmod(found, PART * PART)
         x, y = p[pair] * PART + at_pair // PART, q[pair] * PART + at_pair % PART
-        real = (x < len(a)) & (y < len(b))
+        real = (x < len(a)) & (y < len(b)) & ((x < y) if half else True)
         yield x[real], y[real]
 
 
@@ -331,25 +330,21 @@ def near_words(words: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 r = {c: batch.column(c)[row] for c in batch.schema.names}
                 same = r["from_length"].as_py() == r["length"].as_py()
-                within = same and r["from_cell"].as_py() == r["cell"].as_py()
                 (a, a_text), (b, b_text) = (
-                    (np.frombuffer(r[f"{side}points"].as_py(), np.uint64).reshape(-1, 2), letters(r[f"{side}text"].as_py(), r[f"{side}length"].as_py())) for side in ("from_", "")
+                    (np.frombuffer(r[f"{side}points"].as_py(), np.uint64), letters(r[f"{side}text"].as_py(), r[f"{side}length"].as_py())) for side in ("from_", "")
                 )
-                a_n, b_n = r["from_n"].values, r["n"].values
-                for i, j in candidates(a, b, 2 if same else 1):
+                itself = same and r["from_text"].as_py() == r["text"].as_py()
+                for i, j in candidates(a, b, 2 if same else 1, itself):
                     good = one_edit(a_text[i], b_text[j])
                     i, j = i[good], j[good]
-                    u, v = _words(a_text[i]), _words(b_text[j])
-                    if within:
-                        # A cell's leaves meet both ways round.
-                        first = np.array([x < y for x, y in zip(u, v)], bool)
-                        i, j = i[first], j[first]
-                        u, v = [x for x, k in zip(u, first) if k], [y for y, k in zip(v, first) if k]
                     if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(u), a_n.take(pa.array(i)), pa.array(v), b_n.take(pa.array(j))], names=["u", "u_n", "v", "v_n"])
+                        columns = [pa.array(_words(a_text[i])), r["from_n"].values.take(pa.array(i)), pa.array(_words(b_text[j])), r["n"].values.take(pa.array(j))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["u", "u_n", "v", "v_n"])
 
     asked = staged(probes(rows, sent), "probes")
-    met = asked.join(rows, (F.col("to_length") == F.col("length")) & (F.col("to_cell") == F.col("cell")))
+    # Two leaves of a cell meet once.
+    once = (F.col("from_length") != F.col("length")) | (F.col("from_cell") != F.col("cell")) | (F.col("from_text") <= F.col("text"))
+    met = asked.join(rows, (F.col("to_length") == F.col("length")) & (F.col("to_cell") == F.col("cell")) & once)
     found = staged(met.drop("to_length", "to_cell").mapInArrow(work, NEAR), "near")
     discard(asked, rows)
     return found
