@@ -13,37 +13,47 @@ from itspark.functions.recode import key_suffix
 from itspark.operators.dedup import collapse_keys, drop_conflicts
 from itspark.operators.keys import join_keys
 
+#: Cells of the hash space per part: a cell without a heavy key is rarely as full as a part.
+CELLS = 16
+
+
 def _key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
 def heavy_key_hashes(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
-    """One row, one array: hashes of the keys that hold more rows than a task's fair share.
+    """``hash`` of the keys that hold more rows than a task's fair share, exactly.
 
     The share is one of ``parts``, by default the shuffle partitions, so there are fewer such keys than
-    parts. They come from a frequent-items sketch of a size set by the parts, merged map-side. It decides
-    only where rows go, never which rows match, so an estimate is enough.
+    parts, whatever the data. Two passes: rows per cell of the hash space, and then rows per key of the few
+    cells that hold more than a share. Both are counted map-side, the cells are as many as ``CELLS`` times the
+    parts, and light keys leave the map side of the second pass only if they share a cell with a heavy one.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ", ".join(f"`{k}`" for k in keys)
-    sketch = df.agg(
-        F.expr(f"approx_top_k(xxhash64({names}), {parts}, {16 * parts})").alias("items"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    heavy = F.filter("items", lambda i: i["count"] * parts > F.col("n"))
-    return sketch.select(F.transform(heavy, lambda i: i["item"]).alias("hashes"))
+    hashed = df.select(_key_hash(keys).alias("hash"))
+    cell = F.pmod("hash", F.lit(CELLS * parts)).alias("cell")
+    cells = hashed.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
+    share = cells.agg(F.sum("n")).scalar() / F.lit(parts)
+    full = cells.filter(F.col("n") > share).select("cell")
+    # Fewer rows than parts, each of one number.
+    found = hashed.join(F.broadcast(full), F.pmod("hash", F.lit(CELLS * parts)) == F.col("cell"), "left_semi")
+    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).select("hash")
 
 
-def _spread(left: DataFrame, right: DataFrame, keys: Sequence[str], ways: int):
+def _spread(left: DataFrame, right: DataFrame, keys: Sequence[str], ways: int, parts: int | None = None):
     """Salt the heavy left keys ``ways`` times and repeat only their right rows once per salt.
 
-    The salt depends on the row and on its map task alone, so a retried task repeats it.
+    The salt depends on the row and on its map task alone, so a retried task repeats it. The heavy keys are
+    fewer than the parts, so they are sent to all tasks.
     """
-    is_heavy = F.coalesce(F.array_contains(heavy_key_hashes(left, keys).scalar(), _key_hash(keys)), F.lit(False))
-    salt = F.pmod(F.pmod(F.xxhash64(*left.columns), F.lit(ways)) + F.spark_partition_id(), F.lit(ways))
+    heavy = F.broadcast(heavy_key_hashes(left, keys, parts).select(F.col("hash").alias("_heavy")))
+    columns = left.columns
+    salt = F.pmod(F.pmod(F.xxhash64(*columns), F.lit(ways)) + F.spark_partition_id(), F.lit(ways))
     salts = F.sequence(F.lit(0), F.lit(ways - 1))
-    left = left.withColumn("_salt", F.when(is_heavy, salt).otherwise(0).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.when(is_heavy, salts).otherwise(F.array(F.lit(0)))))
+    is_heavy = F.col("_heavy").isNotNull()
+    left = left.join(heavy, _key_hash(keys) == F.col("_heavy"), "left").withColumn("_salt", F.when(is_heavy, salt).otherwise(0).cast("int")).drop("_heavy")
+    right = right.join(heavy, _key_hash(keys) == F.col("_heavy"), "left")
+    right = right.withColumn("_salt", F.explode(F.when(is_heavy, salts).otherwise(F.array(F.lit(0))))).drop("_heavy")
     return left, right
 
 

@@ -118,18 +118,35 @@ def test_spread_splits_a_key_that_holds_most_rows(spark):
     assert spread.filter("k = 7").select("_salt").distinct().count() == 4
 
 
-def test_many_heavy_keys(spark):
-    """Keys above a task's share are found however many they are."""
-    df = spark.range(0, 100000).select(F.when(F.col("id") < 90000, F.col("id") % 90).otherwise(F.col("id")).alias("k"))
-    assert len(link.heavy_key_hashes(df, ["k"], parts=200).first()[0]) == 90
+def heavy(df, keys, parts):
+    return sorted(r[0] for r in link.heavy_key_hashes(df, keys, parts).collect())
+
+
+@pytest.mark.parametrize("parts", [1, 3, 200, 200_000])
+def test_heavy_keys_are_exactly_those_above_a_share(spark, parts):
+    """However many partitions there are, and with a null key among the heavy ones."""
+    some = F.when(F.col("id") < 40000, None).when(F.col("id") < 70000, F.col("id") % 90).otherwise(F.col("id") / 2)
+    df = spark.range(0, 100000, numPartitions=4).select(F.floor(some).alias("k"), (F.col("id") % 2).alias("j"))
+    for keys in (["k"], ["k", "j"]):
+        counts = df.groupBy(F.xxhash64(*keys).alias("h")).count().filter(F.col("count") * parts > 100000)
+        assert heavy(df, keys, parts) == sorted(r.h for r in counts.collect())
+    assert heavy(df.limit(0), ["k"], parts) == []
+
+
+def test_spread_at_any_number_of_partitions(spark):
+    left = spark.range(0, 20000, numPartitions=4).select((F.col("id") % 5000).alias("k"), F.col("id").alias("row"))
+    right = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    salted, copies = link._spread(left, right, ["k"], 4, parts=200_000)
+    assert salted.count() == 20000 and copies.count() == 20000
+    joined = salted.join(copies, ["k", "_salt"])
+    assert joined.count() == 20000 and joined.filter("v != 2 * k").count() == 0
     top = spark.createDataFrame([(2**62 + i,) for i in range(9)], "k long")
     assert link.link_left(top, top.withColumn("v", F.lit(1)), spread=7).filter("v = 1").count() == 9
 
 
 def test_heavy_keys_are_few_and_heavy(spark):
     df = spark.range(10000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("k"))
-    hashes = link.heavy_key_hashes(df, ["k"]).first()[0]
-    assert hashes == [df.filter("k = -1").select(F.xxhash64("k")).first()[0]]
+    assert heavy(df, ["k"], None) == [df.filter("k = -1").select(F.xxhash64("k")).first()[0]]
 
 
 def test_link_sources_and_report(spark):

@@ -284,6 +284,47 @@ def test_delimited_text_as_other_programs_write_it(spark, tmp_path):
     assert rows(delimited.read_delimited(spark, str(broken), "id int, t string", multi_line=True)) == [(1, "two\nlines"), (2, "one")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Byte ranges of a few lines."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_breaks_inside_quotes_over_many_ranges(spark, tmp_path, small_splits):
+    """Records that go over several byte ranges, quotes at their borders, files that end inside a range."""
+    rng = random.Random(12)
+    expected = []
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "b.csv", "c.csv"):
+        own = []
+        for i in range(300):
+            bits = rng.choices(["x", ",", '"', "\n", "\n\n", "é" * 9, "line\nof, \"text\"", "y" * 40], k=rng.randint(0, 12))
+            own.append((str(i), "".join(bits), rng.choice(["", "NA", "z", '"', "\n" * 300])))
+        with open(tmp_path / "in" / name, "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerows([("id", "t", "u"), *own])
+        expected += own
+    df = delimited.read_delimited(spark, str(tmp_path / "in"), multi_line=True, blank_is_null=False)
+    assert df.rdd.getNumPartitions() > 3
+    wanted = sorted(((i, t or "", None if u == "NA" else u) for i, t, u in expected), key=repr)
+    assert rows(df) == [(i, None if t == "NA" else t, u) for i, t, u in wanted]
+    plain = spark.read.options(header=True, quote='"', escape='"', multiLine=True, nullValue="NA", emptyValue="").csv(str(tmp_path / "in"))
+    assert df.count() == plain.count() == 900
+
+
+def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "MAX_LINES", 50)
+    path = tmp_path / "open.csv"
+    path.write_text('id,t\n1,"open\n' + "2,b\n" * 80)
+    with pytest.raises(Exception, match="not closed"):
+        delimited.read_delimited(spark, str(path), multi_line=True).collect()
+
+
 def test_written_text_is_standard(spark, tmp_path):
     data = [(1, 'say "hi", ok'), (2, "back\\"), (3, None), (4, "plain")]
     delimited.write_result(spark.createDataFrame(data, "id int, t string"), str(tmp_path / "out"))
