@@ -749,7 +749,7 @@ def scan_roundtrip() -> str:
         " lpad(min(o_custkey)::VARCHAR, 9, '0') AS first_customer,"
         f" {day('min(o_orderdate)')} AS first_day, {day('max(o_orderdate)')} AS last_day,"
         f" {big(f'sum(length(o_orderstatus) + {chars})')} AS note_chars,"
-        f" max('{blank}say \"' || o_orderstatus || '\", or so, \\') AS last_note FROM orders"
+        f" max('{blank}say \"' || o_orderstatus || '\", or so,' || chr(10) || '\\') AS last_note FROM orders"
         for copy, blank, chars in (("csv", "", 16), ("csv base", " ", 17), ("stage", " ", 17))
     ]
     return " UNION ALL ".join(parts)

@@ -55,20 +55,20 @@ def _plain(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scan_roundtrip(s: Study) -> DataFrame:
-    """Orders with awkward text written as CSV and as a stage, read back in both dialects, compared in totals."""
+    """Orders with awkward text, line breaks in it, written as CSV and as a stage, read back in both dialects, compared in totals."""
     rows = s.table("orders").select(
         "o_orderkey",
         F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("customer"),
         "o_totalprice",
         recode.sentinel_to_null(F.col("o_orderpriority"), "4-NOT SPECIFIED").alias("priority"),
         F.col("o_orderdate").cast("date").alias("ordered"),
-        F.concat(F.lit(' say "'), "o_orderstatus", F.lit('", or so, \\')).alias("note"),
+        F.concat(F.lit(' say "'), "o_orderstatus", F.lit('", or so,\n\\')).alias("note"),
     )
     text = stage.new_stage_path(s.spark, "orders-csv")
     delimited.write_delimited(rows, text)
     schema = "o_orderkey bigint, customer string, o_totalprice double, priority string, ordered date, note string"
-    from_text = delimited.read_delimited(s.spark, text, schema)
-    from_base = delimited.read_delimited(s.spark, text, schema, blank_is_null=False)
+    from_text = delimited.read_delimited(s.spark, text, schema, multi_line=True)
+    from_base = delimited.read_delimited(s.spark, text, schema, blank_is_null=False, multi_line=True)
     from_stage = stage.write_stage(rows, stage.new_stage_path(s.spark, "orders"))
 
     def totals(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """A whole study from five delimited files to result tables.
 
-Each step writes a stage and the next one reads it, so a lost executor costs a step at most. The files of
-text are read once; the models are fitted once; frequencies and crosstabs come from one reduction of the
-linked records, and each other report is one pass over the stage it describes.
+Each step writes a stage and the next one reads it, so a lost executor costs a step at most, and a study that
+was ended early goes on from the last step that it finished. The files of text are read once; the models are
+fitted once; frequencies and crosstabs come from one reduction of the linked records, and each other report is
+one pass over the stage it describes.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ NON_RESPONSE = {"smoke_pc_68": False, "smoke_sh_68": False, "feed_68": True}
 
 
 def read_inputs(
-    spark: SparkSession, paths: Mapping[str, str], week_column: str = "WEEKS_BEFORE_AFTER"
+    spark: SparkSession, paths: Mapping[str, str], week_column: str = "WEEKS_BEFORE_AFTER", line_breaks: bool = True
 ) -> dict[str, DataFrame]:
-    """The five tables as typed DataFrames. In the first-visit file blank text is an answer, not a null."""
+    """The given ones of the five tables as typed DataFrames. In the first-visit file blank text is an answer, not a
+    null. Text in quotes may hold line breaks; files known to have none are read in one pass without ``line_breaks``.
+    """
     declared = {
         "births": schemas.birth_schema,
         "children": schemas.admissions_schema,
@@ -47,9 +50,10 @@ def read_inputs(
     }
     return {
         name: delimited.read_delimited(
-            spark, paths[name], declared[name](week_column), blank_is_null=name != "first_visit"
+            spark, paths[name], declared[name](week_column), blank_is_null=name != "first_visit", multi_line=line_breaks
         )
         for name in INPUTS
+        if name in paths
     }
 
 
@@ -100,8 +104,8 @@ def incomplete_answers(categories: DataFrame) -> DataFrame:
     return sums.unpivot(["n_rows"], list(ANSWERS), "variable", "n_incomplete")
 
 
-def analysis_tables(panel_rows: DataFrame, first_day: str, out: str) -> dict[str, DataFrame]:
-    done = outcomes.analyse(panel_rows, keep=lambda fit: stage.write_stage(fit, f"{out}/fit"))
+def analysis_tables(panel_rows: DataFrame, fit: DataFrame, first_day: str) -> dict[str, DataFrame]:
+    done = outcomes.analyse(panel_rows, keep=lambda _: fit)
     dates = spine.period_spine(panel_rows.sparkSession, origin=first_day).select("period", "week_start")
     observed = panel_rows.select("series", "period", "rate")
     columns = ["period", "t", "level", "trend", "denominator", "numerator", "rate"]
@@ -130,29 +134,49 @@ def run_study(
     trim: str | None = "after",
     trim_to: int = 6,
     spread: int = 0,
+    line_breaks: bool = True,
 ) -> dict[str, DataFrame]:
     """Run all steps into the folder ``out`` and return its tables.
 
-    The large stages are parquet and are returned as read back; reports and results are one CSV file each.
-    ``trim`` and ``trim_to`` say when ids are cut and to how many characters; None leaves them whole, in the
-    sources too. ``spread`` splits ids that many records share once they are cut.
+    The large stages and the results are parquet and are returned as read back; reports and results are one
+    CSV file each as well. ``trim`` and ``trim_to`` say when ids are cut and to how many characters; None leaves
+    them whole, in the sources too. ``spread`` splits ids that many records share once they are cut.
+
+    Started again with the same inputs and parameters, after an error or a kill, it goes on from the steps that
+    are finished. Stages that no result is read from are removed in the end.
     """
-    inputs = read_inputs(spark, paths, week_column)
-    births = stage.write_stage(inputs["births"], f"{out}/births")
-    axis_rows = stage.write_stage(cohort.on_study_axis(births, week_column), f"{out}/axis")
-    clean = stage.write_stage(cohort.clean_axis(axis_rows, trim, trim_to), f"{out}/clean")
-    complete = stage.write_stage(cohort.complete_cohort(clean), f"{out}/cohort")
-    sources = linkage.default_sources(
-        inputs["children"], inputs["mothers"], inputs["first_visit"], inputs["six_week_visit"], week_column
-    )
-    linked = linkage.link_cohort(complete, sources, status=True, trim=trim is not None, trim_to=trim_to, spread=spread)
-    linked = stage.write_stage(linked, f"{out}/linked")
-    panel_rows = stage.write_stage(outcomes.outcome_panel(linked), f"{out}/panel")
-    categories = stage.write_stage(quality.reduced(outcomes.with_parity(linked), [*outcomes.STRATA, *ANSWERS]), f"{out}/categories")
-
-    results = cohort_reports(births, axis_rows, clean, week_column)
-    results.update(linked_reports(linked, categories, [s.name for s in sources]))
-    results.update(analysis_tables(panel_rows, first_day, out))
-    for name, table in results.items():
-        delimited.write_result(table, f"{out}/results/{name}")
-    return {"clean": clean, "cohort": complete, "linked": linked, "panel": panel_rows, **results}
+    others = [name for name in INPUTS if name != "births"]
+
+    def linked_records() -> DataFrame:
+        inputs = read_inputs(spark, {name: paths[name] for name in others}, week_column, line_breaks)
+        sources = linkage.default_sources(*[inputs[name] for name in others], week_column)
+        return linkage.link_cohort(run.table("cohort"), sources, status=True, trim=trim is not None, trim_to=trim_to, spread=spread)
+
+    def linked_tables() -> dict[str, DataFrame]:
+        linked = run.table("linked")
+        names = [c.removeprefix("link_") for c in linked.columns if c.startswith("link_")]
+        return linked_reports(linked, run.table("categories"), names)
+
+    def categories() -> DataFrame:
+        return quality.reduced(outcomes.with_parity(run.table("linked")), [*outcomes.STRATA, *ANSWERS])
+
+    with stage.Run(spark, out) as run:
+        passing = {"keep": False}
+        run.add("births", lambda: read_inputs(spark, {"births": paths["births"]}, week_column, line_breaks)["births"], inputs=[paths["births"]], params=(week_column, line_breaks), **passing)
+        run.add("axis", lambda: cohort.on_study_axis(run.table("births"), week_column), after=["births"], params=week_column, **passing)
+        run.add("clean", lambda: cohort.clean_axis(run.table("axis"), trim, trim_to), after=["axis"], params=(trim, trim_to))
+        run.add("cohort", lambda: cohort.complete_cohort(run.table("clean")), after=["clean"])
+        run.add("linked", linked_records, inputs=[paths[name] for name in others], after=["cohort"], params=(week_column, trim, trim_to, spread, line_breaks))
+        run.add("panel", lambda: outcomes.outcome_panel(run.table("linked")), after=["linked"])
+        run.add("categories", categories, after=["linked"], **passing)
+        run.add("fit", lambda: outcomes.fit_ladder(run.table("panel")), after=["panel"], **passing)
+        run.add_tables("cohort_reports", lambda: cohort_reports(run.table("births"), run.table("axis"), run.table("clean"), week_column), after=["clean"], params=week_column)
+        run.add_tables("linked_reports", linked_tables, after=["categories"])
+        run.add_tables("analysis", lambda: analysis_tables(run.table("panel"), run.table("fit"), first_day), after=["fit"], params=first_day)
+
+        results = {}
+        for group in ("cohort_reports", "linked_reports", "analysis"):
+            results.update(run.tables(group))
+        for name, table in results.items():
+            delimited.write_result(table, f"{out}/results/{name}", mode="overwrite")
+        return {name: run.table(name) for name in ("clean", "cohort", "linked", "panel")} | results
