@@ -22,23 +22,31 @@ from itspark.llm.common import staged, text_of
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Printable ASCII characters that are no letters.
+NOT_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_ended_lines", "n_capitals", "n_shouts")
+MORE = ("n_lines", "n_ended_lines", "n_capitals", "n_shouts", "n_symbol_words", "n_bare_words", "n_plain", "n_digits")
 
 #: Name, the share that the rule looks at, where it votes bad, and where good. Most rules only know bad
-#: documents when they see them: a text without symbols may be anything.
+#: documents when they see them: a text without symbols may be anything. Several look at the same kind of junk
+#: from different sides, and some are known to be often wrong; how far each is believed is estimated.
 RULES = (
     ("length", "n_words", "x < 50", "x >= 80"),
     ("word_length", "word_chars / n_words", "x < 3 or x > 12", "x >= 4 and x <= 9"),
     ("symbols", "n_symbols / n_words", "x > 0.1", "false"),
-    ("dup_lines", "n_dup_lines / n_lines", "x > 0.5", "false"),
+    ("symbol_words", "n_symbol_words / n_words", "x > 0.1", "x < 0.01"),
+    ("plain_letters", "n_plain / word_chars", "x < 0.88", "x >= 0.94"),
+    ("bare_words", "n_bare_words / n_words", "x > 0.15", "x < 0.02"),
+    ("digits", "n_digits / word_chars", "x > 0.02", "false"),
+    ("dup_lines", "n_dup_lines / n_lines", "x > 0.3", "false"),
     ("repeats", "n_repeat_words / n_words", "x > 0.45", "x < 0.2"),
     ("capitals", "n_capitals / word_chars", "x > 0.3", "false"),
     ("shouts", "n_shouts / n_words", "x > 0.1", "false"),
     ("ended_lines", "n_ended_lines / n_lines", "x < 0.1", "x > 0.5"),
 )
-#: What is believed of a rule before: so much of its votes is right, as if seen in so many times its votes.
-ACCURACY, TRUST = 0.95, 5.0
+#: What is believed before: so much of a rule's votes is right, as if seen in so many votes, and so much of the
+#: documents is good, as if seen in so many documents. The numbers do not grow with the table.
+ACCURACY, SHARE, TRUST = 0.9, 0.8, 30.0
 #: A document is kept if it is good with this probability.
 THRESHOLD = 0.8
 
@@ -62,6 +70,9 @@ def with_statistics(df: DataFrame, text: Column) -> DataFrame:
             "_n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long"),
             "_n_capitals": F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long"),
             "_n_shouts": F.regexp_count("_text", F.lit(r"[!?]{2,}")).cast("long"),
+            # What is neither white space nor one of these: letters, and all beyond ASCII.
+            "_n_plain": F.char_length(F.translate(bare, NOT_LETTERS, "")).cast("long"),
+            "_n_digits": (F.char_length("_text") - F.char_length(F.translate("_text", "0123456789", ""))).cast("long"),
         }
     ).drop("_text")
     df = df.withColumns(
@@ -71,6 +82,8 @@ def with_statistics(df: DataFrame, text: Column) -> DataFrame:
                 "if(size(_words) < 3, array(), array_sort(transform(sequence(0, size(_words) - 3), "
                 "i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) as h, i as i))))"
             ).cast("array<struct<h:bigint,i:int>>"),
+            "_n_symbol_words": F.size(F.filter("_words", lambda w: w.rlike(r"[#*$%&|<>]"))).cast("long"),
+            "_n_bare_words": F.size(F.filter("_words", lambda w: ~w.rlike(r"[A-Za-z\u0080-\x{10FFFF}]"))).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
             "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_n_ended_lines": F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x, F.lit(SPACE)), F.lit(1)).isin(*".!?\"')"))).cast("long"),
@@ -120,12 +133,12 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, rounds: int = 30, tolerance: float = 1e-4, accuracy: float = ACCURACY, trust: float = TRUST) -> VoteModel:
+def fit(voted: DataFrame, rounds: int = 40, tolerance: float = 1e-3, accuracy: float = ACCURACY, share: float = SHARE, trust: float = TRUST) -> VoteModel:
     """Expectation-maximisation over the pattern counts of a staged table with vote columns.
 
-    Kinds of junk that only one rule can see agree with nothing else, and maximum likelihood may count them
-    as good. So the estimate is the posterior mode under a prior: ``accuracy`` of each rule's votes is right,
-    weighing ``trust`` times the votes cast, whatever the size of the table. Abstaining says nothing.
+    At first a document is believed bad if any rule says so. The estimate is the posterior mode under a prior
+    that is worth ``trust`` votes of each rule, of which ``accuracy`` are right, and as many documents, of which
+    ``share`` are good: in a table of some thousands the data decide. Abstaining says nothing.
     """
     rules = [f"_vote_{r[0]}" for r in RULES]
     patterns = staged(voted.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), "patterns").coalesce(1)
@@ -142,14 +155,14 @@ def fit(voted: DataFrame, rounds: int = 30, tolerance: float = 1e-4, accuracy: f
             break
 
         def chance(r: str, v: int, k: str) -> float:
-            """Probability of the vote in the class; one is added so that no vote is impossible."""
-            seen = {w: {c: sums[f"{r} {w} {c}"] or 0.0 for c in ("good", "bad")} for w in (-1, 1)}
-            prior = {w: trust * sum(seen[w].values()) * (accuracy if (w == 1) == (k == "good") else 1 - accuracy) for w in (-1, 1)}
-            return (seen[v][k] + prior[v] + 1) / (sums[k] + sum(prior.values()) + 3)
-
-        prior = (sums["good"] + 1) / (sums["good"] + sums["bad"] + 2)
-        moved = abs(prior - model.prior)
-        model = VoteModel(prior, {r: {v: math.log(chance(r, v, "good") / chance(r, v, "bad")) for v in (-1, 1)} for r in rules})
+            """Probability of the vote in the class."""
+            right = accuracy if (v == 1) == (k == "good") else 1 - accuracy
+            return ((sums[f"{r} {v} {k}"] or 0.0) + trust * right) / (sums[k] + trust)
+
+        prior = (sums["good"] + trust * share) / (sums["good"] + sums["bad"] + trust)
+        new = VoteModel(prior, {r: {v: math.log(chance(r, v, "good") / chance(r, v, "bad")) for v in (-1, 1)} for r in rules})
+        moved = max(abs(prior - model.prior), *(abs(new.log_ratio[r][v] - model.log_ratio[r][v]) for r in rules for v in (-1, 1)))
+        model = new
         belief = model.posterior()
         if moved < tolerance:
             break

@@ -395,20 +395,79 @@ def test_quality_statistics_and_verdicts(docs, docs_rows, no_docs):
     assert rules.score(no_docs).count() == 0
 
 
+def test_statistics_of_symbols_and_letters(spark):
+    texts = ["ab |c d| | 12 é# 日本", None, "", "ÄÖ 1,2 x-y\tz", "|", "a1 b22 333"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(rules.score(df), "row.doc_id", "_n_symbol_words", "_n_bare_words", "_n_plain", "_n_digits")
+    expected = []
+    for k, text in enumerate(texts):
+        w = WORD.findall(text or "")
+        letter = re.compile(r"[A-Za-z\u0080-\U0010FFFF]")
+        expected.append((k, sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w), sum(not letter.search(x) for x in w), sum(len(letter.findall(x)) for x in w), sum(c in "0123456789" for c in text or "")))
+    assert got == expected
+
+
+def fit_by_hand(patterns):
+    """Expectation-maximisation over a Counter of vote tuples, with the values of production."""
+    n_rules = len(rules.RULES)
+    belief = {p: 0.1 if min(p) == -1 else 0.9 for p in patterns}
+    before = None
+    for _ in range(40):
+        good = sum(n * belief[p] for p, n in patterns.items())
+        bad = sum(patterns.values()) - good
+        prior = (good + rules.TRUST * rules.SHARE) / (good + bad + rules.TRUST)
+        ratio = {}
+        for r in range(n_rules):
+            for v in (-1, 1):
+                seen = [sum(n * (belief[p] if k else 1 - belief[p]) for p, n in patterns.items() if p[r] == v) for k in (1, 0)]
+                right = rules.ACCURACY if v == 1 else 1 - rules.ACCURACY
+                ratio[r, v] = np.log((seen[0] + rules.TRUST * right) / (good + rules.TRUST)) - np.log((seen[1] + rules.TRUST * (1 - right)) / (bad + rules.TRUST))
+        belief = {p: 1 / (1 + np.exp(-np.log(prior / (1 - prior)) - sum(ratio[r, v] for r, v in enumerate(p) if v))) for p in patterns}
+        now = [prior, *ratio.values()]
+        if before and max(abs(a - b) for a, b in zip(now, before)) < 1e-3:
+            break
+        before = now
+    return belief, ratio, prior
+
+
+def vote_rows(spark, data):
+    names = [f"_vote_{r[0]}" for r in rules.RULES]
+    return spark.createDataFrame(data, "good boolean, " + ", ".join(f"{n} tinyint" for n in names)), names
+
+
 def test_expectation_maximisation(spark):
-    """Votes drawn from known classes: the posterior finds them, and a weak rule weighs less."""
+    """Votes drawn from known classes, with the values of production: the posterior finds the classes, a rule that is
+    right in 60 of 100 is outvoted, and plain Python comes to the same."""
     rng = random.Random(3)
-    names = [f"_vote_{r[0]}" for r in rules.RULES]
     data = []
-    for i in range(3000):
+    for i in range(4000):
         good = rng.random() < 0.8
-        votes = [(1 if good else -1) * (1 if rng.random() < (0.95 if k else 0.6) else -1) for k in range(len(names))]
+        votes = [(1 if good else -1) * (1 if rng.random() < (0.95 if k else 0.6) else -1) for k in range(len(rules.RULES))]
         data.append((good, *(v if rng.random() < 0.7 else 0 for v in votes)))
-    df = spark.createDataFrame(data, "good boolean, " + ", ".join(f"{n} tinyint" for n in names))
-    model = rules.fit(df, trust=0.1)
+    df, names = vote_rows(spark, data)
+    model = rules.fit(df)
     right = df.filter((model.posterior() >= 0.5) == F.col("good")).count()
     assert right / len(data) > 0.97 and abs(model.prior - 0.8) < 0.04
     assert abs(model.log_ratio[names[0]][-1]) < min(abs(model.log_ratio[n][-1]) for n in names[1:])
+    # Its bad vote alone does not take a document away.
+    alone = df.filter(f"{names[0]} = -1 and {' and '.join(f'{n} >= 0' for n in names[1:])} and {' + '.join(names[1:])} >= 3")
+    assert alone.count() > 100 and alone.filter(model.posterior() < rules.THRESHOLD).count() == 0
+    belief, ratio, prior = fit_by_hand(Counter(tuple(d[1:]) for d in data))
+    assert abs(prior - model.prior) < 1e-6
+    assert all(abs(ratio[k, v] - model.log_ratio[n][v]) < 1e-6 for k, n in enumerate(names) for v in (-1, 1))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_verdicts_on_the_driver_tables(spark, sf):
+    """Every document's verdict is that of plain Python over the same votes, and no longer that of any bad vote."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    names = [f"_vote_{r[0]}" for r in rules.RULES]
+    scored = rules.score(docs).select("_base_failed", "_kept", *names).collect()
+    belief, _, _ = fit_by_hand(Counter(tuple(r[n] for n in names) for r in scored))
+    votes = [tuple(r[n] for n in names) for r in scored]
+    assert [r._kept for r in scored] == [not r._base_failed and belief[v] >= rules.THRESHOLD for r, v in zip(scored, votes)]
+    if sf == "sf0.1":
+        assert sum(r._kept != (not r._base_failed and min(v) >= 0) for r, v in zip(scored, votes)) > 10
 
 
 def test_posterior_agrees_with_labels(spark):
