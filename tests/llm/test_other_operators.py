@@ -324,7 +324,7 @@ def test_archives(spark, tmp_path):
         raw = (html or "").encode()
         revisit = html == long and page != 4
         expected.append((page, url, "revisit" if revisit else "response", 4 if revisit else None, hashlib.sha256(raw).hexdigest(), len(raw), None if revisit else html or ""))
-    columns = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload")
+    columns = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", F.col("payload").cast("string"))
     assert rows(got, *columns) == sorted(expected, key=repr)
     assert {r.date for r in got.select("date").collect()} == {"2024-01-01T00:00:00Z"}
 
@@ -342,7 +342,7 @@ def test_archives_with_a_member_for_each_record(spark, tmp_path, zipped):
     again = [b"WARC/1.1\r\n" + r for data in made for r in data.split(b"WARC/1.1\r\n")[1:]]
     (tmp_path / "warc" / "a.warc.gz").write_bytes(b"".join(map(pack, again)))
     got = warc.read_warc(spark, str(tmp_path / "warc"))
-    assert rows(got, "page_id", "url", "payload") == [(k, f"http://a/{k}", "x" * k) for k in range(5)]
+    assert rows(got, "page_id", "url", F.col("payload").cast("string")) == [(k, f"http://a/{k}", "x" * k) for k in range(5)]
     with pytest.raises(ValueError, match="inside a gzip member"):
         warc._unzipped(gzip.compress(b"abc" * 99)[:-9])
 
@@ -367,8 +367,80 @@ def test_arc_headers():
     with pytest.raises(ValueError, match="fields"):
         list(warc.parse_arc(start + b"%d\n" % len(block) + block + b"\nhttp://a/ 1.2.3.4 19970102030405 text/html 200 - 3\nabc\n"))
     assert old and warc._iso("19970102") == "1997-01-02T00:00:00Z"
-    for page in (None, 0, 5, -1, 2**63 - 1, -(2**63)):
-        assert warc.page_of(warc.record_id(page, "f" * 64)) == page
+    spaces = start + b"%d\n" % len(block) + block + b"\nhttp://a/b c 1.2.3.4 19970102030405 text/html 3\nabc\n"
+    assert [r["URL"] for r in warc.parse_arc(spaces)] == [b"http://a/b c"]
+
+
+def arc_file(version, records):
+    """An archive as crawlers wrote it: (url, date, type, body)."""
+    out = [warc.version_block(version).encode() + b"\n"]
+    for url, date, kind, body in records:
+        more = b"" if version == 1 else b" 200 - - 0 old.arc"
+        out.append(b"%s 1.2.3.4 %s %s%s %d\n%s\n" % (url, date, kind, more, len(body), body))
+    return out
+
+
+IMAGE = b"HTTP/1.0 200 OK\r\nContent-Type: image/gif\r\n\r\nGIF89a" + bytes(range(256)) * 3
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("member_each", [True, False])
+def test_archives_as_crawlers_wrote_them(spark, tmp_path, monkeypatch, version, member_each):
+    """Bare line feeds, images, names looked up, no declared length, one payload at two dates and in two files."""
+    monkeypatch.setattr(warc, "HELD_BYTES", 500)
+    monkeypatch.setattr(warc, "STEP", 100)
+    page = b"HTTP/1.0 200 OK\nContent-Type: text/html\n\n" + b"<p>same</p>" * 20
+    dns = b"20050101000000\na.org.\t3600\tIN\tA\t1.2.3.4\n" + b"x" * 200
+    first = [(b"http://a/img", b"20050102000000", b"image/gif", IMAGE), (b"http://a/", b"20050103000000", b"text/html", page), (b"dns:a.org", b"20050101000000", b"text/dns", dns)]
+    second = [
+        (b"http://a/", b"20040103000000", b"text/html", page), (b"http://b/ c", b"20060103000000", b"text/html", page.replace(b"\n", b"\r\n", 3)),
+        (b"dns:a.org", b"20050101000000", b"text/dns", dns), (b"http://e/", b"20050101", b"text/html", b"HTTP/1.0 404 Not Found\r\n"), (b"http://f/", b"20050101", b"no-type", b""),
+    ]
+    (tmp_path / "arc").mkdir()
+    for name, records in (("one.arc.gz", first), ("two.arc.gz", second)):
+        parts = arc_file(version, records)
+        (tmp_path / "arc" / name).write_bytes(b"".join(map(gzip.compress, parts)) if member_each else gzip.compress(b"".join(parts)))
+    warc.convert(spark, [str(tmp_path / "arc")], str(tmp_path / "warc"))
+    made = [r for f in (tmp_path / "warc").glob("part-*") for r in warc.parse_warc(f.read_bytes() if f.suffix != ".gz" else warc._unzipped(f.read_bytes()))]
+    ids = [f["warc-record-id"] for f, _ in made]
+    assert len(made) == len(set(ids)) == 8
+    kinds = {(f["warc-target-uri"], f["warc-date"]): (f["warc-type"], f["content-type"]) for f, _ in made}
+    response = "application/http; msgtype=response"
+    assert kinds == {
+        ("http://a/img", "2005-01-02T00:00:00Z"): ("response", response), ("http://a/", "2004-01-03T00:00:00Z"): ("response", response),
+        ("http://a/", "2005-01-03T00:00:00Z"): ("revisit", response), ("http://b/ c", "2006-01-03T00:00:00Z"): ("revisit", response),
+        ("dns:a.org", "2005-01-01T00:00:00Z"): ("resource", "text/dns"), ("http://e/", "2005-01-01T00:00:00Z"): ("response", response),
+        ("http://f/", "2005-01-01T00:00:00Z"): ("resource", "no-type"),
+    }
+    origin = next(f["warc-record-id"] for f, _ in made if f["warc-date"].startswith("2004"))
+    assert {f["warc-refers-to"] for f, _ in made if f["warc-type"] == "revisit"} == {origin}
+    assert next(b for f, b in made if f["warc-target-uri"] == "http://a/img") == IMAGE
+    got = warc.read_warc(spark, str(tmp_path / "warc"))
+    body = page.split(b"\n\n")[1]
+    expected = [("http://a/img", "response", IMAGE[IMAGE.index(b"GIF") :]), ("http://a/", "response", body), ("http://a/", "revisit", body), ("http://b/ c", "revisit", body)]
+    expected += [("dns:a.org", "resource", dns)] * 2 + [("http://e/", "response", b""), ("http://f/", "resource", b"")]
+    wanted = [(u, k, None, hashlib.sha256(p).hexdigest(), len(p), None if k == "revisit" else p) for u, k, p in expected]
+    assert sorted(((r.url, r.record_type, r.page_id, r.payload_digest, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in got.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    """Records of other types are passed over, other digests are not judged, a damaged payload is an error."""
+    (tmp_path / "in").mkdir()
+
+    def record(kind, block, **fields):
+        lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    whole = record("warcinfo", b"software: x\r\n") + record("request", b"GET / HTTP/1.0\r\n\r\n", WARC_Target_URI="http://a/")
+    whole += record("response", b"HTTP/1.0 200 OK\r\n\r\nhi", WARC_Target_URI="http://a/", WARC_Payload_Digest="sha1:ABC", WARC_Record_ID="<urn:uuid:1>")
+    whole += record("revisit", b"HTTP/1.0 200 OK\r\nContent-Length: 7\r\n\r\n", WARC_Target_URI="http://b/", WARC_Payload_Digest="sha1:DEF", WARC_Refers_To="<urn:uuid:9>")
+    (tmp_path / "in" / "a.warc").write_bytes(whole)
+    got = warc.read_warc(spark, str(tmp_path / "in"))
+    assert rows(got, "url", "record_type", "payload_digest", "payload_bytes", "refers_to") == [("http://a/", "response", hashlib.sha256(b"hi").hexdigest(), 2, None), ("http://b/", "revisit", "DEF", 7, None)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.warc").write_bytes(record("response", b"HTTP/1.0 200 OK\r\n\r\nhi", WARC_Target_URI="http://a/", WARC_Payload_Digest="sha256:00"))
+    with pytest.raises(Exception, match="does not fit"):
+        warc.read_warc(spark, str(tmp_path / "bad"))
 
 
 # ---------------------------------------------------------------- quality rules
