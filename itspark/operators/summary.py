@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itspark.operators.keys import join_keys
-from itspark.sources.stage import new_stage_path, write_stage
+from itspark.sources.stage import new_stage_path, remove, write_stage
 
+#: Cells of a histogram, and the most values that are gathered and sorted.
+CELLS, FEW = 4096, 50_000
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
 
@@ -22,12 +24,12 @@ def summary6(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), bounded
     """Min, quartiles, mean, max and null count per column, within ``by``.
 
     ``bounded`` is for tables whose groups cannot grow with the data, such as a panel (one row per period):
-    the quantiles are then taken by one aggregate. Record tables use the ranked form, which never holds
-    a group in one task.
+    the quantiles are then taken by one aggregate. Record tables use histograms, which never hold a group in
+    one task; the table is read once for each of a few passes.
     """
     group = [*by, "variable"]
     long = _long(df, cols, by)
-    return _summary_bounded(long, group) if bounded else _summary_ranked(long, group)
+    return _summary_bounded(long, group) if bounded else _summary_refined(long, group)
 
 
 def _summary_bounded(long: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -44,62 +46,83 @@ def _position(p: float) -> Column:
     return (F.col("n_all") - 1) * F.lit(p)
 
 
-def _summary_ranked(long: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Count each value, sort the values over as many ranges as there are tasks, pick the order statistics.
+def _summary_refined(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Order statistics by histograms that are refined only where a wanted one lies; no value is sorted or moved.
 
-    A value held by many records is one row after the first aggregate. The sorted counts are staged with the
-    number of their range; sums per range tell where in the order of its group each range begins, and only
-    the few ranges that hold a wanted order statistic are ranked inside. Ranges are as large as a task's
-    share of the values, whatever the number of rows, and every later step reads the same staged ranges.
+    First the range of each variable. Then, pass by pass, the values in the interval that holds a wanted rank are
+    counted in ``CELLS`` equal cells, map-side, and the cell with the rank, from its smallest to its largest
+    value, is the next interval. An interval of one value is settled; one of at most ``FEW`` values is gathered
+    and sorted in the end. Values that are far apart take more passes, never a larger task.
     """
     spark = long.sparkSession
-    counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = counts.repartitionByRange(parts, *group, "value").withColumn("_range", F.spark_partition_id())
-    ranges = write_stage(ranges, new_stage_path(spark, "ranges"))
-    known = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
-    sums = ranges.groupBy(*group, "_range").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.sum(F.col("value") * F.col("n")).alias("total"),
-        F.sum(known).alias("held"),
-        F.sum(F.col("n") - known).alias("n_missing"),
-    )
-    sums = write_stage(sums, new_stage_path(spark, "range-sums"))
-    whole = sums.groupBy(*group).agg(
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-        F.try_divide(F.sum("total"), F.sum("held")).alias("mean"),
-        F.sum("held").alias("n_all"),
-        F.sum("n_missing").alias("n_missing"),
+    written: list[str] = []
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        written.append(new_stage_path(spark, name))
+        return write_stage(df, written[-1])
+
+    value, least, most = F.col("value"), F.lit(float("-inf")), F.lit(float("inf"))
+    finite = (value > least) & (value < most)
+    whole = staged(
+        long.groupBy(*group).agg(
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.avg("value").alias("mean"),
+            F.count("value").alias("n_all"),
+            F.count_if(value.isNull()).alias("n_missing"),
+            F.min(F.when(finite, value)).alias("lo"),
+            F.max(F.when(finite, value)).alias("hi"),
+            F.count_if(value == least).alias("before"),
+            F.count_if(finite).alias("n"),
+            F.count_if(value == most).alias("n_above"),
+        ),
+        "ranges",
     )
-    # A row per range of a group.
-    before = F.sum("held").over(Window.partitionBy(*group).orderBy("_range")) - F.col("held")
-    places = [f(_position(p)) for _, p in QUARTILES for f in (F.floor, F.ceil)]
-    here = F.exists(F.array(*places), lambda k: (F.col("offset") <= k) & (k < F.col("offset") + F.col("held")))
-    wanted = join_keys(sums.select(*group, "_range", "held", before.alias("offset")), whole.select(*group, "n_all"), group)
-    wanted = wanted.filter(here).select(*group, "_range", "offset", "n_all")
-    inside = Window.partitionBy(*group, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_keys(ranges.filter("value is not null"), wanted, [*group, "_range"])
-    ranked = ranked.withColumn("rank_to", F.col("offset") + F.sum("n").over(inside)).withColumn("rank_from", F.col("rank_to") - F.col("n"))
-
-    def order_stat(position: Column) -> Column:
-        held = (F.col("rank_from") <= position) & (position < F.col("rank_to"))
-        return F.max(F.when(held, F.col("value")))
-
-    picks = []
-    for name, p in QUARTILES:
-        picks += [
-            order_stat(F.floor(_position(p))).alias(f"{name}_lo"),
-            order_stat(F.ceil(_position(p))).alias(f"{name}_hi"),
-        ]
-    picked = join_keys(whole, ranked.groupBy(*group).agg(*picks), group, "left")
+    places = F.array_distinct(F.array(*[f(_position(p)).cast("long") for _, p in QUARTILES for f in (F.floor, F.ceil)]))
+    ranks = whole.filter("n_all > 0").select(*group, F.explode(places).alias("rank"), "lo", "hi", "before", "n", "n_above")
+    beyond = F.when(F.col("rank") < F.col("before"), least).when(F.col("rank") < F.col("before") + F.col("n") + F.col("n_above"), most).otherwise(F.lit(float("nan")))
+    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+    settled = [ranks.filter(~inside).select(*group, "rank", beyond.alias("value"))]
+    open_ = staged(ranks.filter(inside).drop("n_above"), "open")
+    values = long.filter(finite)
+    while True:
+        wide = open_.filter((F.col("lo") < F.col("hi")) & (F.col("n") > FEW))
+        if wide.isEmpty():
+            break
+        intervals = wide.select(*group, "lo", "hi", "before").distinct()
+        held = join_keys(values, intervals, group).filter(value.between(F.col("lo"), F.col("hi")))
+        # Rounding keeps the order, so cells do too; halves keep the differences finite.
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        share = F.when(width > 0, (value / 2 - F.col("lo") / 2) / width).otherwise((value > F.col("lo")).cast("double"))
+        cell = F.least(F.lit(CELLS - 1), F.floor(share * CELLS)).cast("int")
+        counts = held.groupBy(*group, "lo", "before", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
+        counts = staged(counts, "cells")
+        upto = F.sum("n").over(Window.partitionBy(*group, "lo").orderBy("cell"))
+        counts = counts.withColumn("offset", F.col("before") + upto - F.col("n")).drop("before")
+        found = join_keys(wide.select(*group, "rank", "lo"), counts, [*group, "lo"])
+        found = found.filter((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("n")))
+        found = found.select(*group, "rank", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("offset").alias("before"), "n")
+        rest = open_.filter((F.col("lo") == F.col("hi")) | (F.col("n") <= FEW))
+        open_ = staged(rest.select(found.columns).unionAll(found), "open")
+    settled.append(open_.filter("lo = hi").select(*group, "rank", F.col("lo").alias("value")))
+    few = open_.filter("lo < hi")
+    held = join_keys(values, few.select(*group, "lo", "hi").distinct(), group).filter(value.between(F.col("lo"), F.col("hi")))
+    gathered = held.groupBy(*group, "lo").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    last = join_keys(few.select(*group, "rank", "lo", "before"), gathered, [*group, "lo"])
+    settled.append(last.select(*group, "rank", F.expr("values[cast(rank - before as int)]").alias("value")))
+
+    known = settled[0].unionAll(settled[1]).unionAll(settled[2])
+    joined = join_keys(whole, known.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")), group, "left")
 
     def interpolated(name: str, p: float) -> Column:
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        lo, hi = (F.element_at("at", f(_position(p)).cast("long")) for f in (F.floor, F.ceil))
         return (lo + (hi - lo) * (_position(p) - F.floor(_position(p)))).alias(name)
 
-    return picked.select(*group, "min", *[interpolated(n, p) for n, p in QUARTILES], "mean", "max", "n_missing")
+    # One row per group: all that stays of the passes.
+    out = write_stage(joined.select(*group, "min", *[interpolated(n, p) for n, p in QUARTILES], "mean", "max", "n_missing"), new_stage_path(spark, "summary"))
+    for path in written:
+        remove(spark, path)
+    return out
 
 
 def summary_by_level(

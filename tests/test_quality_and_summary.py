@@ -146,6 +146,37 @@ def test_quartiles_do_not_depend_on_the_order_of_partitions(spark):
         assert rows(summary.summary6(other, ["x"], ["g"]).drop("mean")) == rows(first.drop("mean"))
 
 
+@pytest.mark.parametrize("cells,few", [(4, 3), (64, 0), (4096, 50_000)])
+def test_quartiles_by_refined_histograms(spark, monkeypatch, cells, few):
+    """Skewed, tied, tiny, huge and infinite values, a null group, and a group of nulls: as numpy has them."""
+    monkeypatch.setattr(summary, "CELLS", cells)
+    monkeypatch.setattr(summary, "FEW", few)
+    rng = random.Random(9)
+    of = {
+        "skew": [rng.lognormvariate(0, 4) for _ in range(701)],
+        "tied": [rng.choice([1.0, 1.0, 1.0, 2.0, -3.5]) for _ in range(400)],
+        "wide": [rng.choice([1e-300, 5e-324, 1e300, -1.7e308, 1.7e308, 0.0, 1.0]) for _ in range(90)],
+        "ends": [float("inf")] * 30 + [float("-inf")] * 30 + [1.0, 2.0, 3.0] * 3,
+        None: [7.0],
+        "none": [],
+    }
+    data = [(g, v) for g, own in of.items() for v in [*own, None, None]]
+    rng.shuffle(data)
+    got = summary.summary6(spark.createDataFrame(data, "g string, x double"), ["x"], ["g"]).collect()
+    assert len(got) == len(of)
+    for r in got:
+        own = sorted(of[r.g])
+        assert r.n_missing == 2
+        for q, p in summary.QUARTILES:
+            if not own:
+                assert r[q] is None
+                continue
+            at = (len(own) - 1) * p
+            lo, hi = own[int(at)], own[-int(-at // 1)]
+            expected = lo + (hi - lo) * (at - int(at))
+            assert r[q] == pytest.approx(expected, rel=1e-12, nan_ok=True), (r.g, q)
+
+
 def test_summary_quartiles_are_type_7(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 3, 10, None)], "x int")
     got = summary.summary6(df, ["x"]).first()
