@@ -23,9 +23,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete the files of staged tables that no later step reads."""
     for table in tables:
-        spark = table.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(table._stage_path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        stage.remove(table.sparkSession, table._stage_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -47,24 +45,33 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Spark takes no more buckets than this for a table, and a bucket needs a file for each task that has rows of it.
+MAX_BUCKETS = 50_000
+
+
 class Texts:
     """The distinct texts of a table, bucketed by content key, with how many rows have each.
 
     Texts cross the network once. Later steps join their own small tables by key and the texts stay where
     they are, since the buckets are already dealt by key. A group of copies is one row from the map side on.
+    The files lie in the shared folder of the stages; the catalog only knows how they are bucketed. Used as a
+    context manager it goes when the work is done or has failed.
     """
 
     def __init__(self, docs: DataFrame, column: str = "text"):
         self.spark = docs.sparkSession
         self.name = f"texts_{uuid.uuid4().hex}"
-        (
-            docs.select(text_key(column).alias("key"), text_of(column).alias("text"))
-            .groupBy("key")
-            .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-            .write.bucketBy(shuffle_partitions(self.spark), "key")
-            .option("compression", "zstd")
-            .saveAsTable(self.name)
-        )
+        self.path = stage.new_stage_path(self.spark, "texts")
+        keyed = docs.select(text_key(column).alias("key"), text_of(column).alias("text")).groupBy("key")
+        rows = keyed.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        buckets = min(shuffle_partitions(self.spark), MAX_BUCKETS)
+        rows.write.bucketBy(buckets, "key").option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+
+    def __enter__(self) -> Texts:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
 
     def table(self) -> DataFrame:
         """key, text, copies."""
@@ -72,6 +79,7 @@ class Texts:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        stage.remove(self.spark, self.path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

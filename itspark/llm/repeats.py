@@ -192,9 +192,6 @@ def without_repeats(docs: DataFrame, units: Units, repeated: Callable[[DataFrame
     """doc_id, n_units, n_removed, n_spans, spans (start, end of removed runs), kept_sha256 and, if asked for,
     kept_text: bytes are left as bytes, words are joined by one space."""
     docs = docs.select("doc_id", "text")
-    texts = Texts(docs)
-    starts = repeated_starts(texts, units, repeated)
-    joined = texts.table().join(starts, "key", "left").select("key", "copies", "text", "starts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +208,10 @@ def without_repeats(docs: DataFrame, units: Units, repeated: Callable[[DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "n_units", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"])
 
     schema = "key binary, n_units long, n_removed long, n_spans long, spans array<long>, kept_sha256 string, kept_text binary"
-    result = staged(joined.mapInArrow(work, schema), "without-repeats")
-    texts.drop()
+    with Texts(docs) as texts:
+        starts = repeated_starts(texts, units, repeated)
+        joined = texts.table().join(starts, "key", "left").select("key", "copies", "text", "starts")
+        result = staged(joined.mapInArrow(work, schema), "without-repeats")
     return docs.select("doc_id", text_key().alias("key")).join(result, "key").drop("key")
 
 

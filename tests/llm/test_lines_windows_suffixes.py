@@ -1,13 +1,14 @@
 """Line, window and byte-string dedup against brute force."""
 
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from itspark.llm import grams, lines, suffixes, windows
+from itspark.llm import common, grams, lines, suffixes, windows
 from tests.conftest import rows
 
 
@@ -90,13 +91,33 @@ def test_word_windows(docs, docs_rows, length, size):
     assert rows(got, *COLUMNS) == repeats_by_hand(docs_rows, length, bytes.split, b" ".join)
 
 
-def test_sketch_in_slices_loses_nothing(monkeypatch, docs, docs_rows):
+@pytest.mark.parametrize("cells,held", [(64, 40), (1 << 12, 4_000_000), (8, 1)])
+def test_sketch_by_ranges_loses_nothing(monkeypatch, docs, docs_rows, cells, held):
     monkeypatch.setattr(windows, "MAX_CELLS", 256)
-    monkeypatch.setattr(windows, "PIECE", 64)
+    monkeypatch.setattr(windows, "RANGE", cells)
+    monkeypatch.setattr(windows, "HELD", held)
     got = windows.remove_repeated_windows(docs, 12, 7)
     assert rows(got, *COLUMNS) == repeats_by_hand(docs_rows, 12, bytes.split, b" ".join)
 
 
+def test_texts_are_gone_in_the_end(spark, docs):
+    """Also if the work fails; and there are no more buckets than Spark takes."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(ZeroDivisionError):
+        with common.Texts(docs) as texts:
+            assert texts.table().count() > 0 and os.path.isdir(texts.path)
+            1 / 0
+    assert not os.path.isdir(texts.path) and not spark.catalog.tableExists(texts.name)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "MAX_BUCKETS", 7)
+            with common.Texts(docs.coalesce(1).limit(0)) as texts:
+                assert "Num Buckets" in str(spark.sql(f"DESCRIBE EXTENDED {texts.name}").filter("col_name = 'Num Buckets' and data_type = '7'").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_removed_spans_and_text(docs, docs_rows):
     got = windows.remove_repeated_windows(docs, body=True).collect()
     for r in got:
