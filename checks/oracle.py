@@ -679,6 +679,17 @@ SELECT {big('g.bin')} AS bin, {num('lo + (g.bin - 1) * w')} AS lower, {num('lo +
 FROM range(1, 26) g(bin) CROSS JOIN b LEFT JOIN v ON v.bin = g.bin"""
 
 
+def histogram_round() -> str:
+    return f"""
+WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, (max(o_totalprice) - min(o_totalprice)) / ceil(log2(count(o_totalprice)) + 1) AS c FROM orders),
+p AS (SELECT *, pow(10.0, floor(log10(c))) AS base FROM e),
+s AS (SELECT *, base * CASE WHEN c / base <= 1.4 THEN 1.0 WHEN c / base <= 2.8 THEN 2.0 WHEN c / base <= 7 THEN 5.0 ELSE 10.0 END AS w FROM p),
+b AS (SELECT w::DOUBLE AS w, floor(lo / w + 1e-7) AS f, (ceil(hi / w - 1e-7) - floor(lo / w + 1e-7))::INT AS k FROM s),
+v AS (SELECT least(k, greatest(1, ceil(o_totalprice / w - f - 1e-7)::INT)) AS bin, count(*) AS n FROM orders, b GROUP BY 1)
+SELECT {big('g.bin')} AS bin, {num('(f + g.bin - 1) * w')} AS lower, {num('(f + g.bin) * w')} AS upper, coalesce(v.n, 0) AS n
+FROM b, LATERAL (SELECT unnest(range(1, b.k + 1)) AS bin) g LEFT JOIN v ON v.bin = g.bin"""
+
+
 def crosstab(x: str, y: str, known: str) -> str:
     n, e = "n::DOUBLE", "(rn::DOUBLE * cn / tn)"
     return f"""
@@ -849,6 +860,7 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
             ),
         ),
         "histogram": histogram(),
+        "histogram_round": histogram_round(),
         "crosstab": crosstab("lang", "CAST(quality IS NOT NULL AS BIGINT)", "lang IS NOT NULL"),
         "crosstab_na": crosstab("source", "CAST(quality AS BIGINT)", "true"),
         "miss_by_factor": miss_rows("(SELECT * FROM documents LEFT JOIN labels USING (doc_id))", "lang", ("quality", "toxic"), "lang"),

@@ -211,6 +211,11 @@ def freq_table_known(s: Study) -> DataFrame:
     return quality.freq(s.all_records(), ["priority", "o_orderstatus"], use_na=False)
 
 
+def histogram_round(s: Study) -> DataFrame:
+    """Number and break points of the bins come from the data."""
+    return _plain(quality.histogram(s.table("orders"), "o_totalprice"))
+
+
 def histogram(s: Study) -> DataFrame:
     return _plain(quality.histogram(s.table("orders"), "o_totalprice", 25))
 
@@ -498,7 +503,7 @@ def its_ladder(s: Study) -> DataFrame:
 QUERIES = (
     scan_roundtrip, result_roundtrip, period_spine, study_time, its_terms, binary_outcome, recode_sentinel, recode_predicate,
     key_suffix, exclusive_flag, harmonic_terms, cohort_build, attrition, complete_case, missing_counts,
-    null_counts, freq_table, freq_table_known, histogram, crosstab, crosstab_na, miss_by_factor,
+    null_counts, freq_table, freq_table_known, histogram, histogram_round, crosstab, crosstab_na, miss_by_factor,
     miss_by_period, miss_patterns, dedup_exact, dedup_conflict, dedup_repeated, conflict_report, window_count, window_count_keys,
     link_left, link_star, link_fill_zero, link_report, bind_on_period, count_by_period, panel_prevalence,
     panel_truncated, panel_incidence, panel_multi, panel_filled, summary_by_level, summary_frame,

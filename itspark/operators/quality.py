@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from itspark.operators.keys import join_keys
 
 
+#: Of the width of a bin.
+FUZZ = 1e-7
+
+
 def any_null(cols: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(c).isNull() for c in cols])
 
@@ -90,30 +95,51 @@ def freq(df: DataFrame, cols: str | Sequence[str], use_na: bool = True, weight:
     return padded.groupBy("variable", "value").agg(F.sum("n").alias("n"))
 
 
-def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width bins, closed on the right, the first one on both sides; empty bins are listed."""
+def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
+    """Bins closed on the right, the first one on both sides; empty bins are listed.
+
+    With ``bins`` that many of equal width between the extremes. Without, about as many as Sturges' rule says
+    (one and the logarithm of the number of values to base 2), between round break points: multiples of 1, 2 or
+    5 times a power of ten. Equal values are one bin of width 1 around them then. Nulls are left out.
+    """
     x = F.col(col).cast("double")
-    bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    width = (hi - lo) / bins
-    index = F.when(width > 0, F.greatest(F.lit(1), F.ceil((x - lo) / width))).otherwise(1)
-    values = df.filter(x.isNotNull()).select(F.least(F.lit(bins), index).cast("int").alias("bin"))
+    extremes = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
+    if bins is None:
+        wanted = F.ceil(F.log2(F.col("n").cast("double")) + 1)
+        share = (F.col("hi") - F.col("lo")) / wanted
+        power = F.pow(F.lit(10.0), F.floor(F.log10(share)))
+        times = share / power
+        step = power * F.when(times <= 1.4, 1.0).when(times <= 2.8, 2.0).when(times <= 7, 5.0).otherwise(10.0)
+        step = F.when(F.col("hi") > F.col("lo"), step).otherwise(1.0)
+        layout = extremes.withColumn("width", step)
+        # What rounding leaves beside a break point counts as on it.
+        first = F.when(F.col("hi") > F.col("lo"), F.floor(F.col("lo") / F.col("width") + FUZZ).cast("double")).otherwise(F.col("lo") - 0.5)
+        last = F.when(F.col("hi") > F.col("lo"), F.ceil(F.col("hi") / F.col("width") - FUZZ).cast("double")).otherwise(F.col("hi") + 0.5)
+        layout = layout.withColumns({"first": first, "last": last})
+        place = layout.agg(F.struct(F.first("width").alias("width"), F.first("first").alias("first"), (F.first("last") - F.first("first")).cast("int").alias("bins"))).scalar()
+        width, first, bins_ = place["width"], place["first"], place["bins"]
+        index = F.greatest(F.lit(1), F.ceil(x / width - first - FUZZ))
+        spine = layout.filter("n > 0").select(F.explode(F.sequence(F.lit(1), (F.col("last") - F.col("first")).cast("int"))).alias("bin"))
+        lower, upper = (first + F.col("bin") - 1) * width, (first + F.col("bin")) * width
+    else:
+        bounds = extremes.agg(F.struct(F.first("lo").alias("lo"), F.first("hi").alias("hi"))).scalar()
+        lo, bins_ = bounds["lo"], F.lit(bins)
+        width = (bounds["hi"] - lo) / bins
+        index = F.when(width > 0, F.greatest(F.lit(1), F.ceil((x - lo) / width))).otherwise(1)
+        spine = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+        lower, upper = lo + (F.col("bin") - 1) * width, lo + F.col("bin") * width
+    values = df.filter(x.isNotNull()).select(F.least(bins_, index).cast("int").alias("bin"))
     counts = values.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    spine = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    return spine.join(counts, "bin", "left").select(
-        "bin",
-        (lo + (F.col("bin") - 1) * width).alias("lower"),
-        (lo + F.col("bin") * width).alias("upper"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-    )
+    return spine.join(counts, "bin", "left").select("bin", lower.alias("lower"), upper.alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def crosstab(df: DataFrame, x: str, y: str, use_na: bool = False, zero_cells: bool = True, weight: str | None = None) -> DataFrame:
     """Two-way table in long form with row, column and total per cent and chi-square share per cell.
 
     Records are reduced to cells first; everything after that works on the printed table, and the margins
-    meet the cells by key. ``zero_cells`` lists cells with no record as well, from the one list of the levels
-    of y, which is as long as the printed table is wide. With ``use_na`` null is a level of its own. ``weight`` is a column of
+    meet the cells by key. ``zero_cells`` lists cells with no record as well: the levels of both variables are
+    dealt to the rows and the columns of a grid of blocks, and two levels meet in the one block that both are
+    in, so no list of levels is made. With ``use_na`` null is a level of its own. ``weight`` is a column of
     numbers of records.
     """
     rows = df if use_na else df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -121,8 +147,11 @@ def crosstab(df: DataFrame, x: str, y: str, use_na: bool = False, zero_cells: bo
     by_x = found.groupBy("x").agg(F.sum("n").alias("row_n"))
     by_y = found.groupBy("y").agg(F.sum("n").alias("col_n"))
     if zero_cells:
-        levels = by_y.agg(F.collect_set(F.struct("y", "col_n"))).scalar()
-        cells = by_x.select("x", "row_n", F.explode(levels).alias("level")).select("x", "row_n", "level.*")
+        ways = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        every = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
+        rows_of = by_x.select("*", F.pmod(F.xxhash64("x"), F.lit(ways)).cast("int").alias("_across"), every.alias("_down"))
+        columns_of = by_y.select("*", F.pmod(F.xxhash64("y"), F.lit(ways)).cast("int").alias("_down"), every.alias("_across"))
+        cells = rows_of.join(columns_of, ["_across", "_down"]).drop("_across", "_down")
         table = join_keys(cells, found, ["x", "y"], "left")
     else:
         table = join_keys(join_keys(found, by_x, ["x"]), by_y, ["y"])

@@ -46,6 +46,34 @@ def test_histogram_lists_empty_bins_and_closes_on_the_right(spark):
     assert [r.n for r in quality.histogram(same, "x", 2).orderBy("bin").collect()] == [2, 0]
 
 
+@pytest.mark.parametrize(
+    "values,breaks",
+    [
+        ([0.3, 1, 2, 2, 9.7], [0, 2, 4, 6, 8, 10]),  # five values: four bins of 2.35, so steps of 2
+        ([1.0] * 40, [0.5, 1.5]),
+        ([12, 20, 30, 40, 50, 60, 70, 80], [0, 20, 40, 60, 80]),  # 17 a bin: steps of 20
+        ([-0.03, 0.0, 0.01, 0.0199], [-0.04, -0.02, 0.0, 0.02]),  # 0.0166 a bin: steps of 0.02
+        ([], None),
+    ],
+)
+def test_histogram_chooses_round_breaks(spark, values, breaks):
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    got = quality.histogram(df, "x").orderBy("bin").collect()
+    if breaks is None:
+        assert got == []
+        return
+    assert [r.lower for r in got] == pytest.approx(breaks[:-1]) and [r.upper for r in got] == pytest.approx(breaks[1:])
+    inside = lambda v, k: (breaks[k] < v + 1e-9 if k == 0 else breaks[k] + 1e-9 < v) and v <= breaks[k + 1] + 1e-9
+    assert [r.n for r in got] == [sum(inside(v, k) for v in values) for k in range(len(breaks) - 1)]
+
+
+def test_crosstab_makes_no_list_of_levels(spark):
+    df = spark.range(400).select((F.col("id") % 37).alias("a"), (F.col("id") % 23).alias("b"))
+    table = quality.crosstab(df, "a", "b")
+    assert "collect_" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert table.count() == 37 * 23 and table.agg(F.sum("n")).first()[0] == 400
+
+
 @pytest.mark.parametrize("use_na", [False, True])
 def test_crosstab(spark, use_na):
     data = [("p", 1)] * 3 + [("p", 0)] * 2 + [("q", 1)] * 4 + [(None, 1), ("q", None)]
