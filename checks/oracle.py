@@ -413,6 +413,18 @@ def its_summary() -> str:
     )
 
 
+def its_explained() -> str:
+    parts = [
+        f"SELECT series, '{m}' AS model, n_obs, 1 - exp((deviance - null_deviance) / n_obs) AS cs, 1 - exp(-null_deviance / n_obs) AS most FROM {tag}_fit"
+        for m, tag in (("poisson", "l"), ("quasi", "l"), ("poisson_harmonic", "h"), ("quasi_harmonic", "h"))
+    ]
+    return select(
+        fitted_ctes(False, True),
+        f"SELECT series, model, {big('n_obs')} AS n_obs, {num('cs')} AS r2_cox_snell, {num('cs / nullif(most, 0)')} AS r2_nagelkerke"
+        " FROM (" + " UNION ALL ".join(parts) + ")",
+    )
+
+
 def residual_rows(tag: str, model: str) -> str:
     gap = "greatest(CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y - mu), 0)"
     return (
@@ -430,6 +442,12 @@ def its_residuals() -> str:
     )
 
 
+def its_residual_summary() -> str:
+    ctes = fitted_ctes(False, True)
+    ctes["res"] = residual_rows("l", "poisson") + " UNION ALL " + residual_rows("h", "poisson_harmonic")
+    return select(ctes, f"SELECT series, model, 'residual' AS variable, {six('residual')} FROM res GROUP BY series, model")
+
+
 def _acf_ctes() -> dict[str, str]:
     ctes = fitted_ctes(False)
     ctes["res"] = residual_rows("l", "poisson")
@@ -909,7 +927,9 @@ SELECT {big('sum(n)')} AS rows_in, {big('sum(versions)')} AS rows_distinct, {big
         "its_irr_rounded": its_irr_rounded(),
         "its_robust": its_robust(),
         "its_summary": its_summary(),
+        "its_explained": its_explained(),
         "its_residuals": its_residuals(),
+        "its_residual_summary": its_residual_summary(),
         "resid_acf": resid_acf(),
         "resid_pacf": resid_pacf(),
         "its_factual": predictions("factual"),

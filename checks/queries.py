@@ -444,6 +444,15 @@ def its_summary(s: Study) -> DataFrame:
     return _plain(model.fit_statistics(study_fit(s, *MODELS)[1]).drop("status"))
 
 
+def its_explained(s: Study) -> DataFrame:
+    return _plain(model.explained(study_fit(s, *MODELS)[1]))
+
+
+def its_residual_summary(s: Study) -> DataFrame:
+    residuals = effects.residuals(*study_fit(s, "poisson", "poisson_harmonic"))
+    return _plain(summary.summary6(residuals, ["residual"], ["series", "model"], bounded=True))
+
+
 def its_residuals(s: Study) -> DataFrame:
     return _plain(effects.residuals(*study_fit(s, "poisson", "poisson_harmonic")))
 
@@ -508,7 +517,8 @@ QUERIES = (
     link_left, link_star, link_fill_zero, link_report, bind_on_period, count_by_period, panel_prevalence,
     panel_truncated, panel_incidence, panel_multi, panel_filled, summary_by_level, summary_frame,
     summary_records, summary_recoded, design_grid, its_poisson, its_quasi, its_harmonic, its_dispersion,
-    its_irr, its_irr_rounded, its_robust, its_summary, its_residuals, resid_acf, resid_pacf, its_factual, its_counterfactual,
+    its_irr, its_irr_rounded, its_robust, its_summary, its_explained, its_residuals, its_residual_summary,
+    resid_acf, resid_pacf, its_factual, its_counterfactual,
     its_ci_band, segment_bands, its_effects, its_effects_by, its_ladder,
 )
 

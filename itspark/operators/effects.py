@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from itspark.functions.arrays import dot, let, quadratic_form
 from itspark.functions.axis import N_PRE
+from itspark.functions.harmonic import harmonic_value
 from itspark.operators.keys import join_keys
-from itspark.operators.model import MAX_HARMONICS, design_terms
+from itspark.operators.model import design_terms
 from itspark.operators.panel import design_grid
 
 
 def _design(**fixed: Column) -> Column:
     """Values of the terms a model has, in the order of its coefficients; ``fixed`` replaces some."""
-    values = design_terms(F.col("t"), F.col("level"), F.col("trend"), MAX_HARMONICS) | fixed
+    values = design_terms(F.col("t"), F.col("level"), F.col("trend")) | fixed
     by_name = F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value)])
-    return F.transform("terms", lambda name: F.element_at(by_name, name))
+    return F.transform("terms", lambda name: F.coalesce(F.try_element_at(by_name, name), harmonic_value(name, F.col("t"))))
 
 
 def linear_predictor(**fixed: Column) -> Column:

@@ -1,29 +1,34 @@
 """Segmented Poisson and quasi-Poisson regression, every series of a panel fitted in parallel.
 
-Spark builds the design columns, groups the panel by series and runs one small least-squares loop per
-group. A group has one row per period, so its size is the length of the study, not of the data.
+Spark builds the design columns and gathers each series into one row of arrays, as long as the study is, not
+the data. Tasks then solve many series at a time: the least squares of all series with equally many periods are
+one stack of matrices, and series leave the stack as they converge.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from itspark.functions.harmonic import harmonic_terms
 from itspark.operators.tails import normal_p, t_p, t_quantile
 
 BASE_TERMS = ("intercept", "time", "level", "trend")
-MAX_HARMONICS = 2
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-8
+#: Series that are solved as one stack of matrices.
+STACK = 512
 
 
 @dataclass(frozen=True)
@@ -33,8 +38,8 @@ class ModelSpec:
     harmonics: int = 0
 
     def __post_init__(self):
-        if self.harmonics not in range(MAX_HARMONICS + 1):
-            raise ValueError(f"0 to {MAX_HARMONICS} seasonal pairs, not {self.harmonics}")
+        if self.harmonics < 0:
+            raise ValueError(f"seasonal pairs are 0 or more, not {self.harmonics}")
 
 
 MODELS = {
@@ -81,80 +86,119 @@ def design_terms(t: Column, level: Column, trend: Column, harmonics: int = 0) ->
     return terms
 
 
-def _deviance(y: np.ndarray, mu: np.ndarray) -> float:
+def _deviance(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
     log_ratio = np.log(np.where(y > 0, y, 1.0) / np.where(y > 0, mu, 1.0))
-    return float(2.0 * np.sum(y * log_ratio - (y - mu)))
+    return 2.0 * np.sum(y * log_ratio - (y - mu), axis=-1)
 
 
-def solve_poisson(x: np.ndarray, y: np.ndarray, offset: np.ndarray):
-    """Reweighted least squares for a log link; returns coefficients, fitted means, rounds, converged.
+def solve_poisson(x: np.ndarray, y: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Reweighted least squares for a log link, of a stack of series: ``x`` is series by periods by terms.
 
-    One round is added after the stop rule, so that the covariances belong to the maximum itself.
+    Returns coefficients, fitted means, rounds, converged. One round is added after the stop rule, so that the
+    covariances belong to the maximum itself. A series stays as it is once it is done, whatever the others do.
     """
     mu = y + 0.1
     eta = np.log(mu)
-    before, stopped = _deviance(y, mu), 0
-    for rounds in range(1, MAX_ITERATIONS + 2):
-        root = np.sqrt(mu)
-        working = eta - offset + (y - mu) / mu
-        coef = np.linalg.lstsq(x * root[:, None], working * root, rcond=None)[0]
-        eta = x @ coef + offset
-        mu = np.exp(eta)
-        now = _deviance(y, mu)
-        if stopped or not np.isfinite(now):
-            break
-        if abs(now - before) / (abs(now) + 0.1) < TOLERANCE:
-            stopped = rounds
-        before = now
-    return coef, mu, stopped or rounds, bool(stopped)
-
-
-def fit_one(x: np.ndarray, y: np.ndarray, n: np.ndarray, spec: ModelSpec, cadjust: bool, alpha: float) -> dict:
-    """Coefficients, covariances and fit statistics of one model on one series."""
-    rows, p = x.shape
-    out = dict.fromkeys(f.name for f in _FIT_FIELDS)
-    out.update(model=spec.name, family=spec.family, terms=list(_term_names(spec)), n_obs=rows, fit_ok=False)
+    before = _deviance(y, mu)
+    coef = np.full((len(x), x.shape[2]), np.nan)
+    stopped, rounds = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    left = np.arange(len(x))
+    with np.errstate(all="ignore"):
+        for turn in range(1, MAX_ITERATIONS + 2):
+            rounds[left] = turn
+            root = np.sqrt(mu[left])
+            working = eta[left] - offset[left] + (y[left] - mu[left]) / mu[left]
+            q, r = np.linalg.qr(x[left] * root[..., None])
+            diagonal = np.abs(np.diagonal(r, axis1=1, axis2=2))
+            regular = np.isfinite(diagonal).all(axis=1) & (diagonal > 0).all(axis=1)
+            stopped[left[~regular]] = 0
+            left, q, r, working = left[regular], q[regular], r[regular], (working * root)[regular]
+            if not len(left):
+                break
+            coef[left] = np.linalg.solve(r, q.swapaxes(1, 2) @ working[..., None])[..., 0]
+            eta[left] = (x[left] @ coef[left][..., None])[..., 0] + offset[left]
+            mu[left] = np.exp(eta[left])
+            now = _deviance(y[left], mu[left])
+            ended = (stopped[left] > 0) | ~np.isfinite(now)
+            close = ~ended & (np.abs(now - before[left]) / (np.abs(now) + 0.1) < TOLERANCE)
+            stopped[left[close]] = turn
+            before[left] = now
+            left = left[~ended]
+            if not len(left):
+                break
+    return coef, mu, np.where(stopped > 0, stopped, rounds), stopped > 0
+
+
+@lru_cache(maxsize=None)
+def _critical(alpha: float, df: int | None) -> float:
+    return NormalDist().inv_cdf(1 - alpha / 2) if df is None else t_quantile(1 - alpha / 2, df)
+
+
+def _log_factorials(y: np.ndarray) -> np.ndarray:
+    values, at = np.unique(y, return_inverse=True)
+    return np.array([math.lgamma(v + 1.0) for v in values])[at].reshape(y.shape)
+
+
+def fit_stack(x: np.ndarray, y: np.ndarray, n: np.ndarray, spec: ModelSpec, cadjust: bool, alpha: float) -> list[dict]:
+    """Coefficients, covariances and fit statistics of one model on each of a stack of series of equal length."""
+    # The same memory layout for every stack, so that a series' figures do not depend on the others to the last bit.
+    x, y, n = (np.ascontiguousarray(a) for a in (x, y, n))
+    series, rows, p = x.shape
+    empty = dict.fromkeys(f.name for f in _FIT_FIELDS)
+    empty.update(model=spec.name, family=spec.family, terms=list(_term_names(spec)), n_obs=rows, fit_ok=False)
+    out = [dict(empty) for _ in range(series)]
+    status = np.full(series, "ok", object)
     if rows <= p:
-        return {**out, "status": "too few periods"}
-    if y.sum() <= 0:
-        return {**out, "status": "no events"}
-    if np.linalg.matrix_rank(x / np.abs(x).max(axis=0).clip(min=1.0)) < p:
-        return {**out, "status": "terms not separable"}
-    coef, mu, rounds, converged = solve_poisson(x, y, np.log(n))
-    out["iterations"] = rounds
-    if not converged:
-        return {**out, "status": "no convergence"}
+        status[:] = "too few periods"
+    else:
+        scaled = x / np.abs(x).max(axis=1, keepdims=True).clip(min=1.0)
+        status[np.linalg.matrix_rank(scaled) < p] = "terms not separable"
+        status[y.sum(axis=1) <= 0] = "no events"
+    fitted = np.flatnonzero(status == "ok")
+    x, y, n = x[fitted], y[fitted], n[fitted]
+    if len(fitted):
+        coef, mu, rounds, converged = solve_poisson(x, y, np.log(n))
+        status[fitted[~converged]] = "no convergence"
+        for i, r in zip(fitted, rounds):
+            out[i]["iterations"] = int(r)
+        fitted, x, y, n, coef, mu = (a[converged] for a in (fitted, x, y, n, coef, mu))
+    for fields, reason in zip(out, status):
+        fields["status"] = str(reason)
+    if not len(fitted):
+        return out
 
     quasi = spec.family == "quasipoisson"
     df = rows - p
-    pearson = float(np.sum((y - mu) ** 2 / mu))
+    pearson = np.sum((y - mu) ** 2 / mu, axis=1)
     dispersion = pearson / df
-    bread = np.linalg.inv((x * mu[:, None]).T @ x)
-    meat = (x * (y - mu)[:, None] ** 2).T @ x
-    vcov = bread * (dispersion if quasi else 1.0)
+    bread = np.linalg.inv((x * mu[..., None]).swapaxes(1, 2) @ x)
+    meat = (x * ((y - mu) ** 2)[..., None]).swapaxes(1, 2) @ x
+    vcov = bread * (dispersion if quasi else np.ones(len(x)))[:, None, None]
     robust = bread @ meat @ bread * (rows / (rows - 1) if cadjust else 1.0)
-    se, se_robust = np.sqrt(np.diag(vcov)), np.sqrt(np.diag(robust))
+    se, se_robust = (np.sqrt(np.diagonal(v, axis1=1, axis2=2)) for v in (vcov, robust))
     tail = (lambda z: t_p(z, df)) if quasi else normal_p
-    log_density = y * np.log(mu) - mu - np.array([math.lgamma(v + 1.0) for v in y])
-    return {
-        **out,
-        "fit_ok": True,
-        "status": "ok",
-        "coef": coef.tolist(),
-        "se": se.tolist(),
-        "p": [tail(b / s) for b, s in zip(coef, se)],
-        "se_robust": se_robust.tolist(),
-        "p_robust": [tail(b / s) for b, s in zip(coef, se_robust)],
-        "vcov": vcov.tolist(),
-        "df_residual": df,
-        "df_null": rows - 1,
-        "deviance": _deviance(y, mu),
-        "null_deviance": _deviance(y, n * (y.sum() / n.sum())),
-        "pearson": pearson,
-        "dispersion": dispersion,
-        "aic": None if quasi else float(-2.0 * log_density.sum() + 2 * p),
-        "crit": t_quantile(1 - alpha / 2, df) if quasi else NormalDist().inv_cdf(1 - alpha / 2),
-    }
+    log_density = np.sum(y * np.log(mu) - mu - _log_factorials(y), axis=1)
+    constant = (y.sum(axis=1) / n.sum(axis=1))[:, None]
+    deviance, null_deviance = _deviance(y, mu), _deviance(y, n * constant)
+    for k, i in enumerate(fitted):
+        out[i].update(
+            fit_ok=True,
+            coef=coef[k].tolist(),
+            se=se[k].tolist(),
+            p=[tail(z) for z in (coef[k] / se[k]).tolist()],
+            se_robust=se_robust[k].tolist(),
+            p_robust=[tail(z) for z in (coef[k] / se_robust[k]).tolist()],
+            vcov=vcov[k].tolist(),
+            df_residual=df,
+            df_null=rows - 1,
+            deviance=float(deviance[k]),
+            null_deviance=float(null_deviance[k]),
+            pearson=float(pearson[k]),
+            dispersion=float(dispersion[k]),
+            aic=None if quasi else float(-2.0 * log_density[k] + 2 * p),
+            crit=_critical(alpha, df if quasi else None),
+        )
+    return out
 
 
 def fit_its(
@@ -179,31 +223,48 @@ def fit_its(
     columns = {m.name: [names.index(c) for c in _term_names(m)] for m in models}
     by = list(by)
     wanted = chosen if chosen is not None else F.array(*[F.lit(m.name) for m in models])
-    rows = panel.filter((F.col("denominator") > 0) & F.col("numerator").isNotNull()).select(
-        *by,
-        "period",
+    used = panel.filter((F.col("denominator") > 0) & F.col("numerator").isNotNull())
+    period = F.struct(
+        F.col("period").alias("period"),
         F.col("numerator").cast("double").alias("y"),
         F.col("denominator").cast("double").alias("n"),
         F.array(*terms.values()).alias("x"),
         F.array_join(wanted, ",").alias("wanted"),
     )
+    gathered = used.groupBy(*by).agg(F.array_sort(F.collect_list(period)).alias("_rows"))
+    rows = gathered.select(
+        *by,
+        F.col("_rows.y").alias("_y"),
+        F.col("_rows.n").alias("_n"),
+        F.flatten("_rows.x").alias("_x"),
+        F.col("_rows")[0]["wanted"].alias("_wanted"),
+    )
     fields = [f for f in panel.schema.fields if f.name in by]
     schema = T.StructType([*sorted(fields, key=lambda f: by.index(f.name)), *_FIT_FIELDS])
-
-    def fit_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("period")
-        x = np.stack(group["x"].to_numpy())
-        y, n = group["y"].to_numpy(), group["n"].to_numpy()
-        asked = group["wanted"].iloc[0].split(",")
-        results = [
-            fit_one(x[:, columns[m.name]], y, n, m, cadjust, alpha) for m in models if m.name in asked
-        ]
-        frame = pd.DataFrame(results, dtype=object)
-        for i, name in enumerate(by):
-            frame.insert(i, name, key[i])
-        return frame
-
-    return rows.groupBy(*by).applyInPandas(fit_group, schema)
+    types = {f.name: to_arrow_type(f.dataType) for f in _FIT_FIELDS}
+
+    def fit_stacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, STACK):
+                batch = whole.slice(start, STACK)
+                lengths = pc.list_value_length(batch.column("_y")).to_numpy(zero_copy_only=False)
+                asked = [w.split(",") for w in batch.column("_wanted").to_pylist()]
+                at, results = [], []
+                for m in models:
+                    takes = np.array([m.name in a for a in asked], bool)
+                    for size in np.unique(lengths[takes]):
+                        own = np.flatnonzero(takes & (lengths == size))
+                        y, n, x = (
+                            batch.column(c).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), size, -1)
+                            for c in ("_y", "_n", "_x")
+                        )
+                        results.extend(fit_stack(x[:, :, columns[m.name]], y[..., 0], n[..., 0], m, cadjust, alpha))
+                        at.extend(own.tolist())
+                keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in by]
+                made = [pa.array([r[name] for r in results], kind) for name, kind in types.items()]
+                yield pa.RecordBatch.from_arrays([*keys, *made], names=[*by, *types])
+
+    return rows.mapInArrow(fit_stacks, schema)
 
 
 def _term_names(spec: ModelSpec) -> tuple[str, ...]:
@@ -288,3 +349,16 @@ def fit_statistics(fit: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame
         "deviance", "null_deviance", "pearson", "dispersion",
         F.when(F.col("fit_ok"), reported).alias("reported_dispersion"), "aic",
     )
+
+
+def explained(fit: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
+    """Observations and the pseudo R squared of each fit, from its deviances.
+
+    Cox and Snell: ``1 - exp((deviance - null) / n)``; Nagelkerke divides it by its largest value, ``1 - exp(-null / n)``.
+    Null for a fit that failed, and Nagelkerke's where the constant alone fits exactly.
+    """
+    cox_snell = 1 - F.exp((F.col("deviance") - F.col("null_deviance")) / F.col("n_obs"))
+    most = 1 - F.exp(-F.col("null_deviance") / F.col("n_obs"))
+    return fit.select(
+        *by, "model", "n_obs", cox_snell.alias("r2_cox_snell"), (cox_snell / F.nullif(most, F.lit(0.0))).alias("r2_nagelkerke")
+    )

@@ -58,9 +58,12 @@ def on_study_axis(records: DataFrame, week_column: str = "WEEKS_BEFORE_AFTER") -
 
 
 def recode_records(records: DataFrame) -> DataFrame:
+    """Unknown codes as null. The stated number of previous pregnancies stays beside the one without impossible values."""
     recoded = records.withColumns({c: sentinel_to_null(F.col(c), *codes) for c, codes in SENTINELS.items()})
     previous = F.col("total_previous_pregnancies")
-    return recoded.withColumn("total_previous_pregnancies", null_where(previous, previous > MOST_PREGNANCIES))
+    return recoded.withColumns(
+        {"stated_previous_pregnancies": previous, "total_previous_pregnancies": null_where(previous, previous > MOST_PREGNANCIES)}
+    )
 
 
 def clean_records(

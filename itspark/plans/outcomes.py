@@ -76,6 +76,7 @@ class Analysis:
     ratios: DataFrame
     robust: DataFrame
     statistics: DataFrame
+    explained: DataFrame
     residuals: DataFrame
     acf: DataFrame
     pacf: DataFrame
@@ -103,6 +104,7 @@ def analyse(
         ratios=model.irr(fit),
         robust=model.irr(fit, robust=True),
         statistics=model.fit_statistics(fit),
+        explained=model.explained(fit),
         residuals=residual,
         acf=serial.acf(residual),
         pacf=serial.pacf(residual),

@@ -69,7 +69,7 @@ def cohort_reports(births: DataFrame, axis_rows: DataFrame, clean: DataFrame, we
         "trimmed_key_conflicts": conflict_report(clean, schemas.KEYS),
         "codes": quality.freq(clean, ["number_births", "pregnancy_outcome"]),
         "frequencies": quality.freq(clean, [c for c in cohort.COHORT_COLUMNS[3:] if c != "time_weeks"]),
-        "previous_pregnancies": summary.summary6(clean, ["total_previous_pregnancies"]),
+        "previous_pregnancies": summary.summary6(clean, ["stated_previous_pregnancies", "total_previous_pregnancies"]),
         "nulls": quality.null_counts(clean),
         "missing_by_week": quality.miss_by(clean, "time_weeks", cohort.PROFILED),
         "missing_patterns": quality.miss_patterns(clean, cohort.PROFILED, max_sets=None, top=None),
@@ -114,7 +114,9 @@ def analysis_tables(panel_rows: DataFrame, fit: DataFrame, first_day: str) -> di
         "ratios": done.ratios,
         "robust": done.robust,
         "statistics": done.statistics,
+        "explained": done.explained,
         "residuals": done.residuals,
+        "residual_summary": summary.summary6(done.residuals, ["residual"], ["series", "model"], bounded=True),
         "acf": done.acf,
         "pacf": done.pacf,
         "trends": done.trends,

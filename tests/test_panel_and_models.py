@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -173,7 +174,7 @@ def test_chosen_models_per_series_and_limits(spark, fitted):
     fit = model.fit_its(rows_, list(MODELS.values()), chosen=chosen)
     assert rows(fit, "series", "model") == [("few", "poisson"), ("over", "poisson"), ("over", "quasi"), ("plain", "poisson")]
     with pytest.raises(ValueError):
-        ModelSpec("x", harmonics=3)
+        ModelSpec("x", harmonics=-1)
     one = model.fit_its(rows_, [ModelSpec("one", "poisson", 1)])
     assert one.first().terms == ["intercept", "time", "level", "trend", "sin1", "cos1"]
     # A model with one pair is predicted with its own terms, whatever their place.
@@ -181,6 +182,64 @@ def test_chosen_models_per_series_and_limits(spark, fitted):
     assert [r.s for r in res.collect()] == pytest.approx([0.0] * 3, abs=1e-5)
 
 
+def test_any_number_of_seasonal_pairs(spark, fitted):
+    rows_, _ = fitted
+    fit = model.fit_its(rows_, [ModelSpec("four", "poisson", 4), MODELS["poisson_harmonic"]])
+    four = fit.filter("series = 'over' and model = 'four'").first()
+    assert four.terms[4:] == [f"{f}{k}" for f in ("sin", "cos") for k in (1, 2, 3, 4)]
+    columns = {"x1": F.col("t"), "x2": F.col("level"), "x3": F.col("trend"), **harmonic_terms(F.col("t"), 4)}
+    data = rows_.filter("series = 'over'").withColumns({k: c.cast("double") for k, c in columns.items()}).withColumn("off", F.log("denominator"))
+    data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(data)
+    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="numerator", offsetCol="off", maxIter=50, tol=1e-12)
+    theirs = glm.fit(data)
+    assert four.coef == pytest.approx([theirs.intercept, *theirs.coefficients], rel=1e-7, abs=1e-10)
+    # Every model is predicted with its own terms.
+    left = effects.residuals(rows_, fit).groupBy("series", "model").agg(F.sum(F.col("numerator") - F.col("fitted")).alias("s"))
+    assert [r.s for r in left.collect()] == pytest.approx([0.0] * 6, abs=1e-5)
+
+
+def test_many_series_are_one_stack(spark):
+    """Series of several lengths, good and bad, in stacks: the same fits as one series at a time."""
+    rng = np.random.default_rng(3)
+    data, plain = [], {}
+    for series in range(3000):
+        periods = [p for p in range(1, 208) if series % 3 or p % 7][: 40 if series % 100 == 5 else None]
+        y = rng.poisson(30.0 + 20 * (series % 4), len(periods)) * (series % 100 != 7)
+        plain[series] = (periods, y)
+        data += [(series, p, p, int(p > 104), max(0, p - 104), 500, float(v)) for p, v in zip(periods, y)]
+    schema = "series int, period int, t int, level int, trend int, denominator int, numerator double"
+    rows_ = spark.createDataFrame(pd.DataFrame(data, columns=[c.split()[0] for c in schema.split(", ")]), schema)
+    fit = {r.series: r for r in model.fit_its(rows_, [MODELS["quasi"]]).collect()}
+    assert len(fit) == 3000
+    for series in (0, 1, 5, 7, 104, 105, 107, 2998, 2999):
+        periods, y = plain[series]
+        x = np.array([[1.0, p, p > 104, max(0, p - 104)] for p in periods], float)
+        (alone,) = model.fit_stack(x[None], y[None].astype(float), np.full((1, len(periods)), 500.0), MODELS["quasi"], True, 0.05)
+        got = fit[series].asDict()
+        assert {k: got[k] for k in alone} == alone
+    assert fit[5].status == "terms not separable" and fit[7].status == "no events"
+    assert sum(r.fit_ok for r in fit.values()) == 3000 - 60
+
+
+def test_one_bad_series_leaves_the_stack_alone():
+    x = np.stack([np.column_stack([np.ones(60), np.arange(60.0)])] * 3)
+    y = np.stack([np.full(60, 5.0), np.where(np.arange(60) == 59, 1e300, 0.0), np.arange(60.0)])
+    coef, mu, rounds, converged = model.solve_poisson(x, y, np.zeros((3, 60)))
+    alone = [model.solve_poisson(x[i : i + 1], y[i : i + 1], np.zeros((1, 60))) for i in (0, 2)]
+    for i, (c, m, r, ok) in zip((0, 2), alone):
+        assert converged[i] and ok[0] and (coef[i] == c[0]).all() and (mu[i] == m[0]).all() and rounds[i] == r[0]
+
+
+def test_explained(fitted):
+    _, fit = fitted
+    by = {(r.series, r.model): r for r in fit.collect()}
+    for r in model.explained(fit).collect():
+        f = by[r.series, r.model]
+        cox_snell = 1 - math.exp((f.deviance - f.null_deviance) / 207)
+        assert r.n_obs == 207 and r.r2_cox_snell == pytest.approx(cox_snell)
+        assert r.r2_nagelkerke == pytest.approx(cox_snell / (1 - math.exp(-f.null_deviance / 207))) and 0 < r.r2_nagelkerke <= 1
+
+
 def test_order_of_rows_does_not_matter(spark, fitted):
     rows_, fit = fitted
     shuffled = model.fit_its(rows_.orderBy(F.rand(3)).repartition(5), list(MODELS.values()))

@@ -244,6 +244,11 @@ def test_study_results(done, spark):
     births = delimited.read_delimited(spark, done[0]["births"])
     assert tables["records_by_raw_week"].agg(F.sum("n")).first()[0] == births.count()
     assert tables["panel_summary"].filter("variable = 'rate'").count() == len(outcomes.OUTCOMES)
+    stated = {r.variable: r for r in tables["previous_pregnancies"].collect()}
+    most = tables["clean"].agg(F.max("stated_previous_pregnancies"), F.max("total_previous_pregnancies")).first()
+    assert [stated[c].max for c in ("stated_previous_pregnancies", "total_previous_pregnancies")] == list(most) and most[1] <= 15
+    assert tables["explained"].count() == tables["residual_summary"].count() == 31
+    assert tables["explained"].filter("n_obs > 0 and r2_nagelkerke >= r2_cox_snell").count() == 31
     assert set(written) == set(tables) - {"clean", "cohort", "linked", "panel"} and len(written) > 25
     back = delimited.read_delimited(spark, f"{out}/results/effects", "series string, post_week int, effect double")
     assert rows(back) == rows(tables["effects"], "series", "post_week", "effect")
@@ -256,7 +261,7 @@ def test_models_are_fitted_once_and_text_is_read_once(done):
     _, out, tables = done
     for name, table in tables.items():
         plan = table._jdf.queryExecution().executedPlan().toString()
-        assert "FlatMapGroupsInPandas" not in plan and "FileScan csv" not in plan and "Scan text" not in plan, name
+        assert "MapInArrow" not in plan and "FileScan csv" not in plan and "Scan text" not in plan, name
         assert "Exchange" not in plan, name
 
 
