@@ -7,9 +7,11 @@ a longer document), so building and searching need no shuffle and a lost task co
 
 A phrase is found by intersecting the lists of its words, moved back by their offsets, from the rarest word
 (in the whole corpus) to the commonest; the search ends as soon as nothing is left. A proximity match is a
-place of the rarest word with every other word within a given distance. The test set is cut into blocks of
-at most ``BLOCK_WINDOWS`` windows; index and search run per block, so the size of what is sent to the tasks
-is bounded whatever the test set's size.
+place of the rarest word with every other word within a given distance. The corpus is indexed once, for all words
+whose hash is a test word's; the hashes are a bitmap of one size. The test set is cut into blocks of about
+``BLOCK_WINDOWS`` windows that are searched for one after the other, so what is sent to the tasks is bounded
+whatever the test set's size. A window is sent and found once, however many items have it: matches carry its key,
+and the items join them afterwards.
 
 Cases: a null or empty text has no words, is never hit and never contaminated; items without words have no
 windows; repeated items and equal windows of several items each count; repeated documents are judged each;
@@ -18,6 +20,7 @@ null ids are kept as null; empty tables give zero counts or no rows. Only ids an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ BLOCK_WINDOWS = 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEGMENTS = "doc_id array<long>, key array<binary>, n_words array<int>, term array<string>, n array<int>, places array<long>"
 LOW = 32
+#: Hash values of words; the bitmap of those that test words have goes to all tasks.
+SLOTS = 1 << 23
 
 #: Bytes that belong to words, after A-Z became a-z: digits, a-z, and every byte of a character beyond ASCII.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,50 +66,70 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string"), text_of().alias("text")).mapInArrow(work, "item_id string, phrase string")
 
 
-def build_index(docs: DataFrame, terms: set[str]) -> DataFrame:
-    """Segments of the corpus with the places of the given terms."""
-    sent = docs.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(sorted(terms))})
-
-    def segment(ids: list, keys: list, counts: list[int], found: list[np.ndarray], at: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
-        codes, places = np.concatenate(found), np.concatenate(at)
-        order = np.argsort(codes, kind="stable")
-        codes, places = codes[order], places[order]
-        firsts = np.flatnonzero(np.diff(codes, prepend=-1))
-        sizes = np.diff(np.append(firsts, len(codes)))
-        values = [ids, keys, counts, [names[c].decode() for c in codes[firsts]], sizes.tolist(), places]
-        types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["doc_id", "key", "n_words", "term", "n", "places"])
+def slots_of(words: DataFrame) -> np.ndarray:
+    """Bitmap of the hash values that the words (column ``word``) have; ``SLOTS`` bits whatever their number."""
+    slots = words.select((F.crc32(F.col("word").cast("binary")) % SLOTS).cast("int").alias("slot")).distinct()
+    bits = np.zeros(SLOTS, bool)
+    bits[slots.toArrow().column("slot").to_numpy()] = True
+    return np.packbits(bits)
+
+
+def build_index(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """Segments of the corpus with the places of all words whose hash is in the bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(slots)
+
+    class Segment:
+        def __init__(self):
+            self.ids, self.keys, self.counts, self.found, self.at = [], [], [], [], []
+            self.codes: dict[bytes, int] = {}
+            self.names: list[bytes] = []
+            self.held = 0
+
+        def add(self, doc_id, key: bytes, words: list[bytes], bits: np.ndarray) -> None:
+            for word in set(words).difference(self.codes):
+                slot = zlib.crc32(word) % SLOTS
+                if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
+                    self.codes[word] = len(self.names)
+                    self.names.append(word)
+                else:
+                    self.codes[word] = -1
+            hits = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+            places = np.flatnonzero(hits >= 0)
+            self.found.append(hits[places])
+            self.at.append(places + (len(self.ids) << LOW))
+            self.ids.append(doc_id)
+            self.keys.append(key)
+            self.counts.append(len(words))
+            self.held += len(words)
+
+        def batch(self) -> pa.RecordBatch:
+            codes, places = np.concatenate(self.found), np.concatenate(self.at)
+            order = np.argsort(codes, kind="stable")
+            codes, places = codes[order], places[order]
+            firsts = np.flatnonzero(np.diff(codes, prepend=-1))
+            sizes = np.diff(np.append(firsts, len(codes)))
+            values = [self.ids, self.keys, self.counts, [self.names[c].decode() for c in codes[firsts]], sizes.tolist(), places]
+            types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["doc_id", "key", "n_words", "term", "n", "places"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = sent.value
-        names = sorted(codes)
-        held = 0
-        ids, keys, counts, found, at = [], [], [], [], []
+        bits, segment = sent.value, Segment()
         for batch in batches:
             for doc_id, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text").cast(pa.binary())):
-                words = words_of(text.as_py())
-                hits = np.fromiter((codes.get(w, -1) for w in words), np.int64, len(words))
-                places = np.flatnonzero(hits >= 0)
-                found.append(hits[places])
-                at.append(places + (len(ids) << LOW))
-                ids.append(doc_id.as_py())
-                keys.append(key.as_py())
-                counts.append(len(words))
-                held += len(words)
-                if held >= SEGMENT_WORDS:
-                    yield segment(ids, keys, counts, found, at, names)
-                    held = 0
-                    ids, keys, counts, found, at = [], [], [], [], []
-        if ids:
-            yield segment(ids, keys, counts, found, at, names)
+                segment.add(doc_id.as_py(), key.as_py(), words_of(text.as_py()), bits)
+                if segment.held >= SEGMENT_WORDS:
+                    yield segment.batch()
+                    segment = Segment()
+        if segment.ids:
+            yield segment.batch()
 
     return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text_of().alias("text")).mapInArrow(work, SEGMENTS)
 
 
-def term_counts(index: DataFrame) -> dict[str, int]:
-    """How often each term of the block occurs in the corpus; no more rows than the block has terms."""
-    terms = index.select(F.explode(F.arrays_zip("term", "n")).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"))
-    return {r.term: r.n for r in terms.collect()}
+def term_counts(index: DataFrame) -> DataFrame:
+    """term, n: how often each indexed word occurs in the corpus."""
+    terms = index.select(F.explode(F.arrays_zip("term", "n")).alias("t"))
+    return terms.groupBy("t.term").agg(F.sum("t.n").alias("n"))
 
 
 def rarest_first(words: list[str], counts: dict[str, int]) -> list[tuple[int, str]]:
@@ -151,61 +176,65 @@ def _within(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return sorted_values[at] == wanted
 
 
-def search(index: DataFrame, phrases: dict[str, list[str]], counts: dict[str, int], distance: int | None = None) -> DataFrame:
-    """Matches of a block: id and content key of the document, the word and length of the phrase (1 for a
-    proximity match, at its rarest word) and the items that have it."""
-    sent = index.sparkSession.sparkContext.broadcast((list(phrases.items()), counts))
+def search(index: DataFrame, phrases: list[tuple[bytes, str]], counts: dict[str, int], distance: int | None = None) -> DataFrame:
+    """Matches of a block of (key, phrase): id and content key of the document, the word and length of the phrase
+    (1 for a proximity match, at its rarest word) and the phrase's key."""
+    sent = index.sparkSession.sparkContext.broadcast((phrases, counts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, rank = sent.value
-        ordered = [(rarest_first(phrase.split(" "), rank), items) for phrase, items in queries]
+        ordered = [(rarest_first(phrase.split(" "), rank), key) for key, phrase in queries]
         for batch in batches:
             for row in range(batch.num_rows):
                 terms, sizes = (batch.column(c)[row].as_py() for c in ("term", "n"))
                 places = batch.column("places")[row].values.to_numpy()
                 ends = np.cumsum(sizes)
                 lists = {t: places[e - n : e] for t, n, e in zip(terms, sizes, ends)}
-                at, lengths, items = [], [], []
-                for words, of in ordered:
+                at, lengths, keys = [], [], []
+                for words, key in ordered:
                     found = phrase_places(lists, words) if distance is None else near_places(lists, words, distance)
                     at.extend(found.tolist())
                     lengths.extend([len(words) if distance is None else 1] * len(found))
-                    items.extend([of] * len(found))
+                    keys.extend([key] * len(found))
                 owners = pa.array([p >> LOW for p in at], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c)[row].values.take(owners) for c in ("doc_id", "key")),
                         pa.array([p & ((1 << LOW) - 1) for p in at], pa.int32()),
                         pa.array(lengths, pa.int32()),
-                        pa.array(items, pa.list_(pa.string())),
+                        pa.array(keys, pa.binary()),
                     ],
-                    names=["doc_id", "key", "word", "length", "items"],
+                    names=["doc_id", "key", "word", "length", "phrase"],
                 )
 
-    return index.mapInArrow(work, "doc_id long, key binary, word int, length int, items array<string>")
+    return index.mapInArrow(work, "doc_id long, key binary, word int, length int, phrase binary")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, key, n_words), and all matches of the test set's windows in them.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, key, n_words), all matches of the test set's windows in them (doc_id, key, word,
+    length, phrase), and the items of each window (phrase, item_id), each pair once.
 
-    Matches name a document by its id and content key: rows that agree in both have the same matches.
+    Matches name a document by its id and content key: rows that agree in both have the same matches. They name
+    a window by the 16-byte key of its words.
     """
-    windows = staged(test_windows(benchmark, window), "windows")
+    windows = test_windows(benchmark, window).distinct().withColumnRenamed("phrase", "words")
+    windows = staged(windows.select("item_id", "words", F.unhex(F.md5("words")).alias("phrase")), "windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    words = F.explode(F.split("words", " ")).alias("word")
+    index = staged(build_index(docs, slots_of(windows.select(words))), "index")
+    listed = staged(index.select(F.explode(F.arrays_zip("doc_id", "key", "n_words")).alias("d")).select("d.*"), "listed")
+    numbers = staged(term_counts(index), "terms")
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
-    found, listed = None, None
+    found = None
     for block in range(blocks):
-        rows = numbered.filter(F.col("block") == block).groupBy("phrase").agg(F.collect_set("item_id").alias("items")).collect()
-        phrases = {r.phrase: sorted(r["items"]) for r in rows}
-        terms = {w for p in phrases for w in p.split(" ")}
-        index = staged(build_index(docs, terms), "index")
-        of_block = staged(search(index, phrases, term_counts(index), distance), "matches")
-        found = of_block if found is None else found.unionAll(of_block)
-        if listed is None:
-            numbers = index.select(F.explode(F.arrays_zip("doc_id", "key", "n_words")).alias("d")).select("d.*")
-            listed = staged(numbers, "listed")
-        discard(index)
-    return listed, found
+        of_block = numbered.filter(F.col("block") == block).select("phrase", "words").distinct()
+        phrases = [(bytes(r.phrase), r.words) for r in of_block.collect()]
+        # No more rows than the block's windows have words.
+        counts = {r.term: r.n for r in numbers.join(of_block.select(words.alias("term")).distinct(), "term", "left_semi").collect()}
+        more = staged(search(index, phrases, counts, distance), "matches")
+        found = more if found is None else found.unionAll(more)
+    discard(index, numbers)
+    return listed, found, windows.select("phrase", "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
@@ -215,17 +244,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     one in ``min_share``.
     """
     docs = docs.select("doc_id", "text")
-    listed, found = matches(docs, benchmark, window)
+    listed, found, owners = matches(docs, benchmark, window)
+    document = [F.col("doc_id").alias("_id"), F.col("key").alias("_key")]
     # Occurrences of one document, in order: a word counts once, from where the one before it ended.
-    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.array_sort(F.collect_set(F.struct("word", (F.col("word") + F.col("length")).alias("end")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    spans = found.groupBy(*document).agg(F.array_sort(F.collect_set(F.struct("word", (F.col("word") + F.col("length")).alias("end")))).alias("spans"))
+    pairs = found.select(*document, "phrase").distinct().join(owners, "phrase").select("_id", "_key", "item_id").distinct()
+    items = pairs.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     n_hit = F.expr(
         "aggregate(spans, named_struct('n', 0L, 'upto', 0), "
         "(a, s) -> named_struct('n', a.n + greatest(s.end - greatest(s.word, a.upto), 0), 'upto', greatest(a.upto, s.end)), a -> a.n)"
     )
-    hits = staged(spans.select("_id", "_key", n_hit.alias("n_hit"), "items"), "hits")
+    same = F.col("s._id").eqNullSafe(F.col("i._id")) & (F.col("s._key") == F.col("i._key"))
+    both = spans.alias("s").join(items.alias("i"), same, "left")
+    hits = staged(both.select("s._id", "s._key", n_hit.alias("n_hit"), "items"), "hits")
     joined = listed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     n_words, hit = F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(

@@ -112,9 +112,35 @@ def test_contamination_of_nothing(spark, docs, no_docs, items):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "rare a b c"), (2, "a x x x x rare b c"), (3, "c b rare a rare"), (4, "rare b"), (5, "a b c")], "doc_id long, text string")
     item = spark.createDataFrame([(1, "a b c rare")], "item_id long, text string")
-    _, found = contamination.matches(docs, item, distance=3)
+    _, found, owners = contamination.matches(docs, item, distance=3)
     # "a" is the rarest word of the item here: 5 words from "rare" in the second text, at most 3 in the others.
-    assert rows(found, "doc_id", "word", "length", "items") == [(1, 1, 1, ["1"]), (3, 3, 1, ["1"])]
+    assert rows(found.join(owners, "phrase"), "doc_id", "word", "length", "item_id") == [(1, 1, 1, "1"), (3, 3, 1, "1")]
+
+
+def test_a_window_of_very_many_items_is_searched_for_once(spark):
+    shared = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"x {shared} y"), (2, f"{shared} {shared}"), (None, shared), (4, "w1 w2")], "doc_id long, text string")
+    items = spark.range(30_000).select(F.col("id").alias("item_id"), F.lit(shared).alias("text"))
+    _, found, owners = contamination.matches(docs, items)
+    assert found.count() == 4 and owners.count() == 30_000
+    got = rows(contamination.contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "contaminated"))
+    assert got == sorted([(1, 15, 13, 30_000, True), (2, 26, 26, 30_000, True), (None, 13, 13, 30_000, True), (4, 2, 0, 0, False)], key=repr)
+
+
+@pytest.mark.parametrize("slots", [1, 8, 1 << 23])
+def test_words_that_share_a_hash_do_no_harm(monkeypatch, spark, docs, docs_rows, items, slots):
+    monkeypatch.setattr(contamination, "SLOTS", slots)
+    items = [x for x in items if x[0] is not None]
+    got = contamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated") == contamination_by_hand(docs_rows, items)
+
+
+def test_the_corpus_is_read_once_whatever_the_blocks(monkeypatch, spark, docs, items):
+    monkeypatch.setattr(contamination, "BLOCK_WINDOWS", 2)
+    built, build = [], contamination.build_index
+    monkeypatch.setattr(contamination, "build_index", lambda *a: built.append(1) or build(*a))
+    contamination.matches(docs, spark.createDataFrame([x for x in items if x[0] is not None][:3], "item_id long, text string"))
+    assert built == [1]
 
 
 # ---------------------------------------------------------------- tokens
