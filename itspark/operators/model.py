@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -129,11 +128,6 @@ def solve_poisson(x: np.ndarray, y: np.ndarray, offset: np.ndarray) -> tuple[np.
     return coef, mu, np.where(stopped > 0, stopped, rounds), stopped > 0
 
 
-@lru_cache(maxsize=None)
-def _critical(alpha: float, df: int | None) -> float:
-    return NormalDist().inv_cdf(1 - alpha / 2) if df is None else t_quantile(1 - alpha / 2, df)
-
-
 def _log_factorials(y: np.ndarray) -> np.ndarray:
     values, at = np.unique(y, return_inverse=True)
     return np.array([math.lgamma(v + 1.0) for v in values])[at].reshape(y.shape)
@@ -177,6 +171,7 @@ def fit_stack(x: np.ndarray, y: np.ndarray, n: np.ndarray, spec: ModelSpec, cadj
     robust = bread @ meat @ bread * (rows / (rows - 1) if cadjust else 1.0)
     se, se_robust = (np.sqrt(np.diagonal(v, axis1=1, axis2=2)) for v in (vcov, robust))
     tail = (lambda z: t_p(z, df)) if quasi else normal_p
+    crit = t_quantile(1 - alpha / 2, df) if quasi else NormalDist().inv_cdf(1 - alpha / 2)
     log_density = np.sum(y * np.log(mu) - mu - _log_factorials(y), axis=1)
     constant = (y.sum(axis=1) / n.sum(axis=1))[:, None]
     deviance, null_deviance = _deviance(y, mu), _deviance(y, n * constant)
@@ -196,7 +191,7 @@ def fit_stack(x: np.ndarray, y: np.ndarray, n: np.ndarray, spec: ModelSpec, cadj
             pearson=float(pearson[k]),
             dispersion=float(dispersion[k]),
             aic=None if quasi else float(-2.0 * log_density[k] + 2 * p),
-            crit=_critical(alpha, df if quasi else None),
+            crit=crit,
         )
     return out
 
