@@ -6,11 +6,10 @@ anchor, and that at most the smaller of its two cells, so a window whose cells a
 second pass groups exactly only windows that the sketch could not rule out, so collisions cost work and
 never change the result.
 
-A sketch of at most ``MAX_CELLS`` cells a row is sent to all tasks. Where the anchors need more cells, the cells
-are dealt into ranges instead: every task counts its anchors by range, the partitions' counts of a range are
-added, and the anchors go to the ranges, once. The merged counts of a range stand before its anchors, in as
-many tasks as a range with a very frequent anchor takes. Work and memory of a task stay the same whatever the
-number of anchors.
+The sketch grows with the number of anchors, and its cells are dealt into ranges: every task counts its anchors
+by range, the partitions' counts of a range are added, and the anchors go to the ranges, once. The merged counts
+of a range stand before its anchors, in as many tasks as a range with a very frequent anchor takes. Work and
+memory of a task stay the same whatever the number of anchors, and nothing is sent to all tasks.
 
 Cases: a null text has no words; texts shorter than a window lose nothing; equal rows are each other's
 repeats; windows never go over the end of a document; an empty table gives no rows.
@@ -28,90 +27,32 @@ from pyspark.sql import functions as F
 
 from itspark.llm.common import discard, staged
 from itspark.llm.grams import mixed
-from itspark.llm.repeats import ANCHORS, Units, without_repeats
+from itspark.llm.repeats import Units, without_repeats
 
 LENGTH = 35
 SIZE = 18
 ROWS = 2
-MAX_CELLS = 1 << 25
-PIECE = 1 << 14
-#: Cells of a row in a range, and (row, cell) pairs that a task holds before it hands their counts on.
-RANGE, HELD = 1 << 18, 4_000_000
+#: Cells of a row in a range, cells of a row for each anchor, and (row, cell) pairs that a task holds before it
+#: hands their counts on.
+RANGE, SPARE, HELD = 1 << 18, 6, 4_000_000
 
 
-def cells_of(core: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mixed(core.view(np.uint64) + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(cells - 1)).astype(np.int64)
+def cells_of(core: np.ndarray, row: int) -> np.ndarray:
+    return (mixed(core.view(np.uint64) + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(RANGE - 1)).astype(np.int64)
 
 
-def sketch(anchors: DataFrame, cells: int) -> np.ndarray:
-    """Rows of cells that count up to two; the sum over partitions of what each has counted."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((ROWS, cells), np.uint8)
-        for batch in batches:
-            core, copies = batch.column("core").to_numpy(), np.minimum(batch.column("copies").to_numpy(), 2)
-            for row in range(ROWS):
-                at, inverse = np.unique(cells_of(core, row, cells), return_inverse=True)
-                seen = np.bincount(inverse, copies, minlength=len(at)) if len(at) else np.zeros(0)
-                own[row, at] = np.minimum(own[row, at] + np.minimum(seen, 2), 2)
-        for row in range(ROWS):
-            pieces = own[row].reshape(-1, min(PIECE, cells))
-            for piece in np.flatnonzero(pieces.any(axis=1)).tolist():
-                packed = zlib.compress(pieces[piece].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], names=["row", "piece", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(min(PIECE, cells), np.uint8)
-        for packed in table.column("cells").to_pylist():
-            total = np.minimum(total + np.frombuffer(zlib.decompress(packed), np.uint8), 2)
-        return pa.table({"row": table.column("row")[:1], "piece": table.column("piece")[:1], "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    schema = "row int, piece int, cells binary"
-    merged = anchors.select("core", "copies").mapInArrow(count, schema).groupBy("row", "piece").applyInArrow(add, schema)
-    out = np.zeros((ROWS, cells), np.uint8)
-    # At most ROWS * MAX_CELLS bytes before compression.
-    for r in merged.collect():
-        out[r["row"]].reshape(-1, min(PIECE, cells))[r["piece"]] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.uint8)
-    return out
-
-
-def estimated_repeated(anchors: DataFrame) -> DataFrame:
-    """Anchors whose count the sketch puts at two or more."""
-    n = anchors.count()
-    cells = max(PIECE, 1 << (4 * n).bit_length())
-    if cells > MAX_CELLS:
-        return by_ranges(anchors, -(-cells // RANGE))
-    sent = anchors.sparkSession.sparkContext.broadcast(sketch(anchors, cells))
+def sketches(anchors: DataFrame) -> DataFrame:
+    """Each task's counts, up to two, of the cells that it has anchors in: range, number of cells, cells and counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = sent.value
-        for batch in batches:
-            core = batch.column("core").to_numpy()
-            least = np.minimum.reduce([counted[row][cells_of(core, row, cells)] for row in range(ROWS)])
-            yield batch.filter(pa.array(least >= 2))
-
-    return anchors.mapInArrow(work, anchors.schema)
-
-
-def by_ranges(anchors: DataFrame, ranges: int) -> DataFrame:
-    """The same by ranges of ``RANGE`` cells a row. An anchor has its cells of all rows in one range."""
-
-    def range_of(core: np.ndarray) -> np.ndarray:
-        return (mixed(core.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(ranges)).astype(np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the cells that a task has anchors in, up to two: (row, cell) and its count, by range."""
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def rows() -> Iterator[pa.RecordBatch]:
             at, cell, n = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((cell, at))
             at, cell, n = at[order], cell[order], n[order]
             new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
-            return at[new], cell[new], np.minimum(np.add.reduceat(n, new), 2)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            at, cell, n = merged()
+            at, cell, n = at[new], cell[new], np.minimum(np.add.reduceat(n, new), 2)
             for a, b in zip(starts := np.flatnonzero(np.diff(at, prepend=-1)).tolist(), [*starts[1:], len(at)]):
                 packed = zlib.compress(cell[a:b].astype(np.int32).tobytes() + n[a:b].astype(np.uint8).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([at[a]]), pa.array([b - a]), pa.array([packed], pa.binary())], names=["at", "n", "cells"])
@@ -120,9 +61,10 @@ def by_ranges(anchors: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            core, copies = batch.column("core").to_numpy(), np.minimum(batch.column("copies").to_numpy(), 2)
+            core, at = batch.column("core").to_numpy(), batch.column("at").to_numpy()
+            copies = np.minimum(batch.column("copies").to_numpy(), 2)
             for row in range(ROWS):
-                held.append((range_of(core), row * RANGE + cells_of(core, row, RANGE), copies))
+                held.append((at, row * RANGE + cells_of(core, row), copies))
             size += ROWS * len(core)
             if size > HELD:
                 yield from rows()
@@ -130,13 +72,23 @@ def by_ranges(anchors: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from rows()
 
-    def unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        raw = zlib.decompress(packed)
-        return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.uint8, n, 4 * n)
+    return anchors.select("core", "copies", "at").mapInArrow(work, "at long, n long, cells binary")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("at", pa.array(range_of(batch.column("core").to_numpy())))
+
+def estimated_repeated(anchors: DataFrame) -> DataFrame:
+    """Anchors whose count the merged sketch puts at two or more. An anchor has its cells of all rows in one range."""
+    names, types = anchors.columns, dict(anchors.dtypes)
+    ranges = 1 + SPARE * anchors.count() // RANGE
+    placed = anchors.withColumn("at", F.pmod(F.xxhash64("core"), F.lit(ranges).cast("long")))
+    counts = staged(sketches(placed), "cell-counts")
+    # A range with far more anchors than cells holds a very frequent one.
+    ways = staged(placed.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / RANGE).cast("int").alias("ways")), "ways")
+    salt = F.pmod(F.xxhash64("key", "place"), F.col("ways")).cast("int").alias("salt")
+    none = F.lit(None)
+    some = placed.join(ways, "at").select("at", salt, F.lit(1).alias("after"), none.cast("long").alias("n"), none.cast("binary").alias("cells"), *names)
+    each = F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt")
+    made = counts.join(ways, "at").select("at", each, F.lit(0).alias("after"), "n", "cells", *[none.cast(types[c]).alias(c) for c in names])
+    both = made.unionByName(some).repartition("at", "salt").sortWithinPartitions("at", "salt", "after")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, counted = None, np.zeros(ROWS * RANGE, np.uint8)
@@ -148,30 +100,18 @@ def by_ranges(anchors: DataFrame, ranges: int) -> DataFrame:
                     here = (at[a], salt[a])
                     counted[:] = 0
                 part = batch.slice(a, b - a)
-                sketches = part.filter(part.column("cells").is_valid())
-                for n, packed in zip(sketches.column("n").to_pylist(), sketches.column("cells").to_pylist()):
-                    cell, more = unpacked(n, packed)
+                given = part.filter(part.column("cells").is_valid())
+                for n, packed in zip(given.column("n").to_pylist(), given.column("cells").to_pylist()):
+                    raw = zlib.decompress(packed)
+                    cell, more = np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.uint8, n, 4 * n)
                     counted[cell] = np.minimum(counted[cell] + more, 2)
                 own = part.filter(part.column("cells").is_null())
                 core = own.column("core").to_numpy()
-                least = np.minimum.reduce([counted[row * RANGE + cells_of(core, row, RANGE)] for row in range(ROWS)])
+                least = np.minimum.reduce([counted[row * RANGE + cells_of(core, row)] for row in range(ROWS)])
                 yield own.filter(pa.array(least >= 2)).select(names)
 
-    names = anchors.columns
-    counts = staged(anchors.select("core", "copies").mapInArrow(count, "at long, n long, cells binary"), "cell-counts")
-    placed = staged(anchors.mapInArrow(place, f"{ANCHORS}, at long"), "placed")
-    # A range with far more anchors than cells holds a very frequent one.
-    ways = placed.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / RANGE).cast("int").alias("ways"))
-    ways = staged(ways, "ways")
-    salt = F.pmod(F.xxhash64("key", "place"), F.col("ways")).cast("int").alias("salt")
-    none = F.lit(None)
-    some = placed.join(ways, "at").select("at", salt, F.lit(1).alias("after"), none.cast("long").alias("n"), none.cast("binary").alias("cells"), *names)
-    each = F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt")
-    types = dict(anchors.dtypes)
-    made = counts.join(ways, "at").select("at", each, F.lit(0).alias("after"), "n", "cells", *[none.cast(types[c]).alias(c) for c in names])
-    both = made.unionByName(some).repartition("at", "salt").sortWithinPartitions("at", "salt", "after")
     kept = staged(both.mapInArrow(work, anchors.schema), "estimated")
-    discard(counts, placed, ways)
+    discard(counts, ways)
     return kept
 
 

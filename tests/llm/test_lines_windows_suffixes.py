@@ -93,7 +93,6 @@ def test_word_windows(docs, docs_rows, length, size):
 
 @pytest.mark.parametrize("cells,held", [(64, 40), (1 << 12, 4_000_000), (8, 1)])
 def test_sketch_by_ranges_loses_nothing(monkeypatch, docs, docs_rows, cells, held):
-    monkeypatch.setattr(windows, "MAX_CELLS", 256)
     monkeypatch.setattr(windows, "RANGE", cells)
     monkeypatch.setattr(windows, "HELD", held)
     got = windows.remove_repeated_windows(docs, 12, 7)
