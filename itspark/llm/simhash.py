@@ -1,15 +1,17 @@
 """SimHash near-duplicates through Gray-order indexes.
 
 A fingerprint is the majority of the bits of the hashes of a text's shingles. Distinct fingerprints are
-entered once for each of several bit blocks, rotated so that the block stands in front, and range-sorted by
-block and Gray rank: neighbours in that order share long runs of bits. The sorted list is cut into chunks
+entered once in each of several tables, their bits turned so that the table's key, some blocks of bits, stands
+in front, and range-sorted by table and Gray rank: neighbours in that order share long runs of bits. The sorted list is cut into chunks
 and leaves, each described by a mask of the bits that all below it share, and their pattern. Two nodes whose
 patterns differ in more than ``max_bits`` of the bits that both share are passed over with everything below;
-only the leaves that are left are compared fingerprint by fingerprint. The top nodes are the block values:
-nodes of one rotation whose blocks differ are passed over at once. This loses no link when there are more
-blocks than ``max_bits``, since two fingerprints that differ in so few bits agree on one whole block.
+only the leaves that are left are compared fingerprint by fingerprint. The top nodes are the keys' values:
+nodes of one table whose keys differ are passed over at once. Two fingerprints that differ in at most
+``max_bits`` bits agree on all but so many of their blocks, so with a table for each choice of that many blocks
+no link is lost. Keys get longer with the number of fingerprints (see ``tables``), so that a value holds about
+a chunk of unrelated ones at any size, and comparisons grow with the entries and not with their square.
 
-A large group of near copies shares its block's value, so it is cut into chunks of bounded size; pairs of
+A large group of near copies shares its key's value, so it is cut into chunks of bounded size; pairs of
 chunks are compared in tasks of their own, and each gives links between the groups found inside the chunks,
 not between all members.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +49,51 @@ class Plan:
     width: int  # words in a shingle
     words: int  # 64-bit words in a fingerprint
     max_bits: int
-    blocks: tuple[tuple[int, int, int], ...]  # word, first bit from the top, number of bits
     similarity: tuple[int, int] | None = None  # over, under: links are texts this similar, not fingerprints this near
 
 
-#: All links at 4 or fewer of 64 bits: five blocks, of which one is equal.
-EXACT = Plan(4, 1, 4, ((0, 0, 13), (0, 13, 13), (0, 26, 13), (0, 39, 13), (0, 52, 12)))
+#: All links at 4 or fewer of 64 bits.
+EXACT = Plan(4, 1, 4)
 #: Five-word shingle sets with a similarity of 0.8 or more. The fingerprints are an estimate (at 0.8 about half of
-#: the pairs differ in more than 58 of 384 bits, and 16 in 100 agree on none of the 24 blocks), so they only
+#: the pairs differ in more than 58 of 384 bits, and 16 in 100 agree on none of 24 blocks), so they only
 #: suggest pairs; ``similar`` compares these and finds the others.
-SIMILAR = Plan(5, 6, 58, tuple((w, at, 16) for w in range(6) for at in range(0, 64, 16)), (4, 5))
+SIMILAR = Plan(5, 6, 58, (4, 5))
+
+#: Bits of a fingerprint's word: the word, the first bit from the top, the number of bits.
+Piece = tuple[int, int, int]
+
+
+def _cut(words: int, parts: int) -> list[Piece]:
+    """Each word in so many blocks, the longer ones first."""
+    each, more = divmod(64, parts)
+    return [(word, at * each + min(at, more), each + (at < more)) for word in range(words) for at in range(parts)]
+
+
+def tables(plan: Plan, n: int) -> list[tuple[Piece, ...]]:
+    """The keys, each some blocks of one word, under which n distinct fingerprints are entered.
+
+    Keys are the shortest that have a value for each ``CHUNK`` fingerprints. If fingerprints decide, a word in m
+    blocks has a key for each m - max_bits of them: 5 tables to 2 million fingerprints, 15 to 500 million, 35 to
+    60,000 million, 70 beyond. If they only suggest pairs, a key is one block: 24 tables, with longer keys fewer.
+    """
+    needed = np.log2(max(n, 1) / CHUNK)
+    if plan.similarity is not None:
+        parts = next((p for p in (4, 3) if 64 // p >= needed), 2)
+        return [(block,) for block in _cut(plan.words, parts)]
+    parts = next((m for m in range(plan.max_bits + 1, plan.max_bits + 4) if (m - plan.max_bits) * (64 // m) >= needed), plan.max_bits + 4)
+    return list(combinations(_cut(1, parts), parts - plan.max_bits))
+
+
+def in_front(x: np.ndarray, key: tuple[Piece, ...]) -> np.ndarray:
+    """Words with the key's bits first, then those after its last block, then the others."""
+    last = key[-1][1] + key[-1][2]
+    edges = [(0, 0), *((at, at + n) for _, at, n in key), (64, 64)]
+    gaps = [(a, b - a) for (_, a), (b, _) in zip(edges, edges[1:]) if b > a]
+    out = np.zeros_like(x)
+    for at, n in [*((at, n) for _, at, n in key), *sorted(gaps, key=lambda g: (g[0] < last, g[0]))]:
+        # Blocks are shorter than a word, since there are several.
+        out = (out << np.uint64(n)) | ((x << np.uint64(at)) >> np.uint64(64 - n))
+    return out
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
@@ -116,17 +154,16 @@ def _as_words(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def entries(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """An entry of each fingerprint for each block: block, Gray rank of the rotated word, node, fingerprint."""
+def entries(nodes: DataFrame, plan: Plan, keys: list[tuple[Piece, ...]]) -> DataFrame:
+    """An entry of each fingerprint in each table (``block``): Gray rank of the turned word, node, fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = _as_words(batch.column("fingerprint"), plan.words)
-            for block, (word, at, _) in enumerate(plan.blocks):
-                x = prints[:, word]
-                rotated = (x << np.uint64(at)) | (x >> np.uint64(64 - at)) if at else x
+            for block, key in enumerate(keys):
+                x = prints[:, key[0][0]]
                 # The sign bit is turned so that signed order is the order of ranks.
-                rank = (gray_rank(rotated) ^ np.uint64(1 << 63)).astype(np.int64)
+                rank = (gray_rank(in_front(x, key)) ^ np.uint64(1 << 63)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), block, np.int32)), pa.array(rank), batch.column("node"), batch.column("fingerprint")],
                     names=["block", "rank", "node", "fingerprint"],
@@ -198,9 +235,9 @@ def _pairs_within(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
 CHUNKS = "u long, v long, block int, value long, chunk string, nodes array<long>, prints binary, roots array<long>, pattern array<long>, mask array<long>"
 
 
-def chunks(ordered: DataFrame, plan: Plan) -> DataFrame:
-    """Links found inside chunks (u, v), and the chunks whose block value may have others."""
-    lengths = np.array([n for *_, n in plan.blocks])
+def chunks(ordered: DataFrame, plan: Plan, keys: list[tuple[Piece, ...]]) -> DataFrame:
+    """Links found inside chunks (u, v), and the chunks whose key's value may have others."""
+    lengths = np.array([sum(n for *_, n in key) for key in keys])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -260,7 +297,7 @@ def _rows(given: dict[str, pa.Array], n: int) -> pa.RecordBatch:
 
 
 def across(pieces: DataFrame, plan: Plan) -> DataFrame:
-    """Links between chunks of one block value, as links between the groups found inside them."""
+    """Links between chunks of one value of a key, as links between the groups found inside them."""
     a = pieces.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "value", "chunk", "roots", "prints", "pattern", "mask")])
     b = pieces.select(*[F.col(c).alias(f"b_{c}") for c in ("block", "value", "chunk", "roots", "prints", "pattern", "mask")])
     shared = F.zip_with("a_mask", "b_mask", lambda x, y: x.bitwiseAND(y))
@@ -287,9 +324,10 @@ def across(pieces: DataFrame, plan: Plan) -> DataFrame:
 
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Edges between nodes that connect exactly the fingerprints that links connect."""
-    rows = staged(entries(nodes, plan), "entries")
+    keys = tables(plan, nodes.count())
+    rows = staged(entries(nodes, plan, keys), "entries")
     ordered = rows.repartitionByRange(shuffle_partitions(nodes.sparkSession), "block", "rank").sortWithinPartitions("block", "rank")
-    cut = staged(chunks(ordered, plan), "chunks")
+    cut = staged(chunks(ordered, plan, keys), "chunks")
     discard(rows)
     found = across(cut.filter("chunk is not null"), plan)
     edges = staged(cut.filter("u is not null").select("u", "v").unionAll(found), "links")

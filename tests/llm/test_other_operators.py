@@ -227,6 +227,38 @@ def test_large_groups_are_cut_and_complete(monkeypatch, spark):
     assert [got.get(i, i) for i in range(len(prints))] == groups_by_hand(prints, 4)
 
 
+@pytest.mark.parametrize("n", [1, 10**7, 10**10, 10**12])
+def test_keys_of_any_length_lose_no_link(monkeypatch, docs, docs_rows, n):
+    """Keys as they are for n fingerprints: groups are the same."""
+    real = simhash.tables
+    monkeypatch.setattr(simhash, "tables", lambda plan, _: real(plan, n))
+    root = groups_by_hand([print_by_hand(t) for _, t, _ in docs_rows], 4)
+    expected = Counter(root).values()
+    assert sorted(Counter(r.root for r in simhash.groups(docs).select("root").collect()).values()) == sorted(expected)
+
+
+def test_keys_follow_the_number_of_fingerprints():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, len(b)).astype(np.uint64)
+    counts = []
+    for n in (10**6, 10**8, 10**10, 10**12):
+        keys = simhash.tables(simhash.EXACT, n)
+        shared = np.zeros(len(a), bool)
+        for key in keys:
+            bits = sum(size for *_, size in key)
+            x, y = (simhash.in_front(v, key) for v in (a, b))
+            assert len(np.unique(x)) == len(np.unique(a)) and (np.bitwise_count(x) == np.bitwise_count(a)).all()
+            shared |= x >> np.uint64(64 - bits) == y >> np.uint64(64 - bits)
+        assert shared.all()
+        # Unrelated fingerprints that each is compared with.
+        counts.append(sum(n / 2 ** sum(size for *_, size in key) for key in keys))
+    assert max(counts[:3]) < 70 * simhash.CHUNK
+    assert [len(simhash.tables(simhash.SIMILAR, n)) for n in (1, 10**8, 10**12)] == [24, 18, 12]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (300, 200), (300, 400), (7, 7), (1000, 40)] + [(500, 501 + k) for k in range(30)]
     random.Random(1).shuffle(chain)
