@@ -5,7 +5,7 @@ documents; the last one returns what the mix takes of each.
 
 Cases, for every stage: rows without an id are documents like any other, and so are rows with equal ids; a null text
 counts as empty; texts of any length are judged whole; other columns, whatever their names, are handed on as they
-are; an empty table gives an empty table. What becomes of repeated rows and ties is said with each stage.
+are by all stages but the last; an empty table gives an empty table. What becomes of repeated rows and ties is said with each stage.
 """
 
 from __future__ import annotations
