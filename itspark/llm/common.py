@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Whether Spark deletes the shuffle files of a query when it has ended, and not when the driver next collects garbage.
+BRIEF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffles go with the query that made them; for steps that hand on stages and nothing else."""
+    before = spark.conf.get(BRIEF, "false")
+    spark.conf.set(BRIEF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(BRIEF, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of staged tables that no later step reads."""
     for table in tables:

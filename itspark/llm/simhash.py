@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itspark.llm.common import discard, shuffle_partitions, staged, text_key, text_of
+from itspark.llm.common import brief_shuffles, discard, shuffle_partitions, staged, text_key, text_of
 from itspark.llm.components import components
 from itspark.llm.grams import mixed, shingle_hashes
 from itspark.llm.similar import similar
@@ -344,7 +344,8 @@ def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     nodes = staged(nodes.withColumn("node", F.xxhash64(by)), "nodes")
     edges = links(nodes, plan)
     if plan.similarity is not None:
-        edges = similar(docs, edges, plan.width, plan.similarity)
+        with brief_shuffles(docs.sparkSession):
+            edges = similar(docs, edges, plan.width, plan.similarity)
     member = staged(components(edges).join(nodes.select("node", "label"), "node"), "members")
     lowest = staged(member.groupBy("root").agg(F.min("label").alias("lowest")), "lowest")
     named = staged(member.join(lowest, "root").select("node", "root", "lowest"), "named")

@@ -117,6 +117,16 @@ def test_texts_are_gone_in_the_end(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+def test_brief_shuffles_end_with_the_block(spark):
+    before = spark.conf.get(common.BRIEF, "false")
+    with pytest.raises(ZeroDivisionError):
+        with common.brief_shuffles(spark):
+            made = common.staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "brief")
+            assert spark.conf.get(common.BRIEF) == "true" and made.join(made.select("k"), "k").count() == 7
+            1 / 0
+    assert spark.conf.get(common.BRIEF) == before and made.count() == 7
+
+
 def test_removed_spans_and_text(docs, docs_rows):
     got = windows.remove_repeated_windows(docs, body=True).collect()
     for r in got:
