@@ -70,7 +70,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
-    scored = rules.score(docs)
+    scored = rules.score(docs, body=False)
     return scored.select(
         "row.doc_id", *[F.col(f"_{c}").alias(c) for c in rules.STATS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
         F.round("_posterior", 6).alias("posterior"),

@@ -20,10 +20,22 @@ from pyspark.sql import functions as F
 
 from itspark.llm.common import staged, text_of
 
+
+def one_of(chars: str, but: bool = False) -> str:
+    """A regular expression for one of the characters, or any other one; spelled out they are looked up, not compared in turn."""
+    return f"[{'^' if but else ''}{''.join(f'\\x{ord(c):02X}' for c in chars)}]"
+
+
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-SPACES = r"[\x20\x09-\x0D]+"
 #: Printable ASCII characters that are no letters.
 NOT_LETTERS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
+SYMBOLS = "#*$%&|<>"
+INSIDE = one_of(SPACE, but=True)
+#: A symbol and what follows it in its word: one match in each word that has any.
+SYMBOL_WORD = f"{one_of(SYMBOLS)}{INSIDE}*+"
+#: A whole word of ASCII characters that are no letters.
+BARE = one_of("".join(chr(c) for c in range(128) if not chr(c).isalpha() and chr(c) not in SPACE))
+BARE_WORD = f"{BARE}(?<!{INSIDE}{BARE}){BARE}*+(?!{INSIDE})"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_ended_lines", "n_capitals", "n_shouts", "n_symbol_words", "n_bare_words", "n_plain", "n_digits")
 
@@ -51,53 +63,68 @@ ACCURACY, SHARE, TRUST = 0.9, 0.8, 30.0
 THRESHOLD = 0.8
 
 
+def how_many(text: Column, chars: str) -> Column:
+    """How many of the characters, which are ASCII, are in the text; runs of them count by their length."""
+    return F.octet_length(F.array_join(F.regexp_extract_all(text, F.lit(one_of(chars) + "++"), F.lit(0)), "")).cast("long")
+
+
 def with_statistics(df: DataFrame, text: Column) -> DataFrame:
     """Add the counts that the rules look at, in columns named ``_<count>``.
 
-    Triples of words are compared by 64-bit hash inside one document. The sorted triples are a column of
-    their own because several expressions look at their neighbours.
+    Each triple of words is a number whose upper 33 bits are of its hash and whose lower 31 are its place. Few
+    triples share the upper bits with a neighbour among the sorted numbers, and only these are compared by their
+    words. Lambdas are evaluated element by element, so there are two for each word and no more; what can be
+    counted in the text is counted there. Arrays that several expressions look at are columns of their own.
     """
-    trimmed = F.btrim(F.col("_text"), F.lit(SPACE))
-    bare = F.col("_text")
-    for c in SPACE:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
     df = df.withColumn("_text", text)
     df = df.withColumns(
         {
-            "_words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)),
-            "_lines": F.filter(F.split(F.col("_text"), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
-            "_word_chars": F.char_length(bare).cast("long"),
-            "_n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long"),
+            "_words": F.array_remove(F.split("_text", one_of(SPACE) + "+"), ""),
+            "_lines": F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
+            # The runs of such characters, apart from each other; few where there is much text.
+            "_marks": F.array_join(F.regexp_extract_all("_text", F.lit(one_of(NOT_LETTERS) + "++"), F.lit(0)), " "),
             "_n_capitals": F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long"),
-            "_n_shouts": F.regexp_count("_text", F.lit(r"[!?]{2,}")).cast("long"),
-            # What is neither white space nor one of these: letters, and all beyond ASCII.
-            "_n_plain": F.char_length(F.translate(bare, NOT_LETTERS, "")).cast("long"),
-            "_n_digits": (F.char_length("_text") - F.char_length(F.translate("_text", "0123456789", ""))).cast("long"),
+            "_n_symbol_words": F.regexp_count("_text", F.lit(SYMBOL_WORD)).cast("long"),
+            "_n_bare_words": F.regexp_count("_text", F.lit(BARE_WORD)).cast("long"),
         }
     ).drop("_text")
     df = df.withColumns(
         {
             "_n_words": F.size("_words").cast("long"),
+            "_word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
             "_triples": F.expr(
-                "if(size(_words) < 3, array(), array_sort(transform(sequence(0, size(_words) - 3), "
-                "i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) as h, i as i))))"
-            ).cast("array<struct<h:bigint,i:int>>"),
-            "_n_symbol_words": F.size(F.filter("_words", lambda w: w.rlike(r"[#*$%&|<>]"))).cast("long"),
-            "_n_bare_words": F.size(F.filter("_words", lambda w: ~w.rlike(r"[A-Za-z\u0080-\x{10FFFF}]"))).cast("long"),
+                "if(size(_words) < 3, array(), sort_array(transform(sequence(0L, size(_words) - 3L), "
+                "i -> (xxhash64(_words[i], _words[i + 1], _words[i + 2]) & -2147483648L) | i)))"
+            ).cast("array<bigint>"),
+            "_n_symbols": how_many(F.col("_marks"), SYMBOLS),
+            "_n_digits": how_many(F.col("_marks"), "0123456789"),
+            "_n_shouts": F.regexp_count("_marks", F.lit(r"[!?]{2,}")).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
             "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_n_ended_lines": F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x, F.lit(SPACE)), F.lit(1)).isin(*".!?\"')"))).cast("long"),
         }
-    ).drop("_words", "_lines")
+    ).drop("_lines")
+    # What is neither white space nor a mark: letters, and all beyond ASCII.
+    df = df.withColumn("_n_plain", F.col("_word_chars") - how_many(F.col("_marks"), NOT_LETTERS)).drop("_marks")
     df = df.withColumn(
-        "_found",
+        "_same",
         F.expr(
-            "array_sort(transform(filter(_triples, (x, k) -> x.h = get(_triples, k - 1).h or x.h = get(_triples, k + 1).h), x -> x.i))"
-        ),
-    ).drop("_triples")
+            "if(size(_triples) < 2, array(), filter(sequence(1, size(_triples) - 1), k -> shiftrightunsigned(_triples[k - 1] ^ _triples[k], 31) = 0))"
+        ).cast("array<int>"),
+    )
+    df = df.withColumn(
+        "_places",
+        F.expr("transform(array_distinct(flatten(transform(_same, k -> array(_triples[k - 1], _triples[k])))), x -> x & 2147483647L)"),
+    ).drop("_triples", "_same")
+    df = df.withColumn(
+        "_alike", F.expr("sort_array(transform(_places, i -> struct(struct(_words[i] as a, _words[i + 1] as b, _words[i + 2] as c) as w, i as i)))")
+    ).drop("_places", "_words")
+    df = df.withColumn(
+        "_found", F.expr("sort_array(transform(filter(_alike, (x, k) -> x.w = get(_alike, k - 1).w or x.w = get(_alike, k + 1).w), x -> x.i))")
+    ).drop("_alike")
     # A repeated triple covers three words, fewer where the next one starts earlier.
-    covered = "aggregate(transform(_found, (x, k) -> least(3, coalesce(get(_found, k + 1) - x, 3))), 0, (a, b) -> a + b)"
-    return df.withColumn("_n_repeat_words", F.expr(covered).cast("long")).drop("_found")
+    covered = "aggregate(transform(_found, (x, k) -> least(3L, coalesce(get(_found, k + 1) - x, 3L))), 0L, (a, b) -> a + b)"
+    return df.withColumn("_n_repeat_words", F.expr(covered)).drop("_found")
 
 
 def base_failed(prefix: str = "_") -> Column:
@@ -169,13 +196,17 @@ def fit(voted: DataFrame, rounds: int = 40, tolerance: float = 1e-3, accuracy: f
     return model
 
 
-def score(df: DataFrame, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(df: DataFrame, text_column: str = "text", threshold: float = THRESHOLD, body: bool = True) -> DataFrame:
     """Each row, whole in ``row``, with ``_<count>``, ``_base_failed``, ``_posterior`` and ``_kept``.
 
+    Without ``body`` the row goes without its text, which then is read and not written.
+
     A document is kept if it passes the base test and its posterior is at least ``threshold``.
     """
-    rows = df.select(F.struct("*").alias("row"))
-    voted = staged(with_statistics(rows, text_of(f"row.{text_column}")).withColumns(votes()), "votes")
+    rows = df.select(F.struct("*").alias("row")).withColumn("_text", text_of(f"row.{text_column}"))
+    if not body:
+        rows = rows.withColumn("row", F.col("row").dropFields(text_column))
+    voted = staged(with_statistics(rows, F.col("_text")).withColumns(votes()), "votes")
     posterior = fit(voted).posterior()
     return voted.withColumn("_base_failed", base_failed()).withColumn("_posterior", posterior).withColumn(
         "_kept", ~F.col("_base_failed") & (F.col("_posterior") >= threshold)
